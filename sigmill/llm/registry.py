@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from sigmill.llm import simhash
+from sigmill.llm import lines, simhash
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
