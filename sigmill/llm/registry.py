@@ -1,10 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from sigmill.llm import lines, simhash
+from sigmill.llm import decontaminate, langid, lines, mixing, simhash
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op2_langid": langid.op2_langid,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_mixing": mixing.op8_mixing,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.OP8_SQL,
+}
