@@ -38,10 +38,14 @@ _SEEN = 200_000
 
 
 def half_keys(words: list[bytes]) -> list[int]:
-    """Keys of the halves by which lines within one edit of this one can meet it, as signed longs."""
+    """Keys of the first and last halves by which lines within one edit of this one can meet it, as signed longs.
+
+    Two keys for the edits that leave this line no longer than the other, then
+    two for those in which it has the word more (from five words on).
+    """
     n, out = len(words), []
     for c in (n, n - 1):  # the shorter line's length
-        if c >= MIN_WORDS - 1 and n >= MIN_WORDS - (c == n):
+        if c >= MIN_WORDS - 1:
             h = c // 2
             out.append(xxhash.xxh64_intdigest(b" ".join(words[:h]), 2 * c))
             out.append(xxhash.xxh64_intdigest(b" ".join(words[n - c + h :]), 2 * c + 1))
@@ -105,17 +109,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, dk long, line_no int, lh long, halves array<long>")
 
 
-def _marks(lines: DataFrame) -> np.ndarray:
-    """The bitmap of halves that two different lines share; its size does not grow with the input."""
-    shared = lines.select("lh", F.explode("halves").alias("half")).groupBy("half").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a <> b")
-    slot = F.col("half").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
-    words = shared.select(F.shiftright(slot, 5).alias("word"), F.expr("shiftleft(1L, cast(half & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found = words.toArrow()
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits at the places of the keys (one column of longs); its size does not grow with the input."""
+    slot = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    words = keys.select(F.shiftright(slot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << MARK_BITS - 5, np.uint32)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return out
 
 
+def _marks(lines: DataFrame) -> np.ndarray:
+    """The halves that two different lines share."""
+    return _bitmap(lines.select("lh", F.explode("halves").alias("half")).groupBy("half").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a <> b").select("half"))
+
+
 def _variants(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     """Keys of the lines with a shared half; kind 0: with a gap, 1: with a word left out, 2: the line itself, with its words."""
 
@@ -125,7 +133,8 @@ def _variants(docs: DataFrame, marks: np.ndarray) -> DataFrame:
         for batch in chunks(batches, "text", 2 << 20):
             heads, keys, kinds, counts = [], [], [], []
             for doc, key, at, words in _rows(batch):
-                if len(words) < MIN_WORDS - 1 or not any(marks[(k & mask) >> 5] >> (k & 31) & 1 for k in half_keys(words)):
+                shared = [bool(marks[(k & mask) >> 5] >> (k & 31) & 1) for k in half_keys(words)]
+                if not any(shared):
                     continue
                 joined = b" ".join(words)
                 lh = xxhash.xxh64_intdigest(joined, 1)
@@ -136,38 +145,52 @@ def _variants(docs: DataFrame, marks: np.ndarray) -> DataFrame:
                     seen.clear()
                 seen[lh] = order
                 gap, out, own = variant_keys(words)
-                if len(words) >= MIN_WORDS:
-                    keys += [gap, out]
-                    kinds += [np.zeros(len(gap), np.int32), np.ones(len(out), np.int32)]
-                keys.append(np.array([own]))
-                kinds.append(np.array([2], np.int32))
-                counts.append(1 + 2 * len(gap) * (len(words) >= MIN_WORDS))
+                n, before = len(words), len(keys)
+                if n >= MIN_WORDS:  # a shared half leaves the edit to the other
+                    keys.append(gap[n // 2 * (not shared[1]) : n if shared[0] else n // 2 * shared[1]])
+                    keys.append(out[(n - 1) // 2 * (not shared[3]) : n if shared[2] else ((n - 1) // 2 + 1) * shared[3]])
+                keys.append(np.array([own] * (shared[0] or shared[1]), np.int64))
+                size = [len(k) for k in keys[before:]]
+                kinds.append(np.repeat(np.array([0, 1, 2] if n >= MIN_WORDS else [2], np.int32), size))
+                counts.append(sum(size))
                 heads.append((doc, key, at, lh - (1 << 64) if lh >> 63 else lh, joined))
             if not heads:
                 continue
             which = np.repeat(np.arange(len(heads)), counts)
             kind = np.concatenate(kinds)
             head = [pa.array([h[i] for h in heads], t) for i, t in enumerate((batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64()))]
-            texts = pa.array([h[4] for h in heads], pa.binary()).take(pa.array(np.where(kind == 2, which, 0), mask=kind != 2))
+            first = np.concatenate([[True], which[1:] != which[:-1]])[: len(which)]
+            texts = pa.array([h[4] for h in heads], pa.binary()).take(pa.array(which, mask=~first))
             yield pa.RecordBatch.from_arrays([*(a.take(pa.array(which)) for a in head), pa.array(np.concatenate(keys)), pa.array(kind), texts], names=["doc_id", "dk", "line_no", "lh", "key", "kind", "line"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, dk long, line_no int, lh long, key long, kind int, line binary")
 
 
+def _meeting(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose key two different lines may have; others meet nothing."""
+    marks = _bitmap(found.groupBy("key").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a <> b").select("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("key").to_numpy() & ((1 << MARK_BITS) - 1)
+            yield batch.filter(pa.array((marks[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def _near(found: DataFrame) -> DataFrame:
     """(dk, line_no) of lines that an earlier line within one edit precedes."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dk", "line_no", "lh").alias("at")
-    rows = found.select("key", (F.col("kind") > 0).alias("moved"), (F.col("kind") == 2).alias("own"), "lh", order)
+    rows = _meeting(found.drop("line")).select("key", "kind", order)
     first = (
-        rows.groupBy("key", "moved")
-        .agg(F.min("lh").alias("a"), F.max("lh").alias("b"), F.min(F.when(F.col("own"), F.col("at"))).alias("first_own"), F.min(F.when(~F.col("own"), F.col("at"))).alias("first_var"))
-        .filter("a <> b and (not moved or first_own is not null)")
-        .drop("a", "b")
+        rows.groupBy("key")
+        .agg(F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("first_own"), F.min(F.when(F.col("kind") < 2, F.col("at"))).alias("first_var"))
+        .filter("first_var is not null")
     )
-    partner = F.when(F.col("own") | ~F.col("moved"), F.col("first_var")).otherwise(F.col("first_own"))
-    pairs = rows.join(first, ["key", "moved"]).withColumn("other", partner).filter("other < at and other.lh <> lh")
-    pairs = pairs.select("lh", F.col("at.dk").alias("dk"), F.col("at.line_no").alias("line_no"), F.col("other.lh").alias("other")).distinct()
-    texts = found.filter("kind = 2").groupBy("lh").agg(F.first("line").alias("line"))
+    partner = F.when(F.col("kind") == 1, F.col("first_own")).otherwise(F.col("first_var"))
+    pairs = rows.join(first, "key").withColumn("other", partner).filter("other < at and other.lh <> at.lh")
+    pairs = pairs.select(F.col("at.lh").alias("lh"), F.col("at.dk").alias("dk"), F.col("at.line_no").alias("line_no"), F.col("other.lh").alias("other")).distinct()
+    texts = found.filter("line is not null").groupBy("lh").agg(F.first("line").alias("line"))
     both = pairs.join(texts, "lh").join(texts.select(F.col("lh").alias("other"), F.col("line").alias("other_line")), "other")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
