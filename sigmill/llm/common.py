@@ -71,3 +71,13 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
                 yield pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
+
+
+def filter_arrow(df: DataFrame, keep: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> DataFrame:
+    """The rows that ``keep`` leaves of each batch, all columns as they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text):
+            yield keep(batch)
+
+    return df.mapInArrow(run, df.schema)

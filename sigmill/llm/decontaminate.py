@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import chunks, own_columns, table
+from sigmill.llm.common import chunks, filter_arrow, own_columns, table
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score from which a passage is retrieved, and of its shingles from which it is a leak.
@@ -159,14 +159,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     a document give their matches again. Other columns are not read.
     """
     own = own_columns(docs, doc_id=id_col, text=text_col)
-    tests = own_columns(items, item_id=item_col, text=item_text).filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_BYTES))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_col].dataType.simpleString()}, score double, question_overlap double, answer_overlap double, word_at int"
     out = None
-    for shard in range(shards):
-        rows = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).orderBy("item_id").collect()  # at most about SHARD_BYTES
-        index = Index([(r.item_id, r.text) for r in rows if words_of(r.text)])
+    for index in indexes(items, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text"):
@@ -180,5 +175,28 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return out
 
 
+def indexes(items: DataFrame, item_col: str = "item_id", item_text: str = "text") -> list[Index]:
+    """The index of the test items, in shards of about ``SHARD_BYTES`` of text; one, perhaps empty, at least."""
+    tests = own_columns(items, item_id=item_col, text=item_text).filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // SHARD_BYTES))
+    out = []
+    for shard in range(shards):
+        rows = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()  # about SHARD_BYTES
+        out.append(Index([(r.item_id, r.text) for r in rows if words_of(r.text)]))
+    return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """The rows of ``docs`` into which no item leaked, unchanged; what counts as a leak is as in ``leaks``."""
+    for index in indexes(items):
+
+        def run(batch: pa.RecordBatch, index: Index = index) -> pa.RecordBatch:
+            return batch.filter(pa.array([not (text and index.match(text, min_score, min_overlap)) for text in batch.column(text_col).to_pylist()], pa.bool_()))
+
+        docs = filter_arrow(docs, run, text_col)
+    return docs
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,15 +12,15 @@ its words' mean posterior.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import hash_mod, map_arrow, own_columns, table
+from sigmill.llm.common import filter_arrow, hash_mod, map_arrow, own_columns, table
 
 #: Documents of each language that the model is fitted on, at most.
 SAMPLE_DOCS = 150
@@ -29,22 +29,47 @@ PIECE = 64
 LEXICON = 300
 ROUNDS, RATE, RIDGE = 40, 0.5, 1e-5
 UNKNOWN = "und"
+#: Score under which the pipeline takes a text for no language that it knows.
+MIN_SCORE = 0.35
 #: Words whose emissions a task remembers.
 _CACHE = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def features(word: str) -> list[int]:
-    """Hashed affixes of one to three letters and n-grams of two and three, with the word's ends marked."""
-    mask = (1 << HASH_BITS) - 1
-    w = f"^{word[:40]}$"  # a feature set of bounded size for words of any length
-    out = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    out += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    return [zlib.crc32(f.encode("utf-8", "replace")) & mask for f in out]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of hashed features and the word that each belongs to: affixes of one to three letters, n-grams of two and three.
+
+    The word's ends are marked; of a word of over 40 letters the first 40 count.
+    """
+    marked = [f"\2{w[:40]}\3" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    begin = np.cumsum(size) - size
+    last = begin + size - 1
+    left = np.repeat(last, size) - np.arange(len(c))  # letters that follow in the word
+
+    def hashed(kind: int, *parts: np.ndarray) -> np.ndarray:
+        x = np.full(len(parts[0]), kind, np.uint64)
+        for p in parts:
+            x = (x ^ p) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(31)
+        return (x >> np.uint64(64 - HASH_BITS - 8) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+
+    ids, owners = [], []
+    for n in (2, 3):
+        at = np.flatnonzero(left >= n - 1)
+        ids.append(hashed(n, *(c[at + k] for k in range(n))))
+        owners.append(owner[at])
+    for n in (1, 2, 3):
+        for kind, at in ((10, [np.minimum(begin + 1 + k, last) for k in range(n)]), (20, [np.maximum(last - 1 - k, begin) for k in range(n)])):
+            ids.append(hashed(kind + n, *(c[x] for x in at)))
+            owners.append(np.arange(len(words)))
+    return np.concatenate(ids), np.concatenate(owners)
 
 
 class Crf:
@@ -54,14 +79,17 @@ class Crf:
         self.t = np.zeros((len(labels), len(labels)))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Feature ids of the words end to end, and where each word begins."""
-        rows = [features(w) + [(1 << HASH_BITS) + k for k, lex in enumerate(self.lexicons) if w in lex] for w in words]
-        begin = np.cumsum([0, *map(len, rows)])[:-1]
-        return np.array([x for r in rows for x in r], np.int64), begin
+        """Feature ids, those of the lexicons included, and the word that each belongs to."""
+        ids, owner = features(words)
+        extra = [(i, (1 << HASH_BITS) + k) for k, lex in enumerate(self.lexicons) for i, w in enumerate(words) if w in lex]
+        more = np.array(extra, np.int64).reshape(-1, 2)
+        return np.concatenate([ids, more[:, 1]]), np.concatenate([owner, more[:, 0]])
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        ids, begin = self.encode(words)
-        return np.add.reduceat(self.w[ids], begin, axis=0)
+        return self.scores(*self.encode(words), len(words))
+
+    def scores(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(owner, self.w[ids, k], n) for k in range(len(self.labels))], axis=1)
 
     def posteriors(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward-backward over (pieces, words, labels); the words' label posteriors and the summed pair posteriors."""
@@ -90,8 +118,7 @@ class Crf:
         """Full-batch ascent of the log-likelihood with a step size for each weight (Adagrad)."""
         types = sorted({w for s in sequences for w, _ in s})
         place = {w: i for i, w in enumerate(types)}
-        ids, begin = self.encode(types)
-        owner = np.repeat(np.arange(len(types)), np.diff([*begin, len(ids)]))
+        ids, owner = self.encode(types)
         which, mask = _pieces([[place[w] for w, _ in s] for s in sequences])
         gold, _ = _pieces([[y for _, y in s] for s in sequences])
         k, n = len(self.labels), mask.sum()
@@ -100,8 +127,7 @@ class Crf:
         seen = np.bincount((gold[:, :-1] * k + gold[:, 1:]).ravel()[both], minlength=k * k).reshape(k, k)
         sums = [np.full_like(self.w, 1e-8), np.full_like(self.t, 1e-8)]
         for _ in range(rounds):
-            scores = np.add.reduceat(self.w[ids], begin, axis=0)
-            post, pairs = self.posteriors(scores[which], mask)
+            post, pairs = self.posteriors(self.scores(ids, owner, len(types))[which], mask)
             off = (truth - post * mask[:, :, None]).reshape(-1, k)
             by_type = np.stack([np.bincount(which.ravel(), off[:, j], len(types)) for j in range(k)], axis=1)
             up = np.stack([np.bincount(ids, by_type[owner, j], len(self.w)) for j in range(k)], axis=1)
@@ -139,7 +165,7 @@ def splice(docs: list[tuple[list[str], int]], n: int, seed: int = 11) -> list[li
 def train(docs: list[tuple[str, str]]) -> Crf | None:
     """A model from (text, lang); None without labels."""
     labels = sorted({lang for _, lang in docs})
-    split = [(_LETTERS.findall(text.lower()), labels.index(lang)) for text, lang in docs]
+    split = [(LETTERS.findall(text.lower()), labels.index(lang)) for text, lang in docs]
     if not any(w for w, _ in split):
         return None
     counts = [Counter(w for words, y in split if y == k for w in words) for k in range(len(labels))]
@@ -204,22 +230,48 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
     get rows of their own; other columns are not read.
     """
     own = own_columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
-    cache: dict[str, int] = {}
-    known: list[np.ndarray] = []
+    labelled = Labeller(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [(t or b"").decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-        words = [_LETTERS.findall(t.lower()) if model and has_letter(t) else [] for t in texts]
+        lang, score, other = labelled((t or b"").decode("utf-8", "replace") for t in batch.column("text").to_pylist())
+        return {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "switched": pa.array(other, pa.float64())}
+
+    return map_arrow(own, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, switched double")
+
+
+class Labeller:
+    """Languages, scores and shares of other languages for texts; keeps what it learned of words from batch to batch."""
+
+    def __init__(self, model: Crf | None):
+        self.model, self.cache, self.known = model, {}, []
+
+    def __call__(self, texts: Iterable[str]) -> tuple[list[str], list[float], list[float]]:
+        model = self.model
+        words = [LETTERS.findall(t.lower()) if model and has_letter(t) else [] for t in texts]
         lang, score, other = [], [], []
-        for p in label_words(model, words, cache, known) if model else [np.zeros((0, 1))] * len(texts):
-            mean = p.mean(axis=0) if len(p) else np.zeros(1)
+        for p in label_words(model, words, self.cache, self.known) if model else [()] * len(words):
+            if not len(p):
+                lang.append(UNKNOWN)
+                score.append(0.0)
+                other.append(0.0)
+                continue
+            mean = p.mean(axis=0)
             best = int(mean.argmax())
-            lang.append(model.labels[best] if len(p) else UNKNOWN)
+            lang.append(model.labels[best])
             score.append(min(1.0, float(mean[best])))
-            other.append(float((p.argmax(axis=1) != best).mean()) if len(p) else 0.0)
-        return {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "switched": pa.array(other, pa.float64())}
+            other.append(float((p.argmax(axis=1) != best).mean()))
+        return lang, score, other
 
-    return map_arrow(own, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, switched double")
+
+def keep_identified(docs: DataFrame, model: Crf | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with ``min_score`` or more, unchanged; a null text has none."""
+    labelled = Labeller(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score, _ = labelled(t or "" for t in batch.column(text_col).to_pylist())
+        return batch.filter(pa.array([x != UNKNOWN and y >= min_score for x, y in zip(lang, score)], pa.bool_()))
+
+    return filter_arrow(docs, run, text_col)
 
 
 def fitted(docs: DataFrame) -> Crf | None:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigmill.llm.common import map_arrow, materialise, own_columns, table
@@ -157,5 +157,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their component, unchanged.
+
+    Of rows with that id and the same text one stays. Rows without an id stay,
+    as no id can stand for them.
+    """
+    first = near_duplicates(docs, id_col, text_col, bits).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    copy = F.row_number().over(Window.partitionBy(id_col, "__text").orderBy(F.lit(1)))
+    kept = docs.join(first, id_col, "left_semi").withColumn("__text", F.xxhash64(text_col)).withColumn("__copy", copy).filter("__copy = 1").drop("__text", "__copy")
+    return kept.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
