@@ -1,15 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from sigmill.llm import decontaminate, langid, lines, mixing, simhash
+from sigmill.llm import decontaminate, langid, licenses, lines, mixing, simhash, topk
 
 QUERIES = {
+    "op3_licenses": licenses.op3_licenses,
     "op4_simhash": simhash.op4_simhash,
     "op2_langid": langid.op2_langid,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mixing": mixing.op8_mixing,
+    "op9_topk": topk.op9_topk,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_licenses": licenses.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
