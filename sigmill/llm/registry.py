@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from sigmill.llm import decontaminate, langid, licenses, lines, mixing, simhash, topk
+from sigmill.llm import decontaminate, langid, licenses, lines, mixing, simhash, topk, warc
 
 QUERIES = {
     "op3_licenses": licenses.op3_licenses,
     "op4_simhash": simhash.op4_simhash,
     "op2_langid": langid.op2_langid,
+    "op6_warc": warc.op6_warc,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mixing": mixing.op8_mixing,
     "op9_topk": topk.op9_topk,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_licenses": licenses.OP3_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
 }
