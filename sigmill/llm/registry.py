@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from sigmill.llm import decontaminate, langid, licenses, lines, mixing, quality, simhash, topk, warc
+from sigmill.llm import decontaminate, langid, licenses, lines, lm, mixing, quality, simhash, topk, warc
 
 QUERIES = {
     "op3_licenses": licenses.op3_licenses,
     "op4_simhash": simhash.op4_simhash,
+    "op1_lm_scores": lm.op1_lm_scores,
     "op2_langid": langid.op2_langid,
     "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
