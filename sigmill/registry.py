@@ -1,5 +1,7 @@
 """All queries of the signal operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sigmill.plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "a2_channel_envelope"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
