@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def bucket_boundary(i: Column, n: Column, buckets: Column) -> Column:
@@ -42,7 +43,7 @@ def crc32_hex(data: Column) -> Column:
     return F.lpad(F.hex(F.crc32(data)), 8, "0")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def float_bytes(values: pd.Series) -> pd.Series:
     """An array of floats as little-endian 32-bit bytes; Spark has no such cast."""
     return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
