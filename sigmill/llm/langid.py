@@ -29,8 +29,8 @@ PIECE = 64
 LEXICON = 300
 ROUNDS, RATE, RIDGE = 40, 0.5, 1e-5
 UNKNOWN = "und"
-#: Score under which the pipeline takes a text for no language that it knows.
-MIN_SCORE = 0.35
+#: Times an even share among the languages that a text's score must reach, or no language stands out.
+STANDS_OUT = 1.2
 #: Words whose emissions a task remembers.
 _CACHE = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -263,9 +263,11 @@ class Labeller:
         return lang, score, other
 
 
-def keep_identified(docs: DataFrame, model: Crf | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with ``min_score`` or more, unchanged; a null text has none."""
+def keep_identified(docs: DataFrame, model: Crf | None, text_col: str = "text", min_score: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with ``min_score`` (by default 1.2 times an even share) or more, unchanged; a null text has none."""
     labelled = Labeller(model)
+    if min_score is None:
+        min_score = STANDS_OUT / len(model.labels) if model and len(model.labels) > 1 else 0.0
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang, score, _ = labelled(t or "" for t in batch.column(text_col).to_pylist())
