@@ -188,7 +188,7 @@ def _near(found: DataFrame) -> DataFrame:
         .filter("first_var is not null")
     )
     partner = F.when(F.col("kind") == 1, F.col("first_own")).otherwise(F.col("first_var"))
-    pairs = rows.join(first, "key").withColumn("other", partner).filter("other < at and other.lh <> at.lh")
+    pairs = rows.join(materialise(first), "key").withColumn("other", partner).filter("other < at and other.lh <> at.lh")
     pairs = pairs.select(F.col("at.lh").alias("lh"), F.col("at.dk").alias("dk"), F.col("at.line_no").alias("line_no"), F.col("other.lh").alias("other")).distinct()
     texts = found.filter("line is not null").groupBy("lh").agg(F.first("line").alias("line"))
     both = pairs.join(texts, "lh").join(texts.select(F.col("lh").alias("other"), F.col("line").alias("other_line")), "other")
@@ -205,7 +205,7 @@ def _exact(lines: DataFrame) -> DataFrame:
     """(dk, line_no) of lines of which an earlier copy exists."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dk", "line_no")
     first = lines.groupBy("lh").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("lh", "first")
-    return lines.join(first, "lh").filter(order > F.col("first")).select("dk", "line_no")
+    return lines.join(materialise(first), "lh").filter(order > F.col("first")).select("dk", "line_no")  # as a table, so that Spark can split a common line's rows
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
