@@ -34,7 +34,7 @@ MARK_BITS = 26
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Lines remembered by a task, so that copies emit their variants once.
-_SEEN = 200_000
+_SEEN = 100_000
 
 
 def half_keys(words: list[bytes]) -> list[int]:
