@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sigmill.operators.ranks import with_positions
+from sigmill.plans.shared import materialise
+
 #: In order of use: a view may name the tables and the views before it.
 VIEWS = {
     "samples": """
@@ -75,13 +78,25 @@ def _needs(name: str) -> list[str]:
     return list(dict.fromkeys([x for v in below for x in _needs(v)] + [name]))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table of that name."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    body = VIEWS[name]
-    parts = {n: view(spark, sf_dir, n) for n in [*VIEWS, "events", "embeddings", "supplier"] if f"{{{n}}}" in body}
-    return spark.sql(body, **parts)
+def samples(events: DataFrame) -> DataFrame:
+    """The view ``samples`` as a stored table, as recordings have it: ranked in spans, so that no window holds a whole channel."""
+    rows = events.selectExpr("CAST(user_id % 3 AS INT) AS device_id", "event_type AS channel", "event_id", "ts", "CAST(day(ts) AS INT) AS seg_id", "value")
+    placed = with_positions(rows, ["device_id", "channel"], "event_id", "sample_idx")
+    return materialise(placed.select("device_id", "channel", "sample_idx", "ts", "seg_id", "value"))
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view, or a table of that name; views that are ``made`` already are taken as they are."""
+    made = {} if made is None else made
+    if name not in made:
+        if name == "samples":
+            made[name] = samples(view(spark, sf_dir, "events", made))
+        elif name in VIEWS:
+            body = VIEWS[name]
+            made[name] = spark.sql(body, **{n: view(spark, sf_dir, n, made) for n in [*VIEWS, "events", "embeddings", "supplier"] if f"{{{n}}}" in body})
+        else:
+            made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return made[name]
 
 
 def sql(body: str, *views: str) -> str:

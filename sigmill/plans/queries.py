@@ -26,10 +26,10 @@ class Views:
     """The views of one folder of tables, by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, name, self.made)
 
 
 def query(name: str, oracle: str = "", *views: str):
