@@ -12,7 +12,7 @@ from sigmill.functions import scalars as sc
 from sigmill.operators import audit, blocks, catalog, codec_matrix, envelope, reports
 from sigmill.plans import segment_files
 from sigmill.plans.fixtures import VIEWS, sql, view
-from sigmill.plans.shared import shared_dir
+from sigmill.plans.shared import materialise, shared_dir
 from sigmill.sinks import tables
 from sigmill.sources import logs, segments
 from sigmill.streaming import stateful
@@ -393,10 +393,10 @@ def _verified(v: Views) -> DataFrame:
     arrays = blocks.channel_arrays(rows).join(rows.select("block_index", "group_id", "total_data_count"), "block_index")
     least = rows.groupBy("group_id").agg(F.min("total_data_count").alias("base"))
     stored = arrays.join(least, "group_id").select(F.col("group_id").alias("device_id"), F.col("channel_pos").alias("position"), F.col("total_data_count"), F.col("base"), F.posexplode("values").alias("i", "value"))
-    samples = stored.select("device_id", "position", (F.col("total_data_count") - F.col("base") + F.col("i")).alias("sample_idx"), "value")
+    samples = materialise(stored.select("device_id", "position", (F.col("total_data_count") - F.col("base") + F.col("i")).alias("sample_idx"), "value"))
     log = rows.withColumn("crc32", F.when(F.col("block_index") % 9 == 0, "00000000").otherwise(sc.crc32_hex(sc.float_bytes("payload")))).select("block_index", "group_id", "total_data_count", "data_count_per_channel", "buffer_count", "channel_count", "layout", "crc32")
     other = log.filter("block_index % 50 = 1").withColumns({"group_id": F.lit(99).cast("int"), "block_index": F.col("block_index") + 1_000_000})
-    return audit.audit_verify(log.unionByName(other), samples)
+    return audit.audit_verify(materialise(log.unionByName(other)), samples)
 
 
 VERIFIED = """WITH one AS (SELECT block_index, group_id, buffer_count, CASE WHEN block_index % 9 = 0 THEN 'checksum differs' END AS reason FROM blocks WHERE message_type = 5),
