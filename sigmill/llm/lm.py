@@ -8,9 +8,9 @@ the word in its class by its count. The most frequent words and the end of a
 text are classes of their own; other words share the class of their last two
 bytes. Each class of several words keeps a share for unknown ones.
 
-Counts cover all training documents. The model is trained in every task on
-every ``STRIDE``-th position of its documents, in ``ROUNDS`` that take
-disjoint documents; tasks' parameters are averaged by Spark after each round.
+Counts cover all training documents, and the model is trained on every position
+of them, in every task on its own, in ``ROUNDS`` that take disjoint documents;
+tasks' parameters are averaged by Spark after each round.
 Counts of the ``FREQUENT`` most frequent words go to all tasks; those of other
 words are joined.
 """
@@ -32,7 +32,8 @@ FREQUENT = 200_000
 #: Frequent words that are classes of their own, and classes by ending.
 SINGLES, ENDINGS = 160, 93
 CONTEXT, DIM = 4, 16
-STRIDE, ROUNDS = 8, 2
+#: Every so many positions of a text are trained on (1: all), and rounds.
+STRIDE, ROUNDS = 1, 2
 NOISE, BATCH, RATE, SEED = 8, 512, 0.15, 29
 #: Words that a task counts before it passes the counts on.
 _HELD = 200_000
@@ -104,12 +105,26 @@ class Classes:
         return place, kind, words
 
 
+def _alias(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's table of a distribution: cell i, taken at random, stands for i with chance ``keep[i]``, else for ``other[i]``."""
+    keep, other = share * len(share), np.arange(len(share))
+    small, large = [i for i, x in enumerate(keep) if x < 1], [i for i, x in enumerate(keep) if x >= 1]
+    while small and large:
+        i, j = small.pop(), large[-1]
+        other[i] = j
+        keep[j] -= 1 - keep[i]
+        if keep[j] < 1:
+            small.append(large.pop())
+    keep[small + large] = 1
+    return keep, other
+
+
 class LogBilinear:
-    """Parameters: r (context vectors, the last for what is before a text), c (weights by place), q and b (outputs)."""
+    """Parameters: r (context vectors, the last for what is before a text), c (weights by place), q and b (outputs); ``trained`` counts examples."""
 
     def __init__(self, classes: int, share: np.ndarray):
         rng = np.random.default_rng(SEED)
-        self.share = share
+        self.share, self.trained = share, 0
         self.r = rng.normal(0, 0.3, (classes + 1, DIM)).astype(np.float32)
         self.c = np.ones((CONTEXT, DIM), np.float32) / CONTEXT
         self.q = rng.normal(0, 0.3, (classes, DIM)).astype(np.float32)
@@ -135,24 +150,24 @@ class LogBilinear:
 
     def train(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
         """Noise-contrastive steps (Adagrad): each target against ``NOISE`` draws from the classes' shares."""
-        k, noise = len(self.q), np.log(NOISE * self.share)
-        cdf = np.cumsum(self.share)
+        k, noise = len(self.q), np.log(NOISE * self.share).astype(np.float32)
+        keep, other = _alias(self.share)
         for at in range(0, len(target), BATCH):
             x, y = ctx[at : at + BATCH], target[at : at + BATCH]
             n = len(y)
-            drawn = np.minimum(np.searchsorted(cdf, rng.random((n, NOISE))), k - 1)
-            both = np.concatenate([y[:, None], drawn], axis=1)
-            hat = self.predicted(x)
-            logit = np.take_along_axis(hat @ self.q.T + self.b, both, axis=1) - noise[both]
+            cell = rng.integers(0, k, (n, NOISE))
+            both = np.concatenate([y[:, None], np.where(rng.random((n, NOISE)) < keep[cell], cell, other[cell])], axis=1)
+            flat = both + np.arange(n)[:, None] * k
+            met = self.r[x]
+            hat = (met * self.c).sum(axis=1)
+            logit = (hat @ self.q.T + self.b).ravel()[flat] - noise[both]
             off = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             off[:, 0] += 1
-            m = np.bincount((np.arange(n)[:, None] * k + both).ravel(), off.ravel(), n * k).reshape(n, k).astype(np.float32) / n
+            m = np.bincount(flat.ravel(), off.ravel(), n * k).reshape(n, k).astype(np.float32) / n
             back = m @ self.q
-            up = {"q": m.T @ hat, "b": m.sum(axis=0), "c": np.stack([(back * self.r[x[:, i]]).sum(axis=0) for i in range(CONTEXT)]), "r": np.zeros_like(self.r)}
-            for i in range(CONTEXT):
-                seen = np.zeros((n, k + 1), np.float32)
-                seen[np.arange(n), x[:, i]] = 1
-                up["r"] += seen.T @ (back * self.c[i])
+            up = {"q": m.T @ hat, "b": m.sum(axis=0), "c": np.einsum("nd,nid->id", back, met)}
+            entry = x[:, :, None] * DIM + np.arange(DIM)
+            up["r"] = np.bincount(entry.ravel(), (back[:, None] * self.c).ravel(), self.r.size).reshape(self.r.shape).astype(np.float32)
             for name, g in up.items():
                 s = squares.setdefault(name, np.full_like(g, 1e-6))
                 s += g * g
@@ -188,10 +203,10 @@ def train(docs: DataFrame, classes: Classes) -> LogBilinear:
             rng, squares, seen = np.random.default_rng(SEED), {}, 0
             for batch in chunks(batches, "text", 2 << 20):
                 ctx, target = [], []
-                for k, text in enumerate(batch.column("text").to_pylist()):
+                for text in batch.column("text").to_pylist():
                     kinds = classes.encode(text)[1]
-                    ctx.append(model.contexts(kinds)[k % STRIDE :: STRIDE])
-                    target.append(kinds[k % STRIDE :: STRIDE])
+                    ctx.append(model.contexts(kinds)[::STRIDE])
+                    target.append(kinds[::STRIDE])
                 x, y = np.concatenate(ctx), np.concatenate(target)
                 order = rng.permutation(len(y))
                 model.train(x[order], y[order], rng, squares)
@@ -204,6 +219,7 @@ def train(docs: DataFrame, classes: Classes) -> LogBilinear:
         if added.num_rows:
             value = added["value"].to_numpy()
             model.load(value[:-1] / value[-1])
+            model.trained += int(value[-1])
     return model
 
 

@@ -74,6 +74,24 @@ def test_training_lowers_the_loss(docs_of, monkeypatch):
     assert loss(after) < loss(before) - 0.2
 
 
+def test_every_position_is_trained_on(docs_of):
+    docs = docs_of([(i, some(80, i % 2) if i % 3 else "w1ed") for i in range(900)]).selectExpr("doc_id", "cast(text as binary) text")
+    classes = lm.Classes(lm.word_counts(docs), 900)
+    kinds = classes.encode(some(400, 1).encode())[1]
+    before, after = lm.LogBilinear(classes.size, classes.share), lm.train(docs, classes)
+    loss = lambda m: -m.log_probabilities(m.contexts(kinds), kinds).mean()
+    assert after.trained == classes.tokens
+    assert loss(after) < loss(before) - 0.2
+
+
+def test_noise_has_the_classes_shares():
+    share = np.array([0.5, 0.001, 0.3, 0.199])
+    keep, other = lm._alias(share)
+    got = keep / 4
+    np.add.at(got, other, (1 - keep) / 4)
+    assert np.allclose(got, share)
+
+
 def test_nothing_to_learn_from_and_no_rows(docs_of):
     got = lm.score_texts(docs_of([(1, "a b"), (2, None)]), docs_of([])).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
