@@ -696,7 +696,7 @@ def _(v):
 
 
 def _block_stream(v: Views) -> DataFrame:
-    own = stateful.table_stream(v.spark, f"{v.sf_dir}/embeddings.parquet")
+    own = stateful.table_stream(v.spark, f"{v.sf_dir}/embeddings.parquet", "vec_id", shared_dir(v.spark))
     return v.spark.sql(VIEWS["blocks"], embeddings=own)
 
 
@@ -714,7 +714,7 @@ PLAIN = "SELECT CAST(user_id % 3 AS INT) AS device_id, event_type AS channel, ev
 
 
 def _sample_stream(v: Views) -> DataFrame:
-    return v.spark.sql(PLAIN, events=stateful.table_stream(v.spark, f"{v.sf_dir}/events.parquet"))
+    return v.spark.sql(PLAIN, events=stateful.table_stream(v.spark, f"{v.sf_dir}/events.parquet", "event_id", shared_dir(v.spark)))
 
 
 @query("t2_stream_decimate", f"WITH p AS (SELECT *, row_number() OVER (PARTITION BY device_id, channel ORDER BY sample_idx) - 1 AS pos FROM ({PLAIN.format(events='events')})) SELECT device_id, channel, pos // 2 AS point, min_by(value, pos) AS first, max_by(value, pos) AS last, min(value) AS minimum, max(value) AS maximum, CAST(5000 AS DOUBLE) AS display_rate FROM p GROUP BY 1, 2, 3 HAVING count(*) = 2")

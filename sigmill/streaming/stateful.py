@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sigmill.operators.blocks import FLOAT_BYTES, continuity_key
 
 NONE = GroupStateTimeout.NoTimeout
+#: Rows of one file, so of one micro-batch, of a table that is streamed.
+FILE_ROWS = 1 << 15
 
 
 def _rows(frames: Iterator[pd.DataFrame], order: str) -> list[dict]:
@@ -74,8 +77,11 @@ def stream_latest(points: DataFrame, capacity: int) -> DataFrame:
     """The newest ``capacity`` points (device_id, channel, point_idx, minimum, maximum) of each channel after every batch."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
-        held = (held + [(int(r["point_idx"]), float(r["minimum"]), float(r["maximum"])) for r in _rows(frames, "point_idx")])[-capacity:]
+        held, new = (list(zip(*state.get)) if state.exists else []), []
+        for f in frames:  # no more than a frame and the newest points at once
+            new += [(int(i), float(low), float(high)) for i, low, high in f[["point_idx", "minimum", "maximum"]].itertuples(index=False)]
+            new = sorted(new, key=lambda p: p[0])[-capacity:]
+        held = (held + new)[-capacity:]
         if held:
             state.update(tuple(list(c) for c in zip(*held)))
         yield pd.DataFrame([(*key, i, *h) for i, h in enumerate(held)], columns=["device_id", "channel", "pos", "point_idx", "minimum", "maximum"])
@@ -150,6 +156,27 @@ def stream_fanout(blocks: DataFrame, folder: str, display_every: int) -> tuple[D
     return spark.read.parquet(f"{path}/stored").drop("part"), spark.read.parquet(f"{path}/shown").drop("part")
 
 
-def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over a Parquet table, be it a folder or a single file (which a stream takes by a pattern only)."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+def table_stream(spark: SparkSession, path: str, order: str, folder: str) -> DataFrame:
+    """A stream over a Parquet table in order of the column ``order``, of at most ``FILE_ROWS`` rows in a micro-batch.
+
+    The table is written to ``folder`` as files of that size; as a file stream
+    takes files by their time of change, that is set in their order.
+    """
+    table, made = spark.read.parquet(path), f"{folder}/feed-{uuid.uuid4().hex}"
+    parts = max(1, math.ceil(table.count() / FILE_ROWS))
+    table.repartitionByRange(parts, order).sortWithinPartitions(order).write.option("maxRecordsPerFile", FILE_ROWS).parquet(made)
+    where = spark._jvm.org.apache.hadoop.fs.Path(made)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=_place)
+    begin = fs.getFileStatus(files[0]).getModificationTime() if files else 0
+    for i, file in enumerate(files):
+        fs.setTimes(file, begin + i, -1)
+        if fs.getFileStatus(file).getModificationTime() != begin + i:
+            raise RuntimeError(f"{made}: the file system does not set times, so a stream would not keep the order")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(made)
+
+
+def _place(file) -> tuple[int, int]:
+    """Partition, and number within it, of a file that Spark's writer named."""
+    name = file.getName()
+    return int(name.split("-")[1]), int(re.search(r"c(\d+)\.", name)[1])

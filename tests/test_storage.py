@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigmill import registry
 from sigmill.functions.codecs import CODECS, PREPROCESSORS, compress, decompress, preprocess, restore
 from sigmill.operators import blocks, envelope
 from sigmill.plans.segment_files import manifest, segment_bytes
@@ -166,3 +167,32 @@ def test_stream_chunks_ends_runs(spark, tmp_path):
     stream = folder_stream(spark, f"{tmp_path}/c", schema, [rows[:1], rows[1:]])
     got = stateful.drain(stateful.stream_chunks(stream, 24), str(tmp_path)).drop("batch").collect()
     assert sorted((r.chunk, r.sample_start, r.sample_count, r.first, r.last, r.minimum, r.maximum) for r in got) == [(0, 0, 6, 0.0, 1.5, -1.0, 1.0), (1, 6, 6, 2.0, 3.5, -3.0, 3.0), (2, 12, 3, 4.0, 4.5, -4.0, 4.0)]
+
+
+@pytest.mark.parametrize("name", ["t1_stream_continuity", "t2_stream_decimate", "t3_stream_latest", "t4_stream_chunks"])
+def test_registered_streams_take_bounded_batches_in_order(spark, monkeypatch, name):
+    run = lambda: sorted(map(tuple, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    whole = run()
+    sizes, drain = [], stateful.drain
+
+    def watched(stream, folder, mode="append"):
+        out = drain(stream, folder, mode)
+        sizes.append(out.select("batch").distinct().count())
+        return out
+
+    monkeypatch.setattr(stateful, "FILE_ROWS", 100)
+    monkeypatch.setattr(stateful, "drain", watched)
+    assert run() == whole
+    assert name == "t1_stream_continuity" or sizes[0] > 1
+
+
+def test_table_stream_keeps_order_and_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "FILE_ROWS", 10)
+    spark.range(95).selectExpr("94 - id AS id").coalesce(1).write.parquet(f"{tmp_path}/table")
+    got = stateful.drain(stateful.table_stream(spark, f"{tmp_path}/table", "id", str(tmp_path)), str(tmp_path)).collect()
+    by_batch = {}
+    for r in got:
+        by_batch.setdefault(r.batch, []).append(r.id)
+    assert sorted(i for ids in by_batch.values() for i in ids) == list(range(95))
+    assert all(len(ids) <= 10 for ids in by_batch.values())
+    assert [i for b in sorted(by_batch) for i in sorted(by_batch[b])] == list(range(95))
