@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm import decontaminate, langid, lines, mixing, simhash
+from sigmill.llm import decontaminate, langid, lines, mixing, neardup
 from sigmill.llm.common import materialise, table
 
 
@@ -21,8 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document, that of the smallest id, of each group of near-duplicates (0.8 of five-word shingles)."""
+    return neardup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,96 @@
+"""Near-duplicates by exact Jaccard similarity of five-word shingles; candidates by banded MinHash.
+
+Two texts with a similarity of 0.8 share one of ``BANDS`` bands of ``ROWS``
+minima with a chance of 0.9996, and more alike ones with more. Texts that share
+a band are compared by their whole sets. Equal sets of words in order are one
+node. In a bucket, each node meets the next ``NEXT`` ones in a random order
+that differs by band, so the pairs grow with the nodes and not with their square;
+buckets of up to ``NEXT`` + 1 nodes have all their pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sigmill.llm.common import chunks, map_arrow, materialise, own_columns
+from sigmill.llm.components import connected_components
+from sigmill.llm.simhash import keep_first
+
+SHINGLE, MIN_JACCARD = 5, 0.8
+BANDS, ROWS, SEED = 20, 5, 42
+NEXT = 4
+#: Nodes of one bucket that are put in order at once.
+CELL = 64
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of the runs of five words; of all words if there are fewer; none without words."""
+    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) > SHINGLE else [b" ".join(words)] if words else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """One key for each band of minima."""
+    if not len(found):
+        return []
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        np.minimum(least, (found[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(src, dst): pairs of nodes (node, bands) that meet in a bucket."""
+    posts = nodes.select("node", F.explode("bands").alias("key"))
+    many = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    cells = posts.join(many, "key").withColumn("turn", F.xxhash64("key", "node")).withColumn("cell", F.pmod("turn", F.ceil(F.col("n") / CELL)))
+    lists = cells.groupBy("key", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "node"))), lambda x: x["node"]).alias("met"))
+    pairs = lists.select("met", F.posexplode("met").alias("at", "a")).select("a", F.explode(F.slice("met", F.col("at") + 2, NEXT)).alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): one row for each row of ``docs``; the smallest id that links of 0.8 similarity reach."""
+    own = own_columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
+
+    def mark(batch: pa.RecordBatch) -> dict:
+        words = [(t or b"").lower().split() for t in batch.column("text").to_pylist()]
+        sets = [shingles(w) for w in words]
+        node = [xxhash.xxh64_intdigest(b" ".join(w), SEED) - (1 << 63) for w in words]
+        return {"doc_id": batch.column("doc_id"), "node": pa.array(node, pa.int64()), "bands": pa.array([bands(s) for s in sets], pa.list_(pa.int64())), "found": pa.array([s.tobytes() for s in sets], pa.binary())}
+
+    rows = materialise(map_arrow(own, mark, f"doc_id {docs.schema[id_col].dataType.simpleString()}, node long, bands array<long>, found binary"))
+    nodes = rows.select("node", "bands").dropDuplicates(["node"])
+    pairs = materialise(candidates(nodes))
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    sets = materialise(rows.select("node", "found").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "a"):
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a", "b"))
+            near = pa.array([jaccard(x, y) >= MIN_JACCARD for x, y in zip(a, b)], pa.bool_())
+            yield batch.select(["src", "dst"]).filter(near)
+
+    met = pairs.join(sets.select(F.col("node").alias("src"), F.col("found").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("found").alias("b")), "dst")
+    roots = connected_components(met.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long"))
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    placed = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their component, as ``simhash.one_of_each`` keeps them."""
+    return keep_first(docs, components(docs, id_col, text_col), id_col, text_col)

@@ -163,7 +163,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with that id and the same text one stays. Rows without an id stay,
     as no id can stand for them.
     """
-    first = near_duplicates(docs, id_col, text_col, bits).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, bits), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is that of their component in ``groups`` (doc_id, component_id), once for each text, and those without an id."""
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     copy = F.row_number().over(Window.partitionBy(id_col, "__text").orderBy(F.lit(1)))
     kept = docs.join(first, id_col, "left_semi").withColumn("__text", F.xxhash64(text_col)).withColumn("__copy", copy).filter("__copy = 1").drop("__text", "__copy")
     return kept.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

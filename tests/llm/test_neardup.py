@@ -1,0 +1,32 @@
+import random
+
+from sigmill.llm import neardup
+
+
+def test_near_copies_of_ordinary_length_go_and_others_stay(docs_of):
+    rng = random.Random(8)
+    rows, gone = [], set()
+    for i in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range((100, 200, 500)[i % 3])]
+        near, far = list(words), list(words)
+        near[20], near[60] = "changed", "too"  # 10 of its shingles
+        for at in range(5, 95, 6):
+            far[at] = f"other{i}"
+        if i % 3:
+            far[100:] = [f"rest{i}"] * (len(words) - 100)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(near)), (2000 + i, " ".join(far))]
+        gone.add(1000 + i)
+    kept = {r.doc_id for r in neardup.one_of_each(docs_of(rows)).collect()}
+    assert kept == {i for i, _ in rows} - gone
+
+
+def test_a_large_group_is_one_component(docs_of):
+    words = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[:i], "x", *words[i + 1 :]])) for i in range(300)]
+    assert {r.component_id for r in neardup.components(docs_of(rows)).collect()} == {0}
+
+
+def test_empty_and_null(docs_of):
+    assert neardup.one_of_each(docs_of([])).count() == 0
+    kept = neardup.one_of_each(docs_of([(1, ""), (2, None), (3, "a b"), (4, "A  b"), (None, "x")])).collect()
+    assert sorted((r.doc_id for r in kept), key=repr) == [1, 3, None]
