@@ -5,7 +5,7 @@ from sigmill.llm.common import materialise
 
 from .test_lines import brute
 from .test_mixing import expected as mixed
-from .test_simhash import slow_components
+from .test_simhash import slow_similarity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ITEM = "which of the seven hills near the harbour carries the oldest lighthouse still in use today"
@@ -52,8 +52,10 @@ def test_stages_do_what_brute_force_does(spark, tables):
             assert all(r.n_chars == len(r.text) for r in after)
             assert 100 not in {r.doc_id for r in after}
         elif name == "simhash_near_dedup":
-            groups = {(d, f): c for d, f, c in slow_components([(r.doc_id, r.text) for r in before])}
-            assert {r.doc_id for r in after} == {d for (d, _), c in groups.items() if d == c} | {None}
+            rows_left = sorted(((r.doc_id, r.text) for r in before if r.doc_id is not None), key=repr)
+            later = {e for d, t in rows_left for e, u in rows_left if e > d and slow_similarity(t or "", u or "") >= 0.8}
+            assert {r.doc_id for r in after} == {d for d, _ in rows_left} - later | {None}
+            assert 121 in later
             assert sum(r.doc_id == 107 for r in after) == 1
         elif name == "benchmark_decontamination":
             assert {r.doc_id for r in before} - {r.doc_id for r in after} == {105}
