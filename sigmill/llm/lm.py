@@ -1,16 +1,21 @@
-"""Log-probabilities of texts under a log-bilinear model over word classes, trained by noise-contrastive estimation.
-
-A word is predicted in two steps, so that the whole vocabulary has normalised
-probabilities at the cost of a few hundred outputs: the class from the classes
-of the words before it (log-bilinear: the context's vectors, each weighted for
-its place, add up to a predicted vector that meets the class's vector), then
-the word in its class by its count. The most frequent words and the end of a
-text are classes of their own; other words share the class of their last two
-bytes. Each class of several words keeps a share for unknown ones.
+"""Log-probabilities of texts under a log-bilinear model over a tree of word classes, trained by noise-contrastive estimation.
+
+A word is predicted in steps, so that the whole vocabulary has normalised
+probabilities at a small cost: the group of its class from the classes of the
+words before it (log-bilinear: the context's vectors, each weighted for its
+place, add up to a predicted vector that meets the group's vector), the class
+in its group alike, then the word in its class by its count. The most frequent
+words and the end of a text are classes of their own; other words share the
+class of their last two bytes. Each class of several words keeps a share for
+unknown ones. The classes grow as the square root of the vocabulary, and their
+groups as the square root of that.
 
 Counts cover all training documents, and the model is trained on every position
-of them, in every task on its own, in ``ROUNDS`` that take disjoint documents;
-tasks' parameters are averaged by Spark after each round.
+of them. Documents are dealt by hash to pieces of ``PIECE_BYTES``, and a piece
+is trained on in order by one task, so that the result does not depend on how
+the table is split. Round k takes 2**k pieces that no other round takes; all
+start from the mean of the round before (parameters and step sizes), summed by
+Spark in whole numbers.
 Counts of the ``FREQUENT`` most frequent words go to all tasks; those of other
 words are joined.
 """
@@ -29,14 +34,16 @@ from pyspark.sql import functions as F
 from sigmill.llm.common import chunks, hash_mod, materialise, own_columns, table
 
 FREQUENT = 200_000
-#: Frequent words that are classes of their own, and classes by ending.
-SINGLES, ENDINGS = 160, 93
+#: Classes, as a multiple of the vocabulary's square root and at least, and the share of them that are words.
+CLASSES, LEAST_CLASSES, SINGLES = 2.0, 256, 0.62
 CONTEXT, DIM = 4, 16
-#: Every so many positions of a text are trained on (1: all), and rounds.
-STRIDE, ROUNDS = 1, 2
-NOISE, BATCH, RATE, SEED = 8, 512, 0.15, 29
+#: Text of a piece, and text whose positions are shuffled before they are trained on.
+PIECE_BYTES, MIXED_BYTES = 4 << 20, 1 << 20
+NOISE, BATCH, RATE, SEED = 8, 1024, 0.15, 29
 #: Words that a task counts before it passes the counts on.
 _HELD = 200_000
+#: Parameters are summed in units of this.
+_UNIT = 1 << 24
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -72,32 +79,42 @@ class Classes:
         words = sorted(zip(common["n"].to_pylist(), common["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
         by_end = counts.groupBy(F.expr("substring(word, -2, 2)").alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()  # at most 65,792 rows
         mass = {e: [n, k] for e, n, k in zip(by_end["ending"].to_pylist(), by_end["n"].to_pylist(), by_end["words"].to_pylist())}
-        singles = words[:SINGLES]
+        size = min(FREQUENT, max(LEAST_CLASSES, int(CLASSES * self.types**0.5)))
+        singles = words[: int(SINGLES * size)]
         for n, w in singles:
             mass[w[-2:]][0] -= n
             mass[w[-2:]][1] -= 1
-        self.end, self.other = len(singles), len(singles) + 1
-        endings = sorted(mass, key=lambda e: (-mass[e][0], e))[:ENDINGS]
-        self.ending = {e: self.other + 1 + i for i, e in enumerate(endings)}
-        self.size = self.other + 1 + len(endings)
+        endings = sorted(mass, key=lambda e: (-mass[e][0], e))[: max(0, size - len(singles) - 2)]
+        # classes in the order of their spelling from the end, so that a group has like endings; the end of a text and the rest come first
+        order = sorted([(w[::-1], 0, w) for _, w in singles] + [(e[::-1], 1, e) for e in endings])
+        self.groups = max(1, round((len(order) + 2) ** 0.5))
+        self.width = -(-(len(order) + 2) // self.groups)
+        self.size = self.groups * self.width  # the last classes of the last group are empty
+        self.end, self.other = 0, 1
+        word = {w: 2 + i for i, (_, kind, w) in enumerate(order) if not kind}
+        self.ending = {e: 2 + i for i, (_, kind, e) in enumerate(order) if kind}
         group = np.zeros((self.size, 2), np.int64)
         for e, (n, k) in mass.items():
             group[self.ending.get(e, self.other)] += n, k
+        weight = group[:, 0].astype(float)
+        for n, w in singles:
+            weight[word[w]] = n
+        weight[self.end] = texts
+        self.single = np.zeros(self.size, bool)
+        self.single[[self.end, *word.values()]] = True
         self.group = group.sum(axis=1) + 1  # what the known words' counts plus one each, and an unknown word, share
-        self.group[: self.end + 1] = 1
+        self.group[self.single] = 1
         self.place = {w: i for i, (_, w) in enumerate(words)}
         self.count = np.array([n for n, _ in words], np.int64)
-        self.of = np.array([i if i < len(singles) else self.ending.get(w[-2:], self.other) for i, (_, w) in enumerate(words)], np.int64)
-        weight = group[:, 0].astype(float)
-        weight[: len(singles)] = self.count[: len(singles)]
-        weight[self.end] = texts
-        self.share = (weight + 1) / (weight + 1).sum()
+        self.of = np.array([word[w] if w in word else self.ending.get(w[-2:], self.other) for _, w in words], np.int64)
+        weight += np.arange(self.size) < len(order) + 2
+        self.share = weight / weight.sum()
 
     def encode(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Places of a text's words among the frequent ones (-1: none), classes of its words and its end, and the words."""
         words = (text or b"").lower().split()
-        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        kind = np.full(len(words) + 1, self.end, np.int64)
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+        kind = np.full(len(words) + 1, self.end, np.int32)
         if len(words):
             kind[:-1] = self.of[place] if len(self.of) else self.other
             rare = np.flatnonzero(place < 0)
@@ -119,106 +136,188 @@ def _alias(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keep, other
 
 
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` and the sums of their ``values``."""
+    order = np.argsort(rows, kind="stable")
+    found = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return found[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class LogBilinear:
-    """Parameters: r (context vectors, the last for what is before a text), c (weights by place), q and b (outputs); ``trained`` counts examples."""
+    """Parameters: r (vectors of context classes, the last for what is before a text), c (weights by place), g (groups) and q (classes in groups), both with the bias as last dimension; ``squares`` has Adagrad's sums for each."""
+
+    NAMES = ("r", "c", "g", "q")
 
-    def __init__(self, classes: int, share: np.ndarray):
+    def __init__(self, groups: int, width: int, share: np.ndarray):
         rng = np.random.default_rng(SEED)
-        self.share, self.trained = share, 0
-        self.r = rng.normal(0, 0.3, (classes + 1, DIM)).astype(np.float32)
+        self.groups, self.width, self.trained = groups, width, 0
+        self.share = share.reshape(groups, width)
+        self.of_group = self.share.sum(axis=1)
+        inside = self.share / np.maximum(self.of_group, 1e-300)[:, None]
+        self.r = rng.normal(0, 0.3, (groups * width + 1, DIM)).astype(np.float32)
         self.c = np.ones((CONTEXT, DIM), np.float32) / CONTEXT
-        self.q = rng.normal(0, 0.3, (classes, DIM)).astype(np.float32)
-        self.b = np.log(share).astype(np.float32)
+        self.g = np.concatenate([rng.normal(0, 0.3, (groups, DIM)), np.log(self.of_group)[:, None]], axis=1).astype(np.float32)
+        with np.errstate(divide="ignore"):
+            bias = np.maximum(np.log(inside), -1e4)  # empty classes have no chance
+        self.q = np.concatenate([rng.normal(0, 0.3, (groups * width, DIM)) * (share > 0)[:, None], bias.reshape(-1, 1)], axis=1).astype(np.float32)
+        self.squares = {n: np.full_like(getattr(self, n), 1e-6) for n in self.NAMES}
+        self.group_noise = (*_alias(self.of_group), np.log(NOISE * self.of_group).astype(np.float32))
+        tables = [_alias(x) for x in inside]
+        self.class_noise = np.stack([k for k, _ in tables]), np.stack([o for _, o in tables]), (np.log(NOISE) + bias).astype(np.float32)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c, self.q, self.b)]).astype(float)
+        return np.concatenate([x.ravel() for n in self.NAMES for x in (getattr(self, n), self.squares[n])]).astype(float)
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for name in ("r", "c", "q", "b"):
-            x = getattr(self, name)
-            setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
+        for n in self.NAMES:
+            for store in (self.__dict__, self.squares):
+                x = store[n]
+                store[n] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
 
     def contexts(self, kinds: np.ndarray) -> np.ndarray:
         """(positions, CONTEXT) classes before each position of one text, the nearest first."""
-        padded = np.concatenate([np.full(CONTEXT, len(self.q)), kinds])
+        padded = np.concatenate([np.full(CONTEXT, len(self.r) - 1, kinds.dtype), kinds])
         return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
 
-    def predicted(self, ctx: np.ndarray) -> np.ndarray:
-        return sum(self.c[i] * self.r[ctx[:, i]] for i in range(CONTEXT))
+    def _step(self, name: str, rows: np.ndarray | slice, up: np.ndarray) -> None:
+        s = self.squares[name][rows] + up * up
+        self.squares[name][rows] = s
+        getattr(self, name)[rows] += RATE * up / np.sqrt(s)
 
-    def train(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator, squares: dict) -> None:
-        """Noise-contrastive steps (Adagrad): each target against ``NOISE`` draws from the classes' shares."""
-        k, noise = len(self.q), np.log(NOISE * self.share).astype(np.float32)
-        keep, other = _alias(self.share)
+    def train(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+        """Noise-contrastive steps (Adagrad): each group, and each class in its group, against ``NOISE`` draws from the shares."""
+        k, w = self.groups, self.width
+        keep, other, noise = self.group_noise
+        class_keep, class_other, class_noise = self.class_noise
         for at in range(0, len(target), BATCH):
             x, y = ctx[at : at + BATCH], target[at : at + BATCH]
             n = len(y)
+            top, low = np.divmod(y, w)
+            met = self.r[x]
+            hat = np.ones((n, DIM + 1), np.float32)
+            hat[:, :-1] = np.einsum("nid,id->nd", met, self.c)
             cell = rng.integers(0, k, (n, NOISE))
-            both = np.concatenate([y[:, None], np.where(rng.random((n, NOISE)) < keep[cell], cell, other[cell])], axis=1)
+            both = np.concatenate([top[:, None], np.where(rng.random((n, NOISE)) < keep[cell], cell, other[cell])], axis=1)
             flat = both + np.arange(n)[:, None] * k
-            met = self.r[x]
-            hat = (met * self.c).sum(axis=1)
-            logit = (hat @ self.q.T + self.b).ravel()[flat] - noise[both]
-            off = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            off[:, 0] += 1
+            off = self._off((hat @ self.g.T).ravel()[flat] - noise[both])
             m = np.bincount(flat.ravel(), off.ravel(), n * k).reshape(n, k).astype(np.float32) / n
-            back = m @ self.q
-            up = {"q": m.T @ hat, "b": m.sum(axis=0), "c": np.einsum("nd,nid->id", back, met)}
-            entry = x[:, :, None] * DIM + np.arange(DIM)
-            up["r"] = np.bincount(entry.ravel(), (back[:, None] * self.c).ravel(), self.r.size).reshape(self.r.shape).astype(np.float32)
-            for name, g in up.items():
-                s = squares.setdefault(name, np.full_like(g, 1e-6))
-                s += g * g
-                setattr(self, name, getattr(self, name) + RATE * g / np.sqrt(s))
-
-    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, block: int = 1024) -> np.ndarray:
-        """Normalised natural log-probabilities of the targets, by products over blocks of positions."""
+            back = m @ self.g
+            cell = rng.integers(0, w, (n, NOISE))
+            drawn = np.where(rng.random((n, NOISE)) < class_keep[top[:, None], cell], cell, class_other[top[:, None], cell])
+            inside = np.concatenate([low[:, None], drawn], axis=1)
+            rows = top[:, None] * w + inside
+            q = self.q[rows]
+            off = (self._off(np.einsum("nkd,nd->nk", q, hat) - class_noise[top[:, None], inside]) / n).astype(np.float32)
+            back += np.einsum("nk,nkd->nd", off, q)
+            up_c = np.einsum("nd,nid->id", back[:, :-1], met)
+            touched, up_q = _row_sums(rows.ravel(), (off[:, :, None] * hat[:, None]).reshape(-1, DIM + 1))
+            met_rows, up_r = _row_sums(x.ravel(), (back[:, None, :-1] * self.c).reshape(-1, DIM))
+            self._step("g", slice(None), m.T @ hat)
+            self._step("q", touched, up_q)
+            self._step("c", slice(None), up_c)
+            self._step("r", met_rows, up_r)
+
+    @staticmethod
+    def _off(logit: np.ndarray) -> np.ndarray:
+        """How far the chance that each candidate is data is from what it is; the first candidate is."""
+        off = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        off[:, 0] += 1
+        return off
+
+    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """Normalised natural log-probabilities of the target classes, by matrix products over blocks of positions."""
         out = np.empty(len(target))
-        weights = np.concatenate([self.q.T, self.b[None]]).astype(np.float32)  # the biases as one more dimension
-        ones, most = np.ones(len(self.q), np.float32), np.abs(weights).max(axis=1)
-        hat = np.ones((block, DIM + 1), np.float32)
         placed = [c * self.r for c in self.c]
+        g, q = np.ascontiguousarray(self.g.T), np.ascontiguousarray(self.q.reshape(self.groups, self.width, -1).transpose(0, 2, 1))
         for at in range(0, len(target), block):
-            n = len(target[at : at + block])
-            np.sum([x[ctx[at : at + block, i]] for i, x in enumerate(placed)], axis=0, out=hat[:n, :-1])
-            logit = hat[:n] @ weights
-            high = logit.max(axis=1) if (np.abs(hat[:n]) @ most).max() > 60 else np.zeros(n, np.float32)  # beyond that, exp might leave the range
-            chosen = logit[np.arange(n), target[at : at + block]]
-            if high.any():
-                logit -= high[:, None]
-            np.exp(logit, out=logit)
-            out[at : at + block] = chosen - high - np.log(logit @ ones)
+            y = target[at : at + block]
+            top, low = np.divmod(y, self.width)
+            order = np.argsort(top, kind="stable")
+            top, low, x = top[order], low[order], ctx[at : at + block][order]
+            hat = np.ones((len(y), DIM + 1), np.float32)
+            np.sum([p[x[:, i]] for i, p in enumerate(placed)], axis=0, out=hat[:, :-1])
+            found = np.empty(len(y))
+            for a in range(0, len(y), 1024):
+                found[a : a + 1024] = _log_softmax(hat[a : a + 1024] @ g, top[a : a + 1024])
+            cuts = np.flatnonzero(np.diff(top)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(y)]):
+                for i in range(a, b, 1024):
+                    j = min(b, i + 1024)
+                    found[i:j] += _log_softmax(hat[i:j] @ q[top[a]], low[i:j])
+            out[at + order] = found
         return out
 
 
-def train(docs: DataFrame, classes: Classes) -> LogBilinear:
-    """A model from (doc_id, text) rows: rounds on disjoint documents, the tasks' parameters averaged by their examples."""
-    model = LogBilinear(classes.size, classes.share)
-    for number in range(ROUNDS):
-        part = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == number).select("text")
-
-        def run(batches: Iterator[pa.RecordBatch], model: LogBilinear = model) -> Iterator[pa.RecordBatch]:
-            rng, squares, seen = np.random.default_rng(SEED), {}, 0
-            for batch in chunks(batches, "text", 2 << 20):
-                ctx, target = [], []
-                for text in batch.column("text").to_pylist():
-                    kinds = classes.encode(text)[1]
-                    ctx.append(model.contexts(kinds)[::STRIDE])
-                    target.append(kinds[::STRIDE])
-                x, y = np.concatenate(ctx), np.concatenate(target)
-                order = rng.permutation(len(y))
-                model.train(x[order], y[order], rng, squares)
-                seen += len(y)
-            if seen:
-                flat = np.append(model.flat(), 1.0) * seen
-                yield pa.RecordBatch.from_pydict({"entry": pa.array(np.arange(len(flat), dtype=np.int32)), "value": pa.array(flat)})
+def _log_softmax(logit: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the chosen columns."""
+    own = logit[np.arange(len(logit)), chosen]
+    if logit.max() > 60:  # beyond that, sums of exponentials might leave the range
+        high = logit.max(axis=1, keepdims=True)
+        logit, own = logit - high, own - high[:, 0]
+    return own - np.log(np.exp(logit).sum(axis=1))
+
+
+def rounds(pieces: int) -> list[tuple[int, int]]:
+    """Ranges of pieces: one, two, four and so on, the last with what is left."""
+    out, at = [], 0
+    while at < pieces:
+        out.append((at, min(pieces, 2 * at + 1)))
+        at = out[-1][1]
+    return out
 
-        added = part.mapInArrow(run, "entry int, value double").groupBy("entry").agg(F.sum("value").alias("value")).toArrow().sort_by("entry")
+
+def train(docs: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE_BYTES) -> LogBilinear:
+    """A model from (doc_id, text) rows of ``size`` bytes of text in all."""
+    model = LogBilinear(classes.groups, classes.width, classes.share)
+    pieces = -(-size // piece_bytes) if classes.texts else 0
+    placed = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("piece", F.pmod("h", F.lit(max(1, pieces))))
+    for low, high in rounds(max(pieces, classes.texts > 0)):
+        start = model.flat()
+
+        def run(batches: Iterator[pa.RecordBatch], model: LogBilinear = model, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(start) + 2, np.int64)  # the parameters, their weight, the examples
+            now, texts, held, seen = None, [], 0, 0
+
+            def learn() -> int:
+                kinds = [classes.encode(t)[1] for t in texts]
+                x, y = np.concatenate([model.contexts(k) for k in kinds]), np.concatenate(kinds)
+                order = rng.permutation(len(y))
+                model.train(x[order], y[order], rng)
+                texts.clear()
+                return len(y)
+
+            def close() -> None:
+                weight = -(-seen // 4096)
+                total[:-2] += np.rint(model.flat() * weight * _UNIT).astype(np.int64)
+                total[-2:] += weight, seen
+
+            for batch in batches:
+                for piece, text in zip(batch.column("piece").to_pylist(), batch.column("text").to_pylist()):
+                    if piece != now:
+                        if now is not None:
+                            seen += learn() if texts else 0
+                            close()
+                        now, held, seen, rng = piece, 0, 0, np.random.default_rng([SEED, piece])
+                        model.load(start)
+                    texts.append(text)
+                    held += len(text)
+                    if held > MIXED_BYTES:
+                        seen += learn()
+                        held = 0
+            if now is not None:
+                seen += learn() if texts else 0
+                close()
+                yield pa.RecordBatch.from_pydict({"entry": pa.array(np.arange(len(total), dtype=np.int32)), "value": pa.array(total)})
+
+        part = placed.filter(F.col("piece").between(low, high - 1))
+        dealt = part.repartition(2 * (high - low), "piece").sortWithinPartitions("piece", "h", "doc_id", "text").select("piece", "text")
+        added = dealt.mapInArrow(run, "entry int, value long").groupBy("entry").agg(F.sum("value").alias("value")).toArrow().sort_by("entry")
         if added.num_rows:
             value = added["value"].to_numpy()
-            model.load(value[:-1] / value[-1])
+            model.load(value[:-2] / value[-2] / _UNIT)
             model.trained += int(value[-1])
     return model
 
@@ -231,7 +330,7 @@ def score(docs: DataFrame, counts: DataFrame, classes: Classes, model: LogBiline
         group_log = np.log10(classes.group)
         count_log = np.log10(classes.count + 1)
         for batch in chunks(batches, "text"):
-            keys, texts = batch.column("dk").to_pylist(), batch.column("text").to_pylist()
+            keys, texts = list(zip(batch.column("dk").to_pylist(), batch.column("dk2").to_pylist())), batch.column("text").to_pylist()
             ctx, target, size, own, known, known_log, inside = [], [], [], [], [], [], []
             rare_key, rare_word, rare_n, rare_first = [], [], [], []
             for key, text in zip(keys, texts):
@@ -243,7 +342,7 @@ def score(docs: DataFrame, counts: DataFrame, classes: Classes, model: LogBiline
                 log = count_log[found]
                 known.append(len(found) + (classes.texts > 0))
                 known_log.append(float(log.sum()) + np.log10(classes.texts + 1))
-                inside.append(float(log[found >= classes.end].sum()) - float(group_log[kinds].sum()))  # words that are no class of their own
+                inside.append(float(log[~classes.single[classes.of[found]]].sum()) - float(group_log[kinds].sum()))  # words that are no class of their own
                 rare = Counter(words[i] for i in np.flatnonzero(place < 0).tolist())
                 rare_key += [key] * len(rare)
                 rare_word += rare.keys()
@@ -257,7 +356,8 @@ def score(docs: DataFrame, counts: DataFrame, classes: Classes, model: LogBiline
             both = lambda a, b: pa.concat_arrays([a, b])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "dk": pa.array([*keys, *rare_key], pa.int64()),
+                    "dk": pa.array([k for k, _ in [*keys, *rare_key]], pa.int64()),
+                    "dk2": pa.array([k for _, k in [*keys, *rare_key]], pa.int64()),
                     "doc_id": both(batch.column("doc_id"), none(batch.column("doc_id").type, m)),
                     "n_tokens": both(pa.array(size, pa.int64()), none(pa.int64(), m)),
                     "known": both(pa.array(known, pa.int64()), none(pa.int64(), m)),
@@ -270,13 +370,13 @@ def score(docs: DataFrame, counts: DataFrame, classes: Classes, model: LogBiline
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), "text")
-    found = materialise(keyed.mapInArrow(run, f"dk long, doc_id {kind}, n_tokens long, known long, known_log double, own_score double, word binary, n long, first int"))
-    rare = found.filter("word is not null").select("dk", "word", "n", "first")
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.xxhash64(F.lit(1), "doc_id", "text").alias("dk2"), "text")
+    found = materialise(keyed.mapInArrow(run, f"dk long, dk2 long, doc_id {kind}, n_tokens long, known long, known_log double, own_score double, word binary, n long, first int"))
+    rare = found.filter("word is not null").select("dk", "dk2", "word", "n", "first")
     of = counts.withColumnRenamed("n", "c")
-    sums = rare.join(of, "word", "left").groupBy("dk").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("log"), F.sum("first").alias("copies"))
-    sums = sums.select("dk", (F.col("more") / F.col("copies")).cast("long").alias("more"), (F.col("log") / F.col("copies")).alias("log"))  # of one of the rows that are copies
-    rows = found.filter("word is null").join(sums, "dk", "left").fillna({"more": 0, "log": 0.0})
+    sums = rare.join(of, "word", "left").groupBy("dk", "dk2").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("log"), F.sum("first").alias("copies"))
+    sums = sums.select("dk", "dk2", (F.col("more") / F.col("copies")).cast("long").alias("more"), (F.col("log") / F.col("copies")).alias("log"))  # of one of the rows that are copies
+    rows = found.filter("word is null").join(sums, ["dk", "dk2"], "left").fillna({"more": 0, "log": 0.0})
     return rows.select(
         "doc_id",
         "n_tokens",
@@ -298,8 +398,9 @@ def score_texts(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_
     own = lambda df: own_columns(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
     seen = own(learn)
     counts = materialise(word_counts(seen))
-    classes = Classes(counts, seen.count())
-    return score(own(docs), counts, classes, train(seen, classes))
+    texts, size = seen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    classes = Classes(counts, texts)
+    return score(own(docs), counts, classes, train(seen, classes, size))
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,6 @@ def test_base_scores_match_brute_force(scored, monkeypatch):
 
 def test_rare_words_are_joined_alike(docs_of, scored, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 50)
-    monkeypatch.setattr(lm, "SINGLES", 160)
     again = lm.score_texts(docs_of(ALL), docs_of(LEARN)).collect()
     key = lambda r: (repr(r.doc_id), r.n_tokens, round(r.base_score, 6))
     a, b = sorted(scored, key=key), sorted(again, key=key)
@@ -48,40 +47,84 @@ def test_rare_words_are_joined_alike(docs_of, scored, monkeypatch):
     assert np.allclose([r.base_score for r in a], [r.base_score for r in b])
 
 
+def fresh(classes):
+    return lm.LogBilinear(classes.groups, classes.width, classes.share)
+
+
 def test_probabilities_of_all_words_sum_to_one(spark, docs_of):
     counts = lm.word_counts(docs_of(LEARN).selectExpr("cast(text as binary) text"))
     classes = lm.Classes(counts, len(LEARN))
-    model = lm.LogBilinear(classes.size, classes.share)
-    ctx = model.contexts(np.array([3, 5, 1, 0]))
+    model = fresh(classes)
+    ctx = model.contexts(np.array([3, 5, 1, 0]))[:4]
     by_class = np.array([np.exp(model.log_probabilities(ctx, np.full(4, k))) for k in range(classes.size)])
     assert np.allclose(by_class.sum(axis=0), 1, atol=1e-4)
+    assert np.allclose(by_class[classes.share == 0], 0)
     inside = np.zeros(classes.size)
     for place, k in enumerate(classes.of):
-        inside[k] += 1.0 if k < classes.end else (classes.count[place] + 1) / classes.group[k]
+        inside[k] += 1.0 if classes.single[k] else (classes.count[place] + 1) / classes.group[k]
     inside[classes.end] = 1
-    unknown = 1 / classes.group
-    unknown[: classes.end + 1] = 0
-    assert np.allclose(inside + unknown, 1)
+    unknown = np.where(classes.single, 0, 1 / classes.group)
+    assert np.allclose((inside + unknown)[classes.share > 0], 1)
+
+
+def slow_score(model, classes, kinds):
+    """Every position on its own, with a softmax over the groups and one over the group's classes."""
+    total, before = 0.0, [len(model.r) - 1] * lm.CONTEXT
+    for k in kinds.tolist():
+        hat = np.append(sum(model.c[i].astype(float) * model.r[b] for i, b in enumerate(before)), 1.0)
+        top, low = divmod(k, classes.width)
+        for weights, chosen in ((model.g, top), (model.q[top * classes.width : (top + 1) * classes.width], low)):
+            logit = weights.astype(float) @ hat
+            total += logit[chosen] - np.log(np.exp(logit - logit.max()).sum()) - logit.max()
+        before = [k, *before[:-1]]
+    return total
+
+
+def test_scores_match_brute_force(docs_of, scored):
+    learn = docs_of(LEARN).selectExpr("doc_id", "coalesce(cast(text as binary), cast('' as binary)) text")
+    counts = lm.word_counts(learn)
+    classes = lm.Classes(counts, len(LEARN))
+    model = lm.train(learn, classes, sum(len(t or "") for _, t in LEARN))
+    count = {r.word: r.n for r in counts.collect()}
+    want = []
+    for i, t in ALL:
+        if t and len(t) > 9000:
+            continue
+        kinds, words = classes.encode((t or "").encode())[1:]
+        total = slow_score(model, classes, kinds) / math.log(10)
+        for k, w in zip(kinds.tolist(), words):
+            if not classes.single[k]:
+                total += math.log10((count.get(bytes(w), 0) + 1) / classes.group[k])
+        want.append((i, len(kinds), round(total, 1)))
+    got = [(r.doc_id, r.n_tokens, round(r.score, 1)) for r in scored if r.n_tokens < 9000]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_training_lowers_the_loss(docs_of, monkeypatch):
-    monkeypatch.setattr(lm, "STRIDE", 1)
-    docs = docs_of([(i, some(80, i % 2)) for i in range(900)]).selectExpr("doc_id", "cast(text as binary) text")
+def learned(docs_of, size, parts=2, some_text=None):
+    rows = [(i, some_text or some(80, i % 2) if i % 3 else "w1ed") for i in range(900)]
+    docs = docs_of(rows).selectExpr("doc_id", "cast(text as binary) text").repartition(parts)
     classes = lm.Classes(lm.word_counts(docs), 900)
-    kinds = classes.encode(some(400, 1).encode())[1]
-    before, after = lm.LogBilinear(classes.size, classes.share), lm.train(docs, classes)
-    loss = lambda m: -m.log_probabilities(m.contexts(kinds), kinds).mean()
-    assert loss(after) < loss(before) - 0.2
+    return classes, lm.train(docs, classes, sum(len(t) for _, t in rows), size)
 
 
-def test_every_position_is_trained_on(docs_of):
-    docs = docs_of([(i, some(80, i % 2) if i % 3 else "w1ed") for i in range(900)]).selectExpr("doc_id", "cast(text as binary) text")
-    classes = lm.Classes(lm.word_counts(docs), 900)
+@pytest.mark.parametrize("size", [1 << 22, 20_000])
+def test_every_position_is_trained_on(docs_of, size):
+    classes, after = learned(docs_of, size)
     kinds = classes.encode(some(400, 1).encode())[1]
-    before, after = lm.LogBilinear(classes.size, classes.share), lm.train(docs, classes)
     loss = lambda m: -m.log_probabilities(m.contexts(kinds), kinds).mean()
     assert after.trained == classes.tokens
-    assert loss(after) < loss(before) - 0.2
+    assert loss(after) < loss(fresh(classes)) - 0.2
+
+
+def test_the_split_of_the_table_changes_nothing(docs_of):
+    text = some(80, 1)
+    (_, a), (_, b) = learned(docs_of, 20_000, 1, text), learned(docs_of, 20_000, 7, text)
+    assert a.trained == b.trained and np.array_equal(a.flat(), b.flat())
+
+
+def test_rounds_take_each_piece_once():
+    for n in (0, 1, 2, 3, 7, 8, 110):
+        assert [p for low, high in lm.rounds(n) for p in range(low, high)] == list(range(n))
 
 
 def test_noise_has_the_classes_shares():
