@@ -2,11 +2,13 @@
 
 Features of a word: its affixes, its character n-grams, and for each language
 whether its lexicon has the word. Weights and transitions are learned on the
-driver from a bounded sample of labelled documents, and from sequences spliced
-from them in which the language changes, as whole documents never show that.
-Documents are labelled where they lie: pieces of ``PIECE`` consecutive words
-go through forward-backward together, and a document's score for a language is
-its words' mean posterior.
+driver from a bounded sample of labelled documents, in sequences of ``PIECE``
+words, and from sequences spliced from them in which the language changes, as
+whole documents never show that. Documents are labelled where they lie, by
+forward-backward over the whole text: pieces of ``PIECE`` words are worked on
+together, each between the messages that the pieces before and after it send. A
+document's score for a language is its words' mean posterior. A run of over 40
+letters is taken as several words, so that all of it counts.
 """
 
 from __future__ import annotations
@@ -17,23 +19,23 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigmill.llm.common import filter_arrow, hash_mod, map_arrow, own_columns, table
 
-#: Documents of each language that the model is fitted on, at most.
-SAMPLE_DOCS = 150
+#: Different documents of each language that the model is fitted on, at most, and characters of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
 HASH_BITS = 15
 PIECE = 64
 LEXICON = 300
 ROUNDS, RATE, RIDGE = 40, 0.5, 1e-5
 UNKNOWN = "und"
-#: Times an even share among the languages that a text's score must reach, or no language stands out.
-STANDS_OUT = 1.2
+#: Score, the share of a text that is in its language, from which a text counts as one of that language.
+MIN_SCORE = 0.5
 #: Words whose emissions a task remembers.
 _CACHE = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]{1,40}")
 
 
 def has_letter(text: str) -> bool:
@@ -41,11 +43,8 @@ def has_letter(text: str) -> bool:
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of hashed features and the word that each belongs to: affixes of one to three letters, n-grams of two and three.
-
-    The word's ends are marked; of a word of over 40 letters the first 40 count.
-    """
-    marked = [f"\2{w[:40]}\3" for w in words]
+    """Ids of hashed features and the word that each belongs to: affixes of one to three letters, n-grams of two and three, with the ends marked."""
+    marked = [f"\2{w}\3" for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), size)
@@ -91,29 +90,65 @@ class Crf:
     def scores(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(owner, self.w[ids, k], n) for k in range(len(self.labels))], axis=1)
 
-    def posteriors(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward over (pieces, words, labels); the words' label posteriors and the summed pair posteriors."""
+    def posteriors(self, scores: np.ndarray, mask: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over (pieces, words, labels); the words' label posteriors and the summed pair posteriors inside pieces.
+
+        ``first`` marks the pieces with which a sequence begins; the others go on
+        with the one before them. Without it each piece is a sequence.
+        """
         n, length, k = scores.shape
         e = np.exp(scores - scores.max(axis=2, keepdims=True))
         m = np.exp(self.t - self.t.max())
+        enter, leave = (np.ones((n, k)), np.ones((n, k))) if first is None else self._messages(e, m, mask, first)
         a = np.empty_like(e)
-        a[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+        x = enter * e[:, 0]
+        a[:, 0] = x / x.sum(axis=1, keepdims=True)
         for i in range(1, length):
             x = (a[:, i - 1] @ m) * e[:, i]
             a[:, i] = x / x.sum(axis=1, keepdims=True)
-        b, pairs = np.ones((n, k)), np.zeros((k, k))
+        b, pairs = leave, np.zeros((k, k))
         g = a.copy()
-        for i in range(length - 2, -1, -1):
-            ahead = e[:, i + 1] * b
-            live = mask[:, i + 1, None]
-            x = ahead @ m.T
-            total = (a[:, i] * x).sum(axis=1, keepdims=True)
-            pairs += ((a[:, i] / total) * live).T @ ahead * m
-            b = np.where(live, x / x.sum(axis=1, keepdims=True) * k, 1.0)
+        for i in range(length - 1, -1, -1):
+            if i < length - 1:
+                ahead = e[:, i + 1] * b
+                live = mask[:, i + 1, None]
+                x = ahead @ m.T
+                if first is None:
+                    total = (a[:, i] * x).sum(axis=1, keepdims=True)
+                    pairs += ((a[:, i] / total) * live).T @ ahead * m
+                b = np.where(live, x / x.sum(axis=1, keepdims=True) * k, leave)
             y = a[:, i] * b
             g[:, i] = y / y.sum(axis=1, keepdims=True)
         return g, pairs
 
+    @staticmethod
+    def _messages(e: np.ndarray, m: np.ndarray, mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What enters each piece before its first word, and what comes back to its last word from the pieces after it."""
+        n, length, k = e.shape
+        enter, leave = np.ones((n, k)), np.ones((n, k))
+        more = np.flatnonzero(~first)  # pieces with one before them
+        if not more.size:
+            return enter, leave
+        through = np.broadcast_to(np.eye(k), (n, k, k)).copy()  # from a piece's first word to its last
+        inner = np.flatnonzero(~first | np.append(~first[1:], False))
+        part = through[inner]
+        for i in range(1, length):
+            x = (part.reshape(-1, k) @ m).reshape(-1, k, k) * e[inner, i, None]
+            x /= x.sum(axis=(1, 2), keepdims=True)
+            part = np.where(mask[inner, i, None, None], x, part)
+        through[inner] = part
+        begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        depth = np.arange(n) - begin  # of a piece in its sequence
+        order = more[np.argsort(depth[more], kind="stable")]
+        levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+        for at in levels:
+            x = ((enter[at - 1] * e[at - 1, 0])[:, None] @ through[at - 1])[:, 0] @ m
+            enter[at] = x / x.sum(axis=1, keepdims=True)
+        for at in reversed(levels):
+            x = (e[at, 0] * (through[at] @ leave[at][:, :, None])[:, :, 0]) @ m.T
+            leave[at - 1] = x / x.sum(axis=1, keepdims=True) * k
+        return enter, leave
+
     def fit(self, sequences: list[list[tuple[str, int]]], rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE) -> None:
         """Full-batch ascent of the log-likelihood with a step size for each weight (Adagrad)."""
         types = sorted({w for s in sequences for w, _ in s})
@@ -176,20 +211,19 @@ def train(docs: list[tuple[str, str]]) -> Crf | None:
     return model
 
 
-def sample(docs: DataFrame, bound: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most ``bound`` labelled texts of each language, those of least hash."""
-    ready = docs.filter("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in ready.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+def sample(docs: DataFrame, bound: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """At most ``bound`` different labelled rows of each language, those of least hash, and at most ``chars`` characters of each."""
+    ready = docs.filter("lang is not null and text is not null").withColumn("u", F.xxhash64("doc_id", "text", "lang"))
+    least = ready.groupBy("lang", "u").count().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).filter(F.col("k") <= bound)
+    cuts = {r.lang: r.cut for r in least.groupBy("lang").agg(F.max("u").alias("cut")).collect()}
+    if not cuts:
         return []
-    u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    near = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int((1 << 30) * min(1.0, 2 * bound / n + 20 / n))))), F.col("lang"))
-    rows = ready.withColumn("u", u).filter(F.col("u") < near).select("text", "lang", "u", "doc_id").collect()  # about twice the bound
-    out: list[tuple[str, str]] = []
-    for lang in sorted(counts):
-        own = sorted((r for r in rows if r.lang == lang), key=lambda r: (r.u, r.doc_id is None, r.doc_id or 0, r.text))
-        out += [(r.text, r.lang) for r in own[:bound]]
-    return out
+    spark = docs.sparkSession
+    cut = F.broadcast(spark.createDataFrame(list(cuts.items()), "lang string, cut long"))  # a row for each language
+    at = F.pmod("u", F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    few = ready.join(cut, "lang").filter("u <= cut").select("lang", "u", F.substring(F.col("text"), at, F.lit(chars)).alias("text"))
+    rows = few.groupBy("lang", "u").agg(F.min("text").alias("text")).orderBy("lang", "u").collect()  # at most ``bound`` a language
+    return [(r.text, r.lang) for r in rows]
 
 
 def label_words(model: Crf, texts: list[list[str]], cache: dict[str, int] | None = None, known: list[np.ndarray] | None = None) -> list[np.ndarray]:
@@ -215,7 +249,9 @@ def label_words(model: Crf, texts: list[list[str]], cache: dict[str, int] | None
         live = [j for j in group if texts[j]]
         if live:
             which, mask = _pieces([[cache[w] for w in texts[j]] for j in live])
-            post = model.posteriors(table[which], mask)[0][mask]
+            first = np.zeros(len(which), bool)
+            first[np.cumsum([0, *(-(-len(texts[j]) // PIECE) for j in live[:-1])])] = True
+            post = model.posteriors(table[which], mask, first)[0][mask]
             for j, p in zip(live, np.split(post, np.cumsum([len(texts[j]) for j in live])[:-1])):
                 out[j] = p
         group, size = [], 0
@@ -263,11 +299,9 @@ class Labeller:
         return lang, score, other
 
 
-def keep_identified(docs: DataFrame, model: Crf | None, text_col: str = "text", min_score: float | None = None) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with ``min_score`` (by default 1.2 times an even share) or more, unchanged; a null text has none."""
+def keep_identified(docs: DataFrame, model: Crf | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with ``min_score`` or more, unchanged; a null text has none."""
     labelled = Labeller(model)
-    if min_score is None:
-        min_score = STANDS_OUT / len(model.labels) if model and len(model.labels) > 1 else 0.0
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang, score, _ = labelled(t or "" for t in batch.column(text_col).to_pylist())

@@ -50,6 +50,59 @@ def test_long_and_short_texts_are_labelled_alike_in_any_batch(model):
         assert p.shape == (len(t), 3) and np.allclose(p, alone)
 
 
+def slow_posteriors(model, words):
+    """Forward-backward in logarithms, word by word over the whole text."""
+    e, t = model.emissions(words), model.t
+    n, k = e.shape
+    ahead, back = np.zeros((n, k)), np.zeros((n, k))
+    ahead[0] = e[0]
+    for i in range(1, n):
+        ahead[i] = e[i] + np.logaddexp.reduce(ahead[i - 1][:, None] + t, axis=0)
+    for i in range(n - 2, -1, -1):
+        back[i] = np.logaddexp.reduce(t + e[i + 1] + back[i + 1], axis=1)
+    x = ahead + back
+    return np.exp(x - np.logaddexp.reduce(x, axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("n", [1, 2, 64, 65, 128, 129, 700])
+def test_the_chain_runs_over_the_whole_text(model, n):
+    words = (text("aa", 100, n) + " " + text("bb", 100, n) + " " + text("cc", 600, n)).split()[100 - n // 2 :][:n]
+    other = text("bb", 70, 1).split()
+    found = langid.label_words(model, [other, words, [], other])
+    assert np.allclose(found[1], slow_posteriors(model, words), atol=1e-9)
+    assert np.allclose(found[3], slow_posteriors(model, other), atol=1e-9)
+
+
+def test_predictions_match_brute_force(docs_of, model):
+    rows = [(i, f"{text(a, 20, i)}, {text(b, 5 * (i % 9), i)} {'ß' * (i % 100)}", None, "s") for i in range(60) for a, b in [(list(STEMS)[i % 3], list(STEMS)[i % 2])]]
+    want = {}
+    for i, t, *_ in rows:
+        mean = slow_posteriors(model, langid.LETTERS.findall(t.lower())).mean(axis=0)
+        want[i] = (model.labels[int(mean.argmax())], round(float(mean.max()), 9))
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(docs_of(rows), model).collect()} == want
+
+
+def test_all_letters_of_a_long_run_count(model):
+    same = "ka" * 20
+    a, b = (model.emissions(langid.LETTERS.findall(same + x)) for x in ("mo" * 300, "schu" * 150))
+    assert len(a) == len(b) == 16 and not np.allclose(a, b)
+    assert "".join(langid.LETTERS.findall(same + "mo" * 300)) == same + "mo" * 300
+
+
+def test_rows_without_an_id_and_rows_that_repeat_one_are_learned_from(docs_of):
+    rows = [(None, text(lang, 25, i), lang, "s") for i in range(300) for lang in STEMS] + [(7, text("aa", 9, i), "aa", "s") for i in range(300)]
+    assert len(langid.sample(docs_of(rows), 20)) == 60
+    assert {r.lang_pred for r in langid.identify(docs_of(rows), langid.fitted(docs_of(rows))).collect()} == set(STEMS)
+    assert len(langid.sample(docs_of([(7, "same text here", "aa", "s")] * 400), 20)) == 1
+    assert [len(t) for t, _ in langid.sample(docs_of([(7, "long " * 30_000, "aa", "s")]))] == [langid.SAMPLE_CHARS]
+
+
+def test_a_text_of_which_no_language_has_most_is_rejected(docs_of, model):
+    mixed = " ".join(text(lang, 40, 77) for lang in STEMS)
+    kept = langid.keep_identified(docs_of([(1, mixed), (2, text("aa", 40, 3)), (3, "12 34")]), model).collect()
+    assert [r.doc_id for r in kept] == [2]
+
+
 def test_edges(spark, docs_of, model):
     rows = [(1, text("aa", 30, 1)), (2, None), (3, ""), (4, "123 !? ²"), (5, text("bb", 20_000, 5)), (None, text("cc", 9, 2)), (1, text("aa", 30, 1)), (7, "x" * 5000)]
     got = langid.identify(docs_of(rows), model).collect()
