@@ -1,7 +1,10 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sigmill.llm import topk
 
@@ -18,20 +21,17 @@ def rows(n=300, seed=1):
 
 def brute(rows, k=5):
     good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    asked = {}
-    for i, v in good:
-        if i % 50 == 0:
-            asked[i] = min(asked.get(i, v), v)
     out = []
-    for q, v in asked.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    for at, (q, v) in enumerate(good):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, (i, w) in enumerate(good) if j != at)
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
 def run(spark, rows):
     whole = topk.whole_vectors(vectors_of(spark, rows))
-    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(whole, whole.filter("vec_id % 50 = 0")).collect())
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(whole, F.expr("vec_id % 50 = 0")).collect())
 
 
 def test_matches_brute_force(spark):
@@ -39,14 +39,36 @@ def test_matches_brute_force(spark):
 
 
 def test_many_blocks_and_few_candidates(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 20)
-    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "COMPONENTS", 100)
+    monkeypatch.setattr(topk, "ROWS", 2)
     assert run(spark, rows()) == brute(rows())
     few = [(0, [1.0, 2.0]), (50, [0.5, 0.5]), (1, [1.0, 1.0])]
     assert run(spark, few) == brute(few)
     assert run(spark, [(0, [1.0])]) == [] and run(spark, []) == []
 
 
-def test_large_weights_stay_exact():
+def test_large_weights_stay_exact_and_too_large_scores_are_an_error():
     q, c = np.array([[1 << 40, 3]]), np.array([[1 << 20, 1], [1 << 20, 0]])
-    assert topk.accumulate(q, c).tolist() == [[(1 << 60) + 3, 1 << 60]]
+    assert topk.Postings(c).accumulate(q).tolist() == [[(1 << 60) + 3, 1 << 60]]
+    far = np.array([[3 << 30] * 4])
+    with pytest.raises(OverflowError):
+        topk.Postings(far).accumulate(far)
+    assert topk.Postings(np.array([[3 << 30, -3 << 30]])).accumulate(np.array([[3 << 30, 3 << 30]])).tolist() == [[0]]
+
+
+def test_components_beyond_a_long_are_an_error(spark):
+    with pytest.raises(Exception, match="beyond a long"):
+        run(spark, [(0, [1e30]), (1, [1.0])])
+
+
+def test_zeros_have_no_postings():
+    c = np.array([[0, 2, 0], [1, 0, 0], [0, 0, 0]])
+    assert [(None if a is None else a.tolist(), w.tolist()) for a, w in topk.Postings(c).lists] == [([1], [1]), ([0], [2]), ([], [])]
+
+
+def test_sql_gives_the_same(spark, tables):
+    path = tables(embeddings=([r for r in rows() if r[1] and len(r[1]) == 6 and r[0] not in (0, 33, None)], "vec_id long, embedding array<float>"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.op9_topk(spark, path).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.OP9_SQL})").fetchall())
