@@ -1,6 +1,8 @@
 import hashlib
 import math
 
+import duckdb
+
 from sigmill.llm import mixing
 
 
@@ -64,6 +66,55 @@ def test_high_rate_and_empty_table(docs_of):
     assert run(docs_of, rows)[1] == expected(rows)
 
 
+def test_very_high_rates(docs_of):
+    rows = [(i, "a", "rare") for i in range(2)] + [(9, "z" * 9_000, "big")]
+    df, got = run(docs_of, rows)
+    assert got == expected_fast(rows)
+    steps = mixing.poisson_steps(df.sparkSession.createDataFrame([("x", 4e6), ("y", 300.0), ("z", 0.0)], "source_key string, rate double")).collect()
+    by = {r.source_key: r for r in steps}
+    assert len(by["x"].steps) < 50_000 and by["x"].low > 3_900_000 and by["y"].low == 0 and by["z"].low == 0
+    assert all(abs(r.steps[-1] - 1) < 1e-6 for r in steps)
+
+
+def expected_fast(rows):
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t)
+    out = []
+    for i, _, s in rows:
+        rate = sum(size.values()) / len(size) / size[s]
+        u = int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 16**13
+        out += [(i, s, c) for c in range(1, inverse_by_logs(u, rate) + 1)]
+    return sorted(out, key=repr)
+
+
+def inverse_by_logs(u, rate):
+    total, k = 0.0, 0
+    while True:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if total > u:
+            return k
+        k += 1
+
+
+def test_columns_of_any_name_pass(docs_of):
+    docs = docs_of([(i, "some text", "en", f"s{i % 2}") for i in range(20)]).selectExpr("*", "'a' AS steps", "5 AS n", "0.5 AS u", "'b' AS source_key", "'c' AS k", "7 AS low")
+    found = mixing.mix(docs)
+    assert set(docs.columns) <= set(found.columns)
+    rows = found.collect()
+    assert rows and all((r.steps, r.n, r.source_key, r.k, r.low) == ("a", 5, "b", "c", 7) for r in rows)
+
+
+def test_sql_gives_the_same(spark, tables):
+    docs = [(i, "word " * (i % 9), "en", None if i == 3 else f"s{i % 4}", 5 * (i % 9)) for i in range(200)] + [(900, "x" * 90_000, "en", "long", 90_000), (901, None, None, "void", 0)]
+    path = tables(documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "copy", "shuffle_key"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({mixing.OP8_SQL})").fetchall()
+    assert sorted(map(repr, map(tuple, mixing.op8_mixing(spark, path).select(names).collect()))) == sorted(map(repr, want))
+
+
 def test_plan_has_no_python(docs_of):
     plan = mixing.mix(docs_of(ROWS[:5]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
