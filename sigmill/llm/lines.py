@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from sigmill.llm.common import chunks, materialise, table
 
@@ -83,6 +84,12 @@ def within_one_edit(a: bytes, b: bytes) -> bool:
     return x[i + 1 :] == y[i + (len(x) == len(y)) :]
 
 
+def line_hash(line: bytes) -> tuple[int, int]:
+    """128 bits that stand for a line, as two signed longs."""
+    low, high = np.frombuffer(xxhash.xxh3_128_digest(line, 1), np.int64).tolist()
+    return low, high
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(doc_id, key of the document, line number, words) of each line that has words."""
     for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dk", "text"))):
@@ -94,19 +101,20 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 def _lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            ids, keys, at, hashes, halves = [], [], [], [], []
+            ids, keys, at, digests, halves = [], [], [], [], []
             for doc, key, i, words in _rows(batch):
                 ids.append(doc)
                 keys.append(key)
                 at.append(i)
-                hashes.append(xxhash.xxh64_intdigest(b" ".join(words), 1))
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words), 1))
                 halves.append(half_keys(words))
+            hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field("doc_id").type), pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(halves, pa.list_(pa.int64()))],
-                names=["doc_id", "dk", "line_no", "lh", "halves"],
+                [pa.array(ids, batch.schema.field("doc_id").type), pa.array(keys, pa.int64()), pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(hashes[:, i])) for i in (0, 1)), pa.array(halves, pa.list_(pa.int64()))],
+                names=["doc_id", "dk", "line_no", "lh", "lh2", "halves"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, dk long, line_no int, lh long, halves array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, dk long, line_no int, lh long, lh2 long, halves array<long>")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -129,7 +137,7 @@ def _variants(docs: DataFrame, marks: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = (1 << MARK_BITS) - 1
-        seen: dict[int, tuple] = {}
+        seen: dict[tuple, tuple] = {}
         for batch in chunks(batches, "text", 2 << 20):
             heads, keys, kinds, counts = [], [], [], []
             for doc, key, at, words in _rows(batch):
@@ -137,7 +145,7 @@ def _variants(docs: DataFrame, marks: np.ndarray) -> DataFrame:
                 if not any(shared):
                     continue
                 joined = b" ".join(words)
-                lh = xxhash.xxh64_intdigest(joined, 1)
+                lh = line_hash(joined)
                 order = (doc is None, doc, key, at) if doc is not None else (True, 0, key, at)
                 if lh in seen and seen[lh] <= order:
                     continue
@@ -153,17 +161,17 @@ def _variants(docs: DataFrame, marks: np.ndarray) -> DataFrame:
                 size = [len(k) for k in keys[before:]]
                 kinds.append(np.repeat(np.array([0, 1, 2] if n >= MIN_WORDS else [2], np.int32), size))
                 counts.append(sum(size))
-                heads.append((doc, key, at, lh - (1 << 64) if lh >> 63 else lh, joined))
+                heads.append((doc, key, at, *lh, joined))
             if not heads:
                 continue
             which = np.repeat(np.arange(len(heads)), counts)
             kind = np.concatenate(kinds)
-            head = [pa.array([h[i] for h in heads], t) for i, t in enumerate((batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64()))]
+            head = [pa.array([h[i] for h in heads], t) for i, t in enumerate((batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
             first = np.concatenate([[True], which[1:] != which[:-1]])[: len(which)]
-            texts = pa.array([h[4] for h in heads], pa.binary()).take(pa.array(which, mask=~first))
-            yield pa.RecordBatch.from_arrays([*(a.take(pa.array(which)) for a in head), pa.array(np.concatenate(keys)), pa.array(kind), texts], names=["doc_id", "dk", "line_no", "lh", "key", "kind", "line"])
+            texts = pa.array([h[5] for h in heads], pa.binary()).take(pa.array(which, mask=~first))
+            yield pa.RecordBatch.from_arrays([*(a.take(pa.array(which)) for a in head), pa.array(np.concatenate(keys)), pa.array(kind), texts], names=["doc_id", "dk", "line_no", "lh", "lh2", "key", "kind", "line"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, dk long, line_no int, lh long, key long, kind int, line binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, dk long, line_no int, lh long, lh2 long, key long, kind int, line binary")
 
 
 def _meeting(found: DataFrame) -> DataFrame:
@@ -179,8 +187,8 @@ def _meeting(found: DataFrame) -> DataFrame:
 
 
 def _near(found: DataFrame) -> DataFrame:
-    """(dk, line_no) of lines that an earlier line within one edit precedes."""
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dk", "line_no", "lh").alias("at")
+    """(doc_id, dk, line_no) of lines that an earlier line within one edit precedes."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dk", "line_no", "lh", "lh2").alias("at")
     rows = _meeting(found.drop("line")).select("key", "kind", order)
     first = (
         rows.groupBy("key")
@@ -188,24 +196,47 @@ def _near(found: DataFrame) -> DataFrame:
         .filter("first_var is not null")
     )
     partner = F.when(F.col("kind") == 1, F.col("first_own")).otherwise(F.col("first_var"))
-    pairs = rows.join(materialise(first), "key").withColumn("other", partner).filter("other < at and other.lh <> at.lh")
-    pairs = pairs.select(F.col("at.lh").alias("lh"), F.col("at.dk").alias("dk"), F.col("at.line_no").alias("line_no"), F.col("other.lh").alias("other")).distinct()
-    texts = found.filter("line is not null").groupBy("lh").agg(F.first("line").alias("line"))
-    both = pairs.join(texts, "lh").join(texts.select(F.col("lh").alias("other"), F.col("line").alias("other_line")), "other")
+    pairs = rows.join(materialise(first), "key").withColumn("other", partner).filter("other < at and (other.lh <> at.lh or other.lh2 <> at.lh2)")
+    pairs = pairs.select("at.lh", "at.lh2", "at.doc_id", "at.dk", "at.line_no", F.col("other.lh").alias("other"), F.col("other.lh2").alias("other2")).distinct()
+    texts = found.filter("line is not null").groupBy("lh", "lh2").agg(F.first("line").alias("line"))
+    both = pairs.join(texts, ["lh", "lh2"]).join(texts.select(F.col("lh").alias("other"), F.col("lh2").alias("other2"), F.col("line").alias("other_line")), ["other", "other2"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [within_one_edit(a, b) for a, b in zip(batch.column("line").to_pylist(), batch.column("other_line").to_pylist())]
-            yield batch.select(["dk", "line_no"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["doc_id", "dk", "line_no"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("dk", "line_no", "line", "other_line").mapInArrow(verify, "dk long, line_no int")
+    return both.select("doc_id", "dk", "line_no", "line", "other_line").mapInArrow(verify, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, dk long, line_no int")
 
 
 def _exact(lines: DataFrame) -> DataFrame:
-    """(dk, line_no) of lines of which an earlier copy exists."""
+    """(doc_id, dk, line_no) of lines of which an earlier copy exists."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dk", "line_no")
-    first = lines.groupBy("lh").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("lh", "first")
-    return lines.join(materialise(first), "lh").filter(order > F.col("first")).select("dk", "line_no")  # as a table, so that Spark can split a common line's rows
+    first = lines.groupBy("lh", "lh2").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("lh", "lh2", "first")
+    return lines.join(materialise(first), ["lh", "lh2"]).filter(order > F.col("first")).select("doc_id", "dk", "line_no")  # as a table, so that Spark can split a common line's rows
+
+
+def _without(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` without the lines whose numbers are in the column __gone (null: none), n_lines and n_removed in its place."""
+    at, gone = docs.columns.index(text_col), docs.columns.index("__gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_col):
+            texts, n_lines, n_removed = [], [], []
+            for text, out in zip(batch.column(at).to_pylist(), batch.column(gone).to_pylist()):
+                split = [] if text is None else text.split("\n")
+                n_lines.append(len(split))
+                n_removed.append(len(out or ()))
+                if out:
+                    dropped = set(out)
+                    text = "\n".join(x for i, x in enumerate(split) if i not in dropped)
+                texts.append(text)
+            columns = batch.columns[:gone] + [pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:gone], "n_lines", "n_removed"])
+
+    schema = StructType([f for f in docs.schema if f.name != "__gone"]).add("n_lines", IntegerType()).add("n_removed", IntegerType())
+    return docs.mapInArrow(run, schema)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,20 +249,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines becomes empty. Other columns pass through; columns named n_lines or
     n_removed are replaced.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("dk"), F.col(text_col).cast("binary").alias("text"))
+    key = F.xxhash64(id_col, text_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), key.alias("dk"), F.col(text_col).cast("binary").alias("text"))
     lines = materialise(_lines(own))
     found = materialise(_variants(own, _marks(lines)))
-    gone = _exact(lines).unionByName(_near(found)).groupBy("dk").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("dk", "__dk")
-    kept = docs.drop("n_lines", "n_removed").withColumn("__dk", F.xxhash64(id_col, text_col)).join(gone, "__dk", "left")
-    split = F.split(text_col, "\n", -1)
-    less = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return kept.withColumns(
-        {
-            text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(less),
-            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)),
-            "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")),
-        }
-    ).drop("__dk", "__gone")
+    gone = _exact(lines).unionByName(_near(found)).groupBy("doc_id", "dk").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "dk": "__dk"})
+    kept = docs.drop("n_lines", "n_removed")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__dk"))
+    return _without(kept.join(gone, same, "left").select(*kept.columns, "__gone"), text_col)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,16 @@ def test_empty_table(docs_of):
 def test_columns_pass_through(docs_of):
     docs = docs_of([(1, "a")])
     assert set(lines.dedup_lines(docs).columns) == {*docs.columns, "n_lines"}
+
+
+def test_a_document_of_many_equal_lines(docs_of):
+    text = "the very same line again\n" * 60_000 + "another line of the text"
+    (row,) = [r for r in lines.dedup_lines(docs_of([(1, text)])).collect()]
+    assert (row.text, row.n_lines, row.n_removed) == ("the very same line again\nanother line of the text", 60_001, 59_999)
+
+
+def test_columns_of_the_operators_own_names_pass(docs_of):
+    docs = docs_of([(1, "a b\na b"), (2, "a b")]).selectExpr("*", "'q' AS line_no", "'r' AS first", "array('s') AS gone")
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert (got[1].text, got[2].text) == ("a b", "")
+    assert (got[1].line_no, got[1].first, got[1].gone, got[1].dk, got[1].lh) == ("q", "r", ["s"], "y", "z")
