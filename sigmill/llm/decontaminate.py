@@ -6,8 +6,10 @@ twice the longest item's length, a window beginning at each such length, so
 every copy of an item lies whole in a window. Words are in lower
 case, ASCII punctuation and white space between them.
 
-The index holds the test items, never the corpus. Its size is checked; larger
-benchmarks are taken in shards of that size, one after the other.
+The index holds the test items, never the corpus. Its size is checked: a
+benchmark is cut in shards, and a pass over the corpus takes as many of them as
+``PASS_BYTES`` allow; larger benchmarks take more passes. Frequencies and mean
+length are those of all items, so the cut changes no score.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import chunks, filter_arrow, own_columns, table
+from sigmill.llm.common import chunks, filter_arrow, materialise, own_columns, table
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score from which a passage is retrieved, and of its shingles from which it is a leak.
 MIN_SCORE, MIN_OVERLAP = 0.7, 0.8
 SHINGLE = 5
 BLOCK = 4
-#: Bytes of test items in one shard of the index.
-SHARD_BYTES = 2 << 20
+#: Bytes of test items in one shard of the index, and in the shards that one pass over the corpus takes.
+SHARD_BYTES, PASS_BYTES = 2 << 20, 8 << 20
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -56,6 +58,11 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
+def part_shingles(words: list[bytes]) -> set[tuple]:
+    """What is looked for of a question or an answer: its shingles; of one with less than twice a shingle's words, the words."""
+    return shingles(words, SHINGLE if len(words) >= 2 * SHINGLE else 1)
+
+
 class Index:
     """Postings by term, items in order of length, in blocks of ``BLOCK`` items with the greatest impact of each term.
 
@@ -63,13 +70,15 @@ class Index:
     like impacts and block maxima are tight.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int] | None = None, n_items: int | None = None, mean: float | None = None):
+        """``df``, ``n_items`` and ``mean``: items that have a word, all items and their mean length; those of ``items`` where not given."""
         docs = sorted(((words_of(t), i, t) for i, t in items), key=lambda x: (len(x[0]), x[1]))
         self.ids = [i for _, i, _ in docs]
         self.longest = max([16, *(len(w) for w, _, _ in docs)])
-        mean = sum(len(w) for w, _, _ in docs) / max(1, len(docs)) or 1.0
-        df = Counter(x for w, _, _ in docs for x in set(w))
-        idf = {w: np.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        if df is None:
+            df, n_items, mean = Counter(x for w, _, _ in docs for x in set(w)), len(docs), sum(len(w) for w, _, _ in docs) / max(1, len(docs))
+        mean = mean or 1.0
+        idf = {w: np.log(1 + (n_items - n + 0.5) / (n + 0.5)) for w, n in df.items()}
         self.term = {w: k for k, w in enumerate(sorted(df))}
         self.lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for d, (words, _, _) in enumerate(docs):
@@ -83,7 +92,7 @@ class Index:
         self.block = np.array([b for _, b in keys], np.int64)
         self.block_max = np.array([self.max[k] for k in keys])
         self.begin = np.searchsorted(np.array([t for t, _ in keys], np.int64), np.arange(len(self.term) + 1))
-        self.parts = [(*map(shingles, question_answer(t)), shingles(w)) for w, _, t in docs]
+        self.parts = [(*map(part_shingles, question_answer(t)), shingles(w)) for w, _, t in docs]
 
     def bounds(self, cells: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
         """(n, blocks): for each cell the sum over its distinct terms of their greatest impact in the block."""
@@ -153,46 +162,69 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     All items of at least ``min_score`` are retrieved for every passage; of
     those, items count whose shingles of five words the passage has to
-    ``min_overlap``, and question and answer each to half of that. Null and
+    ``min_overlap``, and question and answer each to half of that (a part of
+    under ten words by its words). Null and
     empty texts match nothing, on either side; items without an id are left
     out; of items that repeat an id the first by text counts. Rows that repeat
     a document give their matches again. Other columns are not read.
     """
-    own = own_columns(docs, doc_id=id_col, text=text_col)
+    own = own_columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_col].dataType.simpleString()}, score double, question_overlap double, answer_overlap double, word_at int"
     out = None
-    for index in indexes(items, item_col, item_text):
+    for shards in indexes(items, item_col, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shards: list[Index] = shards) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text"):
-                rows = [(doc, *m) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if text for m in index.match(text.decode("utf-8", "replace"), min_score, min_overlap)]
+                texts = ((doc, text.decode("utf-8", "replace")) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if text)
+                rows = [(doc, *m) for doc, text in texts for index in shards for m in index.match(text, min_score, min_overlap)]
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("doc_id").type), pa.array(cols[1]), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int32())], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word_at"])
 
-        found = own.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
+        found = own.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def indexes(items: DataFrame, item_col: str = "item_id", item_text: str = "text") -> list[Index]:
-    """The index of the test items, in shards of about ``SHARD_BYTES`` of text; one, perhaps empty, at least."""
+def indexes(items: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[list[Index]]:
+    """The index of the test items, in shards of about ``SHARD_BYTES`` of text, those of one pass together; one, perhaps empty, at least."""
     tests = own_columns(items, item_id=item_col, text=item_text).filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
-    out = []
-    for shard in range(shards):
-        rows = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()  # about SHARD_BYTES
-        out.append(Index([(r.item_id, r.text) for r in rows if words_of(r.text)]))
-    return out
+    rows = materialise(tests.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            found = [(shard, words_of(t.decode("utf-8", "replace"))) for shard, t in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist())]
+            each = [(shard, w, len(ws) if i == 0 else 0) for shard, ws in found for i, w in enumerate(sorted(set(ws)))]
+            cols = list(zip(*each)) or [(), (), ()]
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(cols[0], pa.int32()), "word": pa.array(cols[1], pa.binary()), "length": pa.array(cols[2], pa.int64())})
+
+    terms = materialise(rows.select("shard", F.col("text").cast("binary").alias("text")).mapInArrow(words, "shard int, word binary, length long"))
+    n_items, length = terms.agg(F.count_if(F.col("length") > 0), F.coalesce(F.sum("length"), F.lit(0))).first()
+    df = terms.groupBy("word").agg(F.count("*").alias("df"))
+    together = max(1, PASS_BYTES // SHARD_BYTES)
+    for first in range(0, shards, together):
+        part = F.col("shard").between(first, first + together - 1)
+        of: dict[int, list] = {}
+        for r in rows.filter(part).collect():  # about PASS_BYTES
+            of.setdefault(r.shard, []).append((r.item_id, r.text))
+        here = df.join(terms.filter(part).select("word").distinct(), "word", "left_semi")
+        count = {bytes(r.word): r.df for r in here.collect()}  # words of those items
+        out = []
+        for shard in sorted(of) or [0]:
+            mine = [(i, t) for i, t in of.get(shard, []) if words_of(t)]
+            own = {w: count[w] for w in {w for _, t in mine for w in words_of(t)}}
+            out.append(Index(mine, own, n_items, length / max(1, n_items)))
+        yield out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, unchanged; what counts as a leak is as in ``leaks``."""
-    for index in indexes(items):
+    for shards in indexes(items):
 
-        def run(batch: pa.RecordBatch, index: Index = index) -> pa.RecordBatch:
-            return batch.filter(pa.array([not (text and index.match(text, min_score, min_overlap)) for text in batch.column(text_col).to_pylist()], pa.bool_()))
+        def run(batch: pa.RecordBatch, shards: list[Index] = shards) -> pa.RecordBatch:
+            return batch.filter(pa.array([not (text and any(index.match(text, min_score, min_overlap) for index in shards)) for text in batch.column(text_col).to_pylist()], pa.bool_()))
 
         docs = filter_arrow(docs, run, text_col)
     return docs
