@@ -33,7 +33,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None, digest: str, copy: int) -> str:
+def record_id(page_id: int | None, digest: str, copy: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{copy}')}>"
 
 
@@ -63,7 +63,7 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, copy: int, refers_to: int | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
+def records(page_id: int | None, url: str | None, payload: bytes, digest: str, copy: str, refers_to: int | None, first: str | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
     """The records of one page, without the blank line that ends each."""
     own = record_id(page_id, digest, copy)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -71,7 +71,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, c
     fields = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("X-Page-ID", page_id)]
     sha1 = f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"
     if refers_to is not None:
-        yield _record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, 1)), ("WARC-Payload-Digest", sha1), ("Content-Type", "application/http;msgtype=response")], http)
+        yield _record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, first)), ("WARC-Payload-Digest", sha1), ("Content-Type", "application/http;msgtype=response")], http)
         return
     block = http + chunked(payload)
     fields = [("WARC-Type", "response"), *fields, ("WARC-Payload-Digest", sha1), ("Content-Type", "application/http;msgtype=response")]
@@ -119,16 +119,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     written; with the largest id all of them are responses.
     """
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit("").cast("binary"))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = base.filter((F.octet_length("payload") >= revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    shared = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).filter("least < refers_to").drop("least")
-    again = large.distinct().join(shared, "digest").filter("page_id < refers_to")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.spark_partition_id().alias("part")).withColumn("digest", F.sha1("payload"))
+    large = base.filter((F.octet_length("payload") >= revisit) & F.col("page_id").isNotNull()).groupBy("page_id", "digest").agg(F.min("part").alias("part"))
+    shared = large.groupBy("digest").agg(F.max(F.struct("page_id", "part")).alias("last"), F.min("page_id").alias("least")).filter("least < last.page_id")
+    again = large.join(shared, "digest").filter("page_id < last.page_id").select("page_id", "digest", F.col("last.page_id").alias("refers_to"), F.concat(F.col("last.part"), F.lit(".1")).alias("first"))
+    # rows that repeat id and payload are numbered in the part of the input they come from, so that no group of them meets in one task
+    copy = F.concat("part", F.lit("."), F.row_number().over(Window.partitionBy("page_id", "digest", "part").orderBy("url")))
     rows = base.join(again, ["page_id", "digest"], "left").withColumn("copy", copy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "payload", 4 << 20):
-            cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "copy", "refers_to")]
+            cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "copy", "refers_to", "first")]
             yield pa.RecordBatch.from_pydict({"record": pa.array([r for row in zip(*cols) for r in records(*row, segment)], pa.binary())})
 
     out = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string"))

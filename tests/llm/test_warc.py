@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 
+import duckdb
 import pytest
 
 from sigmill.llm import warc
@@ -33,6 +34,23 @@ def test_round_trip(spark, tmp_path, segment):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.problem) for r in got), key=repr) == expected(ROWS)
 
 
+def test_repeated_rows_in_many_parts(spark, tmp_path):
+    rows = [(i % 3 or None, "u", BIG) for i in range(90)] + [(7, "v", BIG)] * 20
+    path = f"file://{tmp_path}/archive"
+    warc.write_archives(pages_of(spark, rows).repartition(7), path)
+    got = warc.read_archives(spark, path).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.problem) for r in got), key=repr) == expected(rows)
+
+
+def test_sql_gives_the_same(spark, tables):
+    rows = sorted({r[0]: r for r in ROWS if r[0] is not None}.values())
+    path = tables(pages=(rows, "page_id long, url string, html string"))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, warc.op6_warc(spark, path).select(names).collect())) == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({warc.OP6_SQL})").fetchall())
+
+
 def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/archive"
     warc.write_archives(pages_of(spark, []), path)
@@ -41,10 +59,10 @@ def test_empty_table(spark, tmp_path):
 
 def test_broken_archives_are_told(spark, tmp_path):
     digest = hashlib.sha1(OTHER.encode()).hexdigest()
-    parts = list(warc.records(1, "u", OTHER.encode(), digest, 1, None, segment=20_000))
-    lost, wrong = parts[:1] + parts[2:], [p.replace(b"xxxx", b"xxzx", 1) for p in warc.records(2, "u", OTHER.encode(), digest, 1, None, segment=1 << 20)]
-    short = [p for p in warc.records(3, "u", OTHER.encode(), digest, 1, None, segment=20_000)][:-1]
-    orphan = list(warc.records(4, "u", b"", digest, 1, 77))
+    parts = list(warc.records(1, "u", OTHER.encode(), digest, "0.1", None, None, segment=20_000))
+    lost, wrong = parts[:1] + parts[2:], [p.replace(b"xxxx", b"xxzx", 1) for p in warc.records(2, "u", OTHER.encode(), digest, "0.1", None, None, segment=1 << 20)]
+    short = [p for p in warc.records(3, "u", OTHER.encode(), digest, "0.1", None, None, segment=20_000)][:-1]
+    orphan = list(warc.records(4, "u", b"", digest, "0.1", 77, "0.1"))
     tmp_path.joinpath("a.warc.gz").write_bytes(gzip.compress(b"".join(p + b"\r\n\r\n" for p in [*lost, *wrong, *reversed(short), *orphan])))
     got = {r.page_id: r.problem for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
     assert got[1].startswith("segments") and got[2] == "digest" and "bytes" in got[3] and got[4] == "refers to nothing"
