@@ -39,7 +39,7 @@ CLASSES, LEAST_CLASSES, SINGLES = 2.0, 256, 0.62
 CONTEXT, DIM = 4, 16
 #: Text of a piece, and text whose positions are shuffled before they are trained on.
 PIECE_BYTES, MIXED_BYTES = 4 << 20, 1 << 20
-NOISE, BATCH, RATE, SEED = 8, 1024, 0.15, 29
+NOISE, BATCH, RATE, SEED = 8, 1024, 0.3, 29
 #: Words that a task counts before it passes the counts on.
 _HELD = 200_000
 #: Parameters are summed in units of this.
@@ -122,28 +122,6 @@ class Classes:
         return place, kind, words
 
 
-def _alias(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Walker's table of a distribution: cell i, taken at random, stands for i with chance ``keep[i]``, else for ``other[i]``."""
-    keep, other = share * len(share), np.arange(len(share))
-    small, large = [i for i, x in enumerate(keep) if x < 1], [i for i, x in enumerate(keep) if x >= 1]
-    while small and large:
-        i, j = small.pop(), large[-1]
-        other[i] = j
-        keep[j] -= 1 - keep[i]
-        if keep[j] < 1:
-            small.append(large.pop())
-    keep[small + large] = 1
-    return keep, other
-
-
-def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ``rows`` and the sums of their ``values``."""
-    order = np.argsort(rows, kind="stable")
-    found = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    return found[first], np.add.reduceat(values[order], first, axis=0)
-
-
 class LogBilinear:
     """Parameters: r (vectors of context classes, the last for what is before a text), c (weights by place), g (groups) and q (classes in groups), both with the bias as last dimension; ``squares`` has Adagrad's sums for each."""
 
@@ -153,18 +131,17 @@ class LogBilinear:
         rng = np.random.default_rng(SEED)
         self.groups, self.width, self.trained = groups, width, 0
         self.share = share.reshape(groups, width)
-        self.of_group = self.share.sum(axis=1)
-        inside = self.share / np.maximum(self.of_group, 1e-300)[:, None]
+        of_group = self.share.sum(axis=1)
+        inside = self.share / np.maximum(of_group, 1e-300)[:, None]
+        self.of_group = of_group.astype(np.float32)
         self.r = rng.normal(0, 0.3, (groups * width + 1, DIM)).astype(np.float32)
         self.c = np.ones((CONTEXT, DIM), np.float32) / CONTEXT
-        self.g = np.concatenate([rng.normal(0, 0.3, (groups, DIM)), np.log(self.of_group)[:, None]], axis=1).astype(np.float32)
+        self.g = np.concatenate([rng.normal(0, 0.3, (groups, DIM)), np.log(of_group)[:, None]], axis=1).astype(np.float32)
         with np.errstate(divide="ignore"):
             bias = np.maximum(np.log(inside), -1e4)  # empty classes have no chance
         self.q = np.concatenate([rng.normal(0, 0.3, (groups * width, DIM)) * (share > 0)[:, None], bias.reshape(-1, 1)], axis=1).astype(np.float32)
         self.squares = {n: np.full_like(getattr(self, n), 1e-6) for n in self.NAMES}
-        self.group_noise = (*_alias(self.of_group), np.log(NOISE * self.of_group).astype(np.float32))
-        tables = [_alias(x) for x in inside]
-        self.class_noise = np.stack([k for k, _ in tables]), np.stack([o for _, o in tables]), (np.log(NOISE) + bias).astype(np.float32)
+        self.of_class = np.where(inside > 0, inside, 1e-30).astype(np.float32)  # nothing is drawn from an empty class
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for n in self.NAMES for x in (getattr(self, n), self.squares[n])]).astype(float)
@@ -182,50 +159,48 @@ class LogBilinear:
         padded = np.concatenate([np.full(CONTEXT, len(self.r) - 1, kinds.dtype), kinds])
         return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
 
-    def _step(self, name: str, rows: np.ndarray | slice, up: np.ndarray) -> None:
-        s = self.squares[name][rows] + up * up
-        self.squares[name][rows] = s
-        getattr(self, name)[rows] += RATE * up / np.sqrt(s)
+    def _step(self, name: str, up: np.ndarray) -> None:
+        s = self.squares[name]
+        s += up * up
+        now = getattr(self, name)
+        now += RATE * up / np.sqrt(s)
 
-    def train(self, ctx: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        """Noise-contrastive steps (Adagrad): each group, and each class in its group, against ``NOISE`` draws from the shares."""
-        k, w = self.groups, self.width
-        keep, other, noise = self.group_noise
-        class_keep, class_other, class_noise = self.class_noise
+    def train(self, ctx: np.ndarray, target: np.ndarray) -> None:
+        """Noise-contrastive steps (Adagrad): each group, and each class in its group, against ``NOISE`` draws from the shares.
+
+        As all scores of a product are there, the draws' mean is taken in place of draws.
+        """
+        w, dims = self.width, np.arange(DIM)
         for at in range(0, len(target), BATCH):
-            x, y = ctx[at : at + BATCH], target[at : at + BATCH]
+            y = target[at : at + BATCH]
+            order = np.argsort(y, kind="stable")
+            y, x = y[order], ctx[at : at + BATCH][order]
             n = len(y)
             top, low = np.divmod(y, w)
             met = self.r[x]
             hat = np.ones((n, DIM + 1), np.float32)
             hat[:, :-1] = np.einsum("nid,id->nd", met, self.c)
-            cell = rng.integers(0, k, (n, NOISE))
-            both = np.concatenate([top[:, None], np.where(rng.random((n, NOISE)) < keep[cell], cell, other[cell])], axis=1)
-            flat = both + np.arange(n)[:, None] * k
-            off = self._off((hat @ self.g.T).ravel()[flat] - noise[both])
-            m = np.bincount(flat.ravel(), off.ravel(), n * k).reshape(n, k).astype(np.float32) / n
-            back = m @ self.g
-            cell = rng.integers(0, w, (n, NOISE))
-            drawn = np.where(rng.random((n, NOISE)) < class_keep[top[:, None], cell], cell, class_other[top[:, None], cell])
-            inside = np.concatenate([low[:, None], drawn], axis=1)
-            rows = top[:, None] * w + inside
-            q = self.q[rows]
-            off = (self._off(np.einsum("nkd,nd->nk", q, hat) - class_noise[top[:, None], inside]) / n).astype(np.float32)
-            back += np.einsum("nk,nkd->nd", off, q)
+            off = _off(hat @ self.g.T, top, NOISE * self.of_group)
+            back = off @ self.g
+            up = off.T @ hat
+            self._step("g", up / n)
+            cuts = np.flatnonzero(np.diff(top)) + 1
+            parts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), n]))
+            logit, up = np.empty((n, w), np.float32), np.zeros((self.groups, w, DIM + 1), np.float32)
+            q = self.q.reshape(self.groups, w, DIM + 1)
+            for i, j in parts:  # the places of one group
+                np.matmul(hat[i:j], q[top[i]].T, out=logit[i:j])
+            off = _off(logit, low, NOISE * self.of_class[top])
+            for i, j in parts:
+                back[i:j] += off[i:j] @ q[top[i]]
+                np.matmul(off[i:j].T, hat[i:j], out=up[top[i]])
+            self._step("q", up.reshape(self.q.shape) / n)
+            back /= n
             up_c = np.einsum("nd,nid->id", back[:, :-1], met)
-            touched, up_q = _row_sums(rows.ravel(), (off[:, :, None] * hat[:, None]).reshape(-1, DIM + 1))
-            met_rows, up_r = _row_sums(x.ravel(), (back[:, None, :-1] * self.c).reshape(-1, DIM))
-            self._step("g", slice(None), m.T @ hat)
-            self._step("q", touched, up_q)
-            self._step("c", slice(None), up_c)
-            self._step("r", met_rows, up_r)
-
-    @staticmethod
-    def _off(logit: np.ndarray) -> np.ndarray:
-        """How far the chance that each candidate is data is from what it is; the first candidate is."""
-        off = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        off[:, 0] += 1
-        return off
+            entry = (x.astype(np.int64) * DIM)[:, :, None] + dims
+            up_r = np.bincount(entry.ravel(), (back[:, None, :-1] * self.c).ravel(), self.r.size).reshape(self.r.shape).astype(np.float32)
+            self._step("c", up_c)
+            self._step("r", up_r)
 
     def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, block: int = 1 << 16) -> np.ndarray:
         """Normalised natural log-probabilities of the target classes, by matrix products over blocks of positions."""
@@ -251,6 +226,20 @@ class LogBilinear:
         return out
 
 
+def _off(logit: np.ndarray, chosen: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Slope of the noise-contrastive objective by each score: ``chosen`` is data, against noise of these weights. ``logit`` is overwritten."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(logit, out=logit), out=logit)
+    logit *= noise
+    logit += 1
+    np.reciprocal(logit, out=logit)  # the chance that it is data
+    at = np.arange(len(logit)), chosen
+    mine = logit[at]
+    logit *= -noise
+    logit[at] += 1 - mine
+    return logit
+
+
 def _log_softmax(logit: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log-probabilities of the chosen columns."""
     own = logit[np.arange(len(logit)), chosen]
@@ -285,7 +274,7 @@ def train(docs: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE
                 kinds = [classes.encode(t)[1] for t in texts]
                 x, y = np.concatenate([model.contexts(k) for k in kinds]), np.concatenate(kinds)
                 order = rng.permutation(len(y))
-                model.train(x[order], y[order], rng)
+                model.train(x[order], y[order])
                 texts.clear()
                 return len(y)
 

@@ -127,12 +127,21 @@ def test_rounds_take_each_piece_once():
         assert [p for low, high in lm.rounds(n) for p in range(low, high)] == list(range(n))
 
 
-def test_noise_has_the_classes_shares():
-    share = np.array([0.5, 0.001, 0.3, 0.199])
-    keep, other = lm._alias(share)
-    got = keep / 4
-    np.add.at(got, other, (1 - keep) / 4)
-    assert np.allclose(got, share)
+def test_slopes_of_the_noise_contrastive_objective():
+    share, chosen, k = np.array([0.5, 0.2, 0.3]), np.array([1, 0]), 8
+    logit = np.array([[0.3, -0.2, 1.0], [-1.0, 0.5, 0.1]])
+
+    def objective(x):
+        data = lambda i, w: 1 / (1 + k * share[w] * np.exp(-x[i, w]))
+        return sum(np.log(data(i, c)) + sum(k * share[w] * np.log(1 - data(i, w)) for w in range(3)) for i, c in enumerate(chosen))
+
+    got = lm._off(logit.copy(), chosen, k * share)
+    for i in range(2):
+        for w in range(3):
+            up, down = logit.copy(), logit.copy()
+            up[i, w] += 1e-6
+            down[i, w] -= 1e-6
+            assert got[i, w] == pytest.approx((objective(up) - objective(down)) / 2e-6, abs=1e-6)
 
 
 def test_nothing_to_learn_from_and_no_rows(docs_of):
