@@ -263,7 +263,8 @@ def links(nodes: DataFrame, scheme: Scheme = NARROW, texts: DataFrame | None = N
             yield from out(np.concatenate(parts), np.concatenate(sigs))
 
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return first.unionByName(sure(dealt.mapInArrow(run, "src long, dst long").distinct()))
+    stars = root.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst"))  # what the first links joined
+    return stars.unionByName(sure(dealt.mapInArrow(run, "src long, dst long").distinct()))
 
 
 def _hex(scheme: Scheme):
