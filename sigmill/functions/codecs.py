@@ -17,7 +17,7 @@ _ARROW = {"Zstd": "zstd", "Lz4": "lz4_raw", "Lz4Hc": "lz4_raw", "Snappy": "snapp
 
 @cache
 def _arrow(name: str) -> pa.Codec:
-    return pa.Codec(_ARROW[name])
+    return pa.Codec(_ARROW[name], compression_level=9) if name == "Lz4Hc" else pa.Codec(_ARROW[name])
 
 
 def compress(data: bytes, codec: str) -> bytes:

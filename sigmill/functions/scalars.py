@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -43,10 +44,26 @@ def crc32_hex(data: Column) -> Column:
     return F.lpad(F.hex(F.crc32(data)), 8, "0")
 
 
-@F.pandas_udf(BinaryType())
-def float_bytes(values: pd.Series) -> pd.Series:
-    """An array of floats as little-endian 32-bit bytes; Spark has no such cast."""
-    return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+@F.arrow_udf(BinaryType())
+def float_bytes(values: pa.Array) -> pa.Array:
+    """An array of floats as little-endian 32-bit bytes, taken from Arrow's buffers; Spark has no such cast. A missing float is NaN."""
+    values = values.cast(pa.list_(pa.float32()))
+    ends = values.offsets.to_numpy()
+    flat = pc.fill_null(values.values.slice(ends[0], ends[-1] - ends[0]), float("nan"))
+    data = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False), "<f4")
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(((ends - ends[0]).astype(np.int64) * 4).tobytes()), pa.py_buffer(data.tobytes())])
+    return pc.if_else(values.is_valid(), out, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
+def run_stem(started: Column, custom: Column) -> Column:
+    """The name of a run: the custom one, sanitised, or one from the time it started."""
+    own = F.when(F.trim(custom) != "", sanitised(F.trim(custom)))
+    return F.coalesce(own, F.concat(F.lit("Capture_"), F.date_format(started, "yyyyMMdd_HHmmss")))
+
+
+def segment_name(stem: Column, index: Column, extension: str = ".dhcap") -> Column:
+    """The file name of a run's segment."""
+    return F.concat(stem, F.format_string("_%04d", index), F.lit(extension))
 
 
 def sanitised(name: Column) -> Column:

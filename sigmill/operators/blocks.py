@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmill.functions.scalars import whole_quotient
-from sigmill.operators.ranks import small
+from sigmill.operators.ranks import each_with_all, small
 
 INTERLEAVED, CONTIGUOUS = "SampleInterleavedFloat32", "ChannelContiguousFloat32"
 SINGLE_DEVICE, ALL_DEVICES = 5, 21
@@ -69,13 +69,13 @@ def block_channels(blocks: DataFrame, channels: DataFrame) -> DataFrame:
     """A row for each block (with is_global and channel_count) and channel that it feeds.
 
     Blocks of one device meet the device's channels; blocks of all devices meet
-    every channel, by the flag.
+    every channel.
     """
     lean = channels.select(F.col("device_id").alias("channel_device"), "channel_id", "data_index", "local_data_index")
     registry = small(lean)
     own = block_device(blocks.filter(~F.col("is_global")), channels)
     one = own.join(registry, F.col("device_id") == F.col("channel_device")).drop("device_id")
-    all_ = blocks.filter("is_global").join(small(lean.withColumn("every", F.lit(True))), F.col("is_global") == F.col("every")).drop("every")
+    all_ = each_with_all(blocks.filter("is_global"), lean)
     return resolve_data_index(one.unionByName(all_)).withColumnRenamed("channel_device", "device_id")
 
 

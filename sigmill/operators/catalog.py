@@ -105,18 +105,24 @@ def effective_sample_rate(records: DataFrame, channels: DataFrame, keys: list[st
 
 
 def segment_channel_info(channels: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
-    """Channels of segments with sample_count, effective sample_rate, and 'raw' for a missing unit."""
-    info = effective_sample_rate(records, channels, keys)
+    """Channels of segments with sample_count, effective sample_rate, and 'raw' for a missing unit; names compare in any case."""
+    names = [k for k in keys if dict(channels.dtypes)[k] == "string"]
+    own = channels.withColumns({f"__{k}": F.col(k) for k in names})
+    lower = lambda df: df.withColumns({k: F.lower(k) for k in names})
+    info = effective_sample_rate(lower(records), lower(own), keys)
     unit = F.when(F.trim(F.coalesce("unit", F.lit(""))) == "", "raw").otherwise(F.col("unit"))
-    return channels.drop("nominal_rate").join(info, keys).withColumn("unit", unit)
+    both = lower(own).drop("nominal_rate").join(info, keys).withColumn("unit", unit)
+    return both.select(*(F.col(f"__{c}").alias(c) if c in names else F.col(c) for c in both.columns if not c.startswith("__")))
 
 
 def run_channel_info(info: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sample_count, duration_s, sample_rate) over the segments of a run; names compare in any case."""
+    """(keys, sample_count, duration_s, sample_rate) over the segments of a run; names compare in any case, and the first segment's spelling stands."""
+    names = [k for k in keys if dict(info.dtypes)[k] == "string"]
     own = info.withColumn("seconds", duration(F.col("sample_count"), F.col("sample_rate")))
-    total = own.groupBy(*(F.lower(k).alias(k) if dict(info.dtypes)[k] == "string" else F.col(k) for k in keys)).agg(
-        F.sum("sample_count").alias("sample_count"), F.sum("seconds").alias("duration_s"), F.min_by("sample_rate", "segment").alias("first_rate")
-    )
+    total = own.groupBy(*(F.lower(k).alias(f"__{k}") if k in names else F.col(k) for k in keys)).agg(
+        *(F.min_by(k, F.struct("segment", k)).alias(k) for k in names),
+        F.sum("sample_count").alias("sample_count"), F.sum("seconds").alias("duration_s"), F.min_by("sample_rate", "segment").alias("first_rate"),
+    ).select(*keys, "sample_count", "duration_s", "first_rate")
     rate = F.when((F.col("sample_count") > 0) & (F.col("duration_s") > 0), F.col("sample_count") / F.col("duration_s")).otherwise(F.col("first_rate"))
     return total.withColumn("sample_rate", rate).drop("first_rate")
 

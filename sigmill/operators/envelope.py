@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmill.functions.scalars import bucket_boundary, bucket_floor, is_finite, valid_rate, whole_quotient
-from sigmill.operators.ranks import small, with_positions
+from sigmill.operators.ranks import each_with_all, small, with_positions
 
 KEYS = ("device_id", "channel")
 NAN = float("nan")
@@ -224,8 +224,7 @@ def view_to_sample_range(requests: DataFrame, channels: DataFrame, keys: tuple[s
     window = F.least(F.greatest(F.when(F.col("window_s") <= 0, F.lit(full)).otherwise(F.col("window_s")), F.lit(1e-6)), F.lit(full))
     views = requests.withColumn("w", window).withColumn("s", F.least(F.greatest(F.col("start_s"), F.lit(0.0)), F.greatest(F.lit(0.0), F.lit(full) - F.col("w"))))
     to = lambda x: F.when((x <= 0) | (F.col("sample_rate") <= 0), F.lit(0)).otherwise(F.round(x * F.col("sample_rate"))).cast("long")
-    small_views = small(views.withColumn("every", F.lit(True)))
-    return channels.withColumn("every", F.lit(True)).join(small_views, "every").select(*keys, "view_id", to(F.col("s")).alias("start_sample"), to(F.col("w")).alias("sample_count"))
+    return each_with_all(channels, views).select(*keys, "view_id", to(F.col("s")).alias("start_sample"), to(F.col("w")).alias("sample_count"))
 
 
 def probe_at(envelope: DataFrame, times: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -20,19 +20,25 @@ def channel_stats(samples: DataFrame, channels: DataFrame, keys: tuple[str, ...]
     return rows.select(*channels.columns, F.coalesce("samples", F.lit(0).cast("long")).alias("samples"), zero(F.col("minimum")).alias("minimum"), zero(F.col("maximum")).alias("maximum"), span.alias("peak_to_peak"), (span / 2).alias("half_amplitude"))
 
 
-def storage_report(records: DataFrame, by: list[str], seconds: float) -> DataFrame:
-    """Bytes, chunk states, shares, ratio and MB per second of records (original_length, payload_length, flags), by rollup of ``by``."""
+def storage_report(records: DataFrame, by: list[str], seconds: float, overhead: Column | None = None) -> DataFrame:
+    """Bytes, chunk states, shares, ratio and MB per second of records (original_length, payload_length, flags), by rollup of ``by``.
+
+    Written bytes are those of the files: payloads and, for each record,
+    ``overhead`` (its header and its share of the manifest and the index).
+    Ratio and MB per second are of written bytes.
+    """
+    overhead = F.lit(0) if overhead is None else overhead
     stored, raw = F.col("flags").bitwiseAND(F.lit(1)) != 0, F.col("flags").bitwiseAND(F.lit(4)) != 0
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     total = records.rollup(*by).agg(
-        F.sum("original_length").alias("raw_bytes"), F.sum("payload_length").alias("payload_bytes"), F.count("*").alias("chunks"),
+        F.sum("original_length").alias("raw_bytes"), F.sum("payload_length").alias("payload_bytes"), F.sum(F.col("payload_length") + overhead).cast("long").alias("written_bytes"), F.count("*").alias("chunks"),
         count(~stored & ~raw).alias("compressed"), count(stored | raw).alias("stored"), count(raw).alias("raw_stored"),
     )
     share = lambda c: 100.0 * F.col(c) / F.col("chunks")
     return total.withColumns({
         "compressed_pct": share("compressed"), "stored_pct": share("stored"),
-        "ratio": F.when(F.col("payload_bytes") > 0, F.col("raw_bytes") / F.col("payload_bytes")).otherwise(0.0),
-        "mb_per_s": F.col("payload_bytes") / 1048576.0 / max(seconds, 0.001),
+        "ratio": F.when(F.col("written_bytes") > 0, F.col("raw_bytes") / F.col("written_bytes")).otherwise(0.0),
+        "mb_per_s": F.col("written_bytes") / 1048576.0 / max(seconds, 0.001),
     })
 
 

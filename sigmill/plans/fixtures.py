@@ -106,7 +106,8 @@ def sql(body: str, *views: str) -> str:
     body = body.strip()
     if not own:
         return body
-    return "WITH " + ",\n".join(own) + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+    head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.startswith(h)), "")
+    return (head or "WITH ") + ",\n".join(own) + (",\n" + body[len(head) :] if head else "\n" + body)
 
 
 class _Bare(dict):

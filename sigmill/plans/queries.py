@@ -82,6 +82,16 @@ def _(v):
     return blocks.classify_blocks(_counted(v, True), v.channels).select("block_index", "is_global")
 
 
+@query("p2_infer_channel_count_multi", PER + f"r AS ({COUNTED.format(c=COUNT_RULE.replace('greatest(1, coalesce(g.n, m.n, 1))', '(SELECT count(*) FROM channels)'), b='odd_blocks')}) SELECT block_index, channel_count FROM r", "odd_blocks", "channels")
+def _(v):
+    return blocks.infer_channel_count(v.odd_blocks, v.channels, True).select("block_index", "channel_count")
+
+
+@query("p3_classify_blocks_audit", "SELECT block_index, message_type = 21 OR group_id < 0 OR machine_id < 0 AS is_global FROM odd_blocks", "odd_blocks")
+def _(v):
+    return blocks.classify_blocks(_counted(v, True), v.channels, True).select("block_index", "is_global")
+
+
 @query("p4_resolve_data_index", ROUTED + "SELECT block_index, device_id, channel_id, position FROM routed", "blocks", "channels")
 def _(v):
     return _routed(v).select("block_index", "device_id", "channel_id", "position")
@@ -371,10 +381,11 @@ def _(v):
 
 
 @query("a10_storage_report", """WITH t AS (SELECT device_id, segment, CAST(sum(original_length) AS BIGINT) AS raw_bytes, CAST(sum(payload_length) AS BIGINT) AS payload_bytes, count(*) AS chunks,
-CAST(sum(CASE WHEN flags & 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS compressed, CAST(sum(CASE WHEN flags & 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS stored, CAST(sum(CASE WHEN flags & 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS raw_stored FROM records GROUP BY ROLLUP (device_id, segment))
-SELECT *, 100.0::DOUBLE * compressed / chunks AS compressed_pct, 100.0::DOUBLE * stored / chunks AS stored_pct, raw_bytes / payload_bytes AS ratio, payload_bytes / 1048576.0::DOUBLE / 2.5::DOUBLE AS mb_per_s FROM t""", "records")
+CAST(sum(CASE WHEN flags & 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS compressed, CAST(sum(CASE WHEN flags & 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS stored, CAST(sum(CASE WHEN flags & 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS raw_stored FROM records GROUP BY ROLLUP (device_id, segment)),
+w AS (SELECT *, payload_bytes + 100 * chunks AS written_bytes FROM t)
+SELECT *, 100.0::DOUBLE * compressed / chunks AS compressed_pct, 100.0::DOUBLE * stored / chunks AS stored_pct, raw_bytes / written_bytes AS ratio, written_bytes / 1048576.0::DOUBLE / 2.5::DOUBLE AS mb_per_s FROM w""", "records")
 def _(v):
-    return reports.storage_report(v.records, ["device_id", "segment"], 2.5)
+    return reports.storage_report(v.records, ["device_id", "segment"], 2.5, F.lit(100))
 
 
 FAULTS = "faults AS (SELECT CASE WHEN group_id >= 0 THEN group_id ELSE machine_id END AS key, block_index, total_data_count AS actual, lag(total_data_count + data_count_per_channel) OVER (PARTITION BY CASE WHEN group_id >= 0 THEN group_id ELSE machine_id END ORDER BY block_index) AS expected FROM {b}), bad AS (SELECT key, block_index, expected, actual, 'DATA_NOT_CONTINUOUS' AS code FROM faults WHERE expected <> actual)\n"
@@ -454,6 +465,14 @@ def _(v):
     return reports.axis_bounds(reports.value_range(v.chunks, ["device_id"], True), True)
 
 
+AMPLITUDE = "900.0::DOUBLE"
+
+
+@query("a16_axis_bounds_symmetric", RANGES + f", m AS (SELECT *, greatest(abs(low), abs(high)) AS most FROM g), p AS (SELECT *, -most - (most + most) * 0.06::DOUBLE AS l, most + (most + most) * 0.06::DOUBLE AS h FROM m), s AS (SELECT *, {_nice_sql('(h - l)', False)} AS nice FROM p), t AS (SELECT *, {_nice_sql('(nice / 8)', True)} AS step FROM s) SELECT device_id, low, high, CASE WHEN most <= {AMPLITUDE} THEN -{AMPLITUDE} ELSE floor(l / step) * step END AS axis_low, CASE WHEN most <= {AMPLITUDE} THEN {AMPLITUDE} ELSE ceil(h / step) * step END AS axis_high FROM t", "chunks")
+def _(v):
+    return reports.axis_bounds(reports.value_range(v.chunks, ["device_id"], True), True, 900.0)
+
+
 @query("a17_overview_merge", "WITH e AS (SELECT *, count(*) OVER (PARTITION BY device_id, channel) AS n FROM chunks) SELECT CAST(least(greatest(CAST(trunc((chunk_seq + 0.5) / n * 64) AS INT), 0), 63) AS INT) AS bin, min(minimum) AS minimum, max(maximum) AS maximum FROM e GROUP BY 1", "chunks")
 def _(v):
     return reports.overview_merge(v.chunks.withColumnRenamed("chunk_seq", "bucket"), 10)
@@ -493,9 +512,25 @@ def _(v):
     return blocks.assign_even_chunks(_routed(v), 300, 16)
 
 
-@query("w5_assign_segments")
+UNEVEN = "SELECT device_id, channel, chunk_seq AS block_index, CAST(10 + chunk_seq * 7 % 50 AS INT) AS data_count_per_channel FROM {chunks}"
+
+
+@query("w4_assign_uneven_chunks", f"""WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY device_id, channel ORDER BY block_index) AS k FROM ({UNEVEN.format(chunks="chunks")})),
+f AS (SELECT *, CAST(0 AS BIGINT) AS chunk, CAST(4 * data_count_per_channel AS BIGINT) AS size FROM u WHERE k = 1
+      UNION ALL SELECT u.*, CASE WHEN f.size >= 300 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size >= 300 THEN 0 ELSE f.size END + 4 * u.data_count_per_channel FROM f JOIN u ON u.device_id = f.device_id AND u.channel = f.channel AND u.k = f.k + 1)
+SELECT device_id, channel, block_index, data_count_per_channel, chunk FROM f""", "chunks")
+def _(v):
+    return blocks.assign_chunks(v.spark.sql(UNEVEN, chunks=v.chunks), 300, tuple(KEYS))
+
+
+@query("w5_assign_segments", ROUTED.replace("WITH ", "WITH RECURSIVE ", 1) + """, heads AS (SELECT group_id AS run_id, block_index, CAST(sum(4 * data_count_per_channel) AS BIGINT) AS bytes, list(DISTINCT concat(device_id, '/', channel_id)) AS fed, row_number() OVER (PARTITION BY group_id ORDER BY block_index) AS k FROM routed GROUP BY group_id, block_index),
+f AS (SELECT run_id, block_index, k, CAST(0 AS BIGINT) AS segment, bytes, fed FROM heads WHERE k = 1
+      UNION ALL SELECT h.run_id, h.block_index, h.k, CASE WHEN f.bytes >= 4000 AND len(f.fed) >= 40 THEN f.segment + 1 ELSE f.segment END, CASE WHEN f.bytes >= 4000 AND len(f.fed) >= 40 THEN h.bytes ELSE f.bytes + h.bytes END,
+                       CASE WHEN f.bytes >= 4000 AND len(f.fed) >= 40 THEN h.fed ELSE list_distinct(list_concat(f.fed, h.fed)) END FROM f JOIN heads h ON h.run_id = f.run_id AND h.k = f.k + 1)
+SELECT run_id, block_index, segment FROM f""", "blocks", "channels")
 def _(v):
-    return blocks.assign_segments(_routed(v).withColumn("run_id", F.lit(0)), 40_000, v.channels.count())
+    """Each group of blocks is a run, so that runs are folded side by side."""
+    return blocks.assign_segments(_routed(v).withColumn("run_id", F.col("group_id")), 4_000, 40)
 
 
 def _downsample_sql(source: str, order: str, good: str, values: str, width: int) -> str:
@@ -589,13 +624,25 @@ def _(v):
 # Functions
 
 
-@query("f1_crc32")
+#: CRC32 in SQL: the table of 256 remainders from the polynomial, then a fold over the bytes.
+CRC_TABLE = "t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)))"
+CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295)"
+#: The bits of a float from its exponent and its fraction, and the little-endian bytes of a block's floats.
+FLOATS = """e AS (SELECT block_index, list_transform(payload, lambda x: CAST(abs(x) AS DOUBLE)) AS size, list_transform(payload, lambda x: x < 0) AS low FROM blocks),
+p AS (SELECT *, list_transform(size, lambda a: CASE WHEN a = 0 THEN 0 ELSE CAST(floor(log2(a)) AS BIGINT) END) AS guess FROM e),
+q AS (SELECT *, list_transform(range(1, len(size) + 1), lambda i: guess[i] + CASE WHEN size[i] >= pow(2.0, guess[i] + 1) THEN 1 WHEN size[i] > 0 AND size[i] < pow(2.0, guess[i]) THEN -1 ELSE 0 END) AS power FROM p),
+w AS (SELECT block_index, list_transform(range(1, len(size) + 1), lambda i: CASE WHEN low[i] THEN 2147483648 ELSE 0 END + CASE WHEN size[i] = 0 THEN 0 ELSE (power[i] + 127) * 8388608 + CAST((size[i] / pow(2.0, power[i]) - 1) * 8388608 AS BIGINT) END) AS words FROM q),
+b AS (SELECT block_index, flatten(list_transform(words, lambda x: [x & 255, (x >> 8) & 255, (x >> 16) & 255, (x >> 24) & 255])) AS bytes FROM w)"""
+
+
+@query("f1_crc32", f"""WITH {CRC_TABLE}, h AS (SELECT event_id, hex(encode(props)) AS h FROM events),
+b AS (SELECT event_id, list_transform(range(0, len(h) // 2), lambda i: CAST(CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS BIGINT)) AS bytes FROM h)
+SELECT event_id, CAST({CRC} AS BIGINT) AS crc32, printf('%08X', {CRC}) AS crc32_hex FROM b, t""")
 def _(v):
-    """DuckDB has no crc32; the known value of a fixed text is tested."""
     return v.events.select("event_id", F.crc32(F.col("props").cast("binary")).alias("crc32"), sc.crc32_hex(F.col("props").cast("binary")).alias("crc32_hex"))
 
 
-@query("f2_float_bytes")
+@query("f2_float_bytes", f"WITH {CRC_TABLE}, {FLOATS} SELECT block_index, CAST(len(bytes) AS INT) AS bytes, printf('%08X', {CRC}) AS crc32_hex FROM b, t", "blocks")
 def _(v):
     return v.blocks.select("block_index", F.octet_length(sc.float_bytes("payload")).alias("bytes"), sc.crc32_hex(sc.float_bytes("payload")).alias("crc32_hex"))
 
@@ -610,6 +657,16 @@ def _(v):
     return v.devices.select("device_id", sc.group_name(F.col("device_id"), F.col("ip_address")).alias("group_name"), sc.channel_name(F.col("device_id")).alias("channel_name"))
 
 
+@query("f4_run_names", """WITH r AS (SELECT event_id, make_timestamp(2024, 1 + event_id % 12, 1 + event_id % 28, event_id % 24, event_id % 60, event_id % 59) AS moment, CASE event_id % 3 WHEN 0 THEN ' my:run.' || event_id || '/x ' WHEN 1 THEN ' ' END AS custom FROM events),
+s AS (SELECT event_id, CASE WHEN trim(coalesce(custom, '')) <> '' THEN replace(replace(replace(trim(custom), ':', '_'), '.', '_'), '/', '_') ELSE 'Capture_' || strftime(moment, '%Y%m%d_%H%M%S') END AS stem FROM r)
+SELECT event_id, stem, stem || '_' || printf('%04d', event_id) || '.dhcap' AS segment FROM s""")
+def _(v):
+    at = F.expr("make_timestamp_ntz(2024, int(1 + event_id % 12), int(1 + event_id % 28), int(event_id % 24), int(event_id % 60), event_id % 59)")
+    custom = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" my:run."), F.col("event_id"), F.lit("/x "))).when(F.col("event_id") % 3 == 1, " ")
+    named = v.events.select("event_id", sc.run_stem(at, custom).alias("stem"))
+    return named.withColumn("segment", sc.segment_name(F.col("stem"), F.col("event_id")))
+
+
 TIMES = "SELECT device_id, channel, req_id, f.frac FROM {requests} CROSS JOIN (VALUES (0.0), (0.37), (0.5), (0.999), (1.0)) AS f(frac)"
 
 
@@ -646,7 +703,10 @@ def _audit_log(v: Views) -> DataFrame:
     return logs.read_audit(v.spark, path)
 
 
-@query("k3_write_audit")
+@query("k3_write_audit", PER + f"""{CRC_TABLE}, {FLOATS},
+c AS (SELECT block_index, printf('%08X', {CRC}) AS crc32 FROM b, t), r AS ({COUNTED.format(c=COUNT_RULE, b="blocks")})
+SELECT strftime(make_timestamp(sample_time * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS utc, block_index, CAST(message_type AS VARCHAR) AS message_type, group_id, machine_id, CAST(total_data_count AS BIGINT) AS total_data_count, CAST(data_count_per_channel AS INT) AS data_count_per_channel,
+CAST(buffer_count AS INT) AS buffer_count, channel_count, layout, crc32, 'a "quoted", ' || group_id AS group_info FROM r JOIN c USING (block_index)""", "blocks", "channels")
 def _(v):
     return _audit_log(v)
 
@@ -681,15 +741,42 @@ def _(v):
     return _with_channel(v, path, segments.capture_records(v.spark, path, "*.txt")).select(*KEYS, "segment", "sample_start", "sample_count", "original_length", "first", "last", "minimum", "maximum")
 
 
-@query("s4_decode_samples", "SELECT CAST(sample_idx // 512 AS INT) AS segment, count(*) AS samples, min(CAST(value AS FLOAT)) AS minimum, max(CAST(value AS FLOAT)) AS maximum, CAST(sum(sample_idx % 512) AS BIGINT) AS positions FROM samples GROUP BY 1", "samples")
+@query("s4_decode_samples", "SELECT CAST(sample_idx // 512 AS INT) AS segment, CAST(sample_idx % 512 AS BIGINT) AS local_idx, CAST(value AS FLOAT) AS value FROM samples", "samples")
+def _(v):
+    return segments.decode_samples(v.spark, _segments(v), "*.txt").select("segment", "local_idx", "value")
+
+
+@query("a14_chunk_integrity", """WITH c AS (SELECT device_id, channel, sample_idx // 512 AS segment, sample_idx // 64 AS seq FROM samples GROUP BY ALL), s AS (SELECT *, seq = max(seq) OVER (PARTITION BY device_id, channel, segment) AS is_last FROM c),
+r AS (SELECT CASE WHEN segment % 3 = 1 AND is_last THEN 'payload checksum' ELSE 'ok' END AS status FROM s WHERE segment % 3 <> 2 UNION ALL SELECT 'manifest or index cannot be read: JSONDecodeError' FROM s WHERE segment % 3 = 2 AND is_last)
+SELECT status, count(*) AS chunks FROM r GROUP BY 1""", "samples")
 def _(v):
-    rows = segments.decode_samples(v.spark, _segments(v), "*.txt")
-    return rows.groupBy("segment").agg(F.count("*").alias("samples"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.sum("local_idx").alias("positions"))
+    """Of every three segments of a channel one is whole, one has a last payload with a wrong byte, one a broken manifest."""
+    path = f"{shared_dir(v.spark)}/segments-{uuid.uuid4().hex}"
+    segment_files.write_segments(v.samples, path, damaged=True)
+    return segments.chunk_integrity(v.spark, path, "*.txt").groupBy("status").agg(F.count("*").alias("chunks"))
+
+
+@query("s1_segment_catalog", "WITH n AS (SELECT count(DISTINCT (device_id, channel, sample_idx // 512)) AS n FROM samples), k AS (SELECT unnest(range(0, n)) AS k FROM n) SELECT printf('run_%04d', k) AS segment, true AS is_capture FROM k", "samples")
+def _(v):
+    """Captures under both extensions."""
+    path = _segments(v)
+    segment_files.rename(v.spark, path, lambda k, _: f"run_{k:04d}.dhcap" if k % 2 else f"run_{k:04d}.tdms")
+    found = segments.segment_catalog(v.spark, path)
+    return found.select(F.regexp_extract("identity", r"([^/]+)$", 1).alias("segment"), "is_capture")
+
+
+RATE_FILES = "SELECT device_id, ip_address, concat('<Machine><', CASE WHEN device_id % 2 = 0 THEN 'SampleFrequency' ELSE 'SampleFreq' END, '>', CAST(CASE WHEN device_id % 5 = 0 THEN -1 ELSE 100 * device_id END AS VARCHAR(12)), '</', CASE WHEN device_id % 2 = 0 THEN 'SampleFrequency' ELSE 'SampleFreq' END, '></Machine>') AS body FROM {devices} WHERE device_id % 3 > 0"
 
 
-@query("a14_chunk_integrity", "SELECT 'ok' AS status, count(*) AS chunks FROM chunks", "chunks")
+@query("s6_device_rate_config", """WITH f AS (SELECT device_id AS file_id, ip_address AS ip, CAST(100 * device_id AS DOUBLE) AS rate, lower('Machine' || ip_address || '_' || device_id || '.xml') AS file FROM devices WHERE device_id % 3 > 0 AND device_id % 5 > 0)
+SELECT device_id, rate AS config_rate FROM devices JOIN f ON lower(ip_address) = lower(ip) QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY file_id <> device_id, file) = 1""", "devices")
 def _(v):
-    return segments.chunk_integrity(v.spark, _segments(v), "*.txt").groupBy("status").agg(F.count("*").alias("chunks"))
+    path = f"{shared_dir(v.spark)}/rates-{uuid.uuid4().hex}"
+    rows = v.spark.sql(RATE_FILES, devices=v.devices)
+    text = rows.select(F.concat("body", F.lit("<!--Machine"), "ip_address", F.lit("_"), "device_id", F.lit(".xml-->")))
+    text.write.option("maxRecordsPerFile", 1).text(path)
+    segment_files.rename(v.spark, path, lambda _, body: body.split("<!--")[1].split("-->")[0], contents=True)
+    return logs.device_rate_config(v.spark, f"{path}/Machine*.xml", v.devices)
 
 
 # Streams, drained

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.functions.codecs import CODECS, PREPROCESSORS, compress, preprocess
@@ -51,11 +51,13 @@ def manifest(segment: int, channels: list[dict], codec: str, pre: str) -> dict:
     return {"FormatVersion": 3, "SegmentIndex": segment, "StartedAt": "2024-01-01T00:00:00+00:00", "Algorithm": CODECS.index(codec), "Preprocessor": PREPROCESSORS.index(pre), "LpcOrder": 2, "Channels": channels}
 
 
-def write_segments(samples: DataFrame, path: str, chunk: int = 64, chunks_each: int = 8, codec: str = "Zstd", pre: str = "IntDeltaZigZag") -> None:
+def write_segments(samples: DataFrame, path: str, chunk: int = 64, chunks_each: int = 8, codec: str = "Zstd", pre: str = "IntDeltaZigZag", damaged: bool = False) -> None:
     """Writes (device_id, channel, sample_idx, value) as segments of one channel and ``chunks_each`` chunks, one file each.
 
     Positions in a segment count from its first sample. Spark's text sink ends
     each file with a line feed, so there is no index at the end and readers scan.
+    With ``damaged`` every third segment gets a wrong last byte, and every third
+    a manifest that is no JSON.
     """
     seq = F.floor(F.col("sample_idx") / chunk)
     pieces = samples.groupBy("device_id", "channel", seq.alias("seq")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("all"))
@@ -68,8 +70,27 @@ def write_segments(samples: DataFrame, path: str, chunk: int = 64, chunks_each:
             for r in batch.to_pylist():
                 own = {"Ordinal": 0, "DeviceId": r["device_id"], "GroupName": f"Device_{r['device_id'] + 1:04d}", "SampleRate": 1000, "ChannelName": r["channel"], "ChannelDescription": "", "Unit": "raw", "ChannelId": 0, "DataIndex": 0, "LocalDataIndex": 0}
                 base = r["segment"] * chunks_each
-                rows.append(segment_bytes(manifest(r["segment"], [own], codec, pre), [(0, (p["seq"] - base) * chunk, p["samples"]) for p in r["pieces"]]))
+                data = segment_bytes(manifest(r["segment"], [own], codec, pre), [(0, (p["seq"] - base) * chunk, p["samples"]) for p in r["pieces"]])
+                if damaged and r["segment"] % 3 == 1:
+                    data = data[:-1] + bytes([data[-1] ^ 1])
+                if damaged and r["segment"] % 3 == 2:
+                    data = data.replace(b'{"', b'["', 1)
+                rows.append(data)
             yield pa.RecordBatch.from_pydict({"segment": pa.array(rows, pa.binary())})
 
     out = files.mapInArrow(run, "segment binary").select(F.col("segment").cast("string"))
     out.write.option("maxRecordsPerFile", 1).text(path)
+
+
+def rename(spark: SparkSession, path: str, name: Callable[[int, str], str], contents: bool = False) -> None:
+    """Names the files that a Spark writer left in a folder: ``name`` gets a file's place in the listing and, with ``contents``, its text."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(f.getPath().getName() for f in fs.listStatus(fs_path(path)) if f.getPath().getName().startswith("part-"))
+    body = {}
+    if contents:
+        rows = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+        body = {r.file: r.value for r in rows.collect()}  # small files, a fixture
+    for k, file in enumerate(f for f in files if not contents or f in body):
+        if not fs.rename(fs_path(f"{path}/{file}"), fs_path(f"{path}/{name(k, body.get(file, ''))}")):
+            raise OSError(f"{file} could not be renamed")

@@ -11,6 +11,10 @@ from sigmill.operators.envelope import fill_gaps
 from sigmill.sources.logs import AUDIT_COLUMNS
 
 
+#: A block's time as it reads in UTC, whatever the session's time zone.
+_UTC = "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(sample_time as decimal(18, 3)) / 1000)"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -64,5 +68,5 @@ def export_samples(samples: DataFrame, ranges: DataFrame, path: str, source: str
 
 def write_audit(blocks: DataFrame, path: str) -> None:
     """Writes a row with its checksum for each block: a CSV log with header."""
-    rows = blocks.withColumns({"crc32": crc32_hex(float_bytes("payload")), "utc": F.date_format(F.timestamp_millis("sample_time"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})
+    rows = blocks.withColumns({"crc32": crc32_hex(float_bytes("payload")), "utc": F.date_format(F.expr(_UTC), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})
     rows.select(*AUDIT_COLUMNS).write.option("header", True).option("escape", '"').csv(path)

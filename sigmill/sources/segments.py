@@ -225,5 +225,7 @@ def chunk_integrity(spark: SparkSession, root: str, pattern: str = "*.dhcap") ->
                 yield {"path": r["path"], "segment": r["segment"], "channel_ordinal": r["channel_ordinal"], "record_seq": r["record_seq"], "status": status}
         except SegmentError as e:
             yield {"path": row["path"], "status": str(e)}
+        except (ValueError, KeyError, TypeError, AttributeError, IndexError, struct.error) as e:
+            yield {"path": row["path"], "status": f"manifest or index cannot be read: {type(e).__name__}"}
 
     return _rows(_files(spark, root, pattern), read, schema)

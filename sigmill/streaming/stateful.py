@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +20,30 @@ NONE = GroupStateTimeout.NoTimeout
 FILE_ROWS = 1 << 15
 
 
-def _rows(frames: Iterator[pd.DataFrame], order: str) -> list[dict]:
-    """A key's rows of one micro-batch in order; the trigger bounds how many there are."""
+def _columns(frames: Iterator[pd.DataFrame], order: str) -> dict[str, np.ndarray]:
+    """A key's columns of one micro-batch in order; the trigger bounds how many rows there are."""
     parts = [f for f in frames if len(f)]
-    return pd.concat(parts).sort_values(order, kind="stable").to_dict("records") if parts else []
+    if not parts:
+        return {}
+    both = pd.concat(parts)
+    place = np.argsort(both[order].to_numpy(), kind="stable")
+    return {c: both[c].to_numpy()[place] for c in both.columns}
 
 
 def stream_continuity(blocks: DataFrame) -> DataFrame:
     """Faults as ``continuity_check`` has them; the state is the expected position."""
     heads = blocks.select(continuity_key().alias("key"), "block_index", "total_data_count", F.col("data_count_per_channel").alias("n"))
+    names = ["key", "block_index", "expected", "actual", "code"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, out = (state.get[0] if state.exists else None), []
-        for r in _rows(frames, "block_index"):
-            if expected is not None and expected != r["total_data_count"]:
-                out.append((key[0], r["block_index"], expected, r["total_data_count"], "DATA_NOT_CONTINUOUS"))
-            expected = r["total_data_count"] + r["n"]
-        if expected is not None:
-            state.update((int(expected),))
-        yield pd.DataFrame(out, columns=["key", "block_index", "expected", "actual", "code"])
+        rows = _columns(frames, "block_index")
+        if not rows:
+            return
+        ends = rows["total_data_count"] + rows["n"]
+        expected = np.concatenate([[state.get[0] if state.exists else rows["total_data_count"][0]], ends[:-1]])
+        bad = np.flatnonzero(expected != rows["total_data_count"])
+        state.update((int(ends[-1]),))
+        yield pd.DataFrame(dict(zip(names, (key[0], rows["block_index"][bad], expected[bad], rows["total_data_count"][bad], "DATA_NOT_CONTINUOUS"))), columns=names)
 
     kind = dict(heads.dtypes)
     return heads.groupBy("key").applyInPandasWithState(step, f"key {kind['key']}, block_index {kind['block_index']}, expected bigint, actual bigint, code string", "expected bigint", "append", NONE)
@@ -48,25 +54,34 @@ def stream_decimate(samples: DataFrame, most: float) -> DataFrame:
 
     A bucket stays open across batches; a change of the factor discards it.
     """
+    names = ["device_id", "channel", "point", "first", "last", "minimum", "maximum", "display_rate"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         point, factor, n, first, last, low, high = state.get if state.exists else (0, 0, 0, 0.0, 0.0, 0.0, 0.0)
-        out = []
-        for r in _rows(frames, "sample_idx"):
-            v, rate = r["value"], r["sample_rate"]
-            if v is None or not math.isfinite(v):
+        rows = _columns(frames, "sample_idx")
+        v, rate = (rows[c].astype(float) for c in ("value", "sample_rate")) if rows else (np.zeros(0), np.zeros(0))
+        good = np.isfinite(v)
+        v, rate = v[good], rate[good]
+        rate = np.where(np.isfinite(rate) & (rate > 0), rate, most)
+        factors = np.maximum(1, np.rint(rate / np.minimum(rate, most))).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(factors)) + 1 if len(v) else []
+        for run, own, f in zip(np.split(v, cuts), np.split(rate, cuts), np.split(factors, cuts)):  # runs of one factor
+            if not len(run):
                 continue
-            good = rate if rate is not None and math.isfinite(rate) and rate > 0 else most
-            now = max(1, round(good / min(good, most)))
-            if now != factor:
-                factor, n = now, 0
-            first, low, high = (v, v, v) if n == 0 else (first, min(low, v), max(high, v))
-            last, n = v, n + 1
-            if n == factor:
-                out.append((*key, point, first, last, low, high, good / factor))
-                point, n = point + 1, 0
-        state.update((point, factor, n, first, last, low, high))
-        yield pd.DataFrame(out, columns=["device_id", "channel", "point", "first", "last", "minimum", "maximum", "display_rate"])
+            if f[0] != factor:
+                factor, n = int(f[0]), 0
+            bucket = (n + np.arange(len(run))) // factor
+            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            end = np.append(begin[1:], len(run))
+            firsts, lasts, lows, highs = run[begin], run[end - 1], np.minimum.reduceat(run, begin), np.maximum.reduceat(run, begin)
+            if n:  # the first bucket was open
+                firsts[0], lows[0], highs[0] = first, min(low, lows[0]), max(high, highs[0])
+            done = (n + len(run)) // factor
+            yield pd.DataFrame(dict(zip(names, (*key, point + np.arange(done), firsts[:done], lasts[:done], lows[:done], highs[:done], own[end[:done] - 1] / factor))), columns=names)
+            point, n = point + done, (n + len(run)) % factor
+            if n:
+                first, last, low, high = (float(x[-1]) for x in (firsts, lasts, lows, highs))
+        state.update((int(point), factor, int(n), float(first), float(last), float(low), float(high)))
 
     return samples.groupBy("device_id", "channel").applyInPandasWithState(
         step, "device_id int, channel string, point bigint, first double, last double, minimum double, maximum double, display_rate double", "point bigint, factor bigint, n bigint, first double, last double, low double, high double", "append", NONE
@@ -77,14 +92,15 @@ def stream_latest(points: DataFrame, capacity: int) -> DataFrame:
     """The newest ``capacity`` points (device_id, channel, point_idx, minimum, maximum) of each channel after every batch."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, new = (list(zip(*state.get)) if state.exists else []), []
+        new = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
         for f in frames:  # no more than a frame and the newest points at once
-            new += [(int(i), float(low), float(high)) for i, low, high in f[["point_idx", "minimum", "maximum"]].itertuples(index=False)]
-            new = sorted(new, key=lambda p: p[0])[-capacity:]
-        held = (held + new)[-capacity:]
-        if held:
-            state.update(tuple(list(c) for c in zip(*held)))
-        yield pd.DataFrame([(*key, i, *h) for i, h in enumerate(held)], columns=["device_id", "channel", "pos", "point_idx", "minimum", "maximum"])
+            new = [np.concatenate([x, f[c].to_numpy(x.dtype)]) for x, c in zip(new, ("point_idx", "minimum", "maximum"))]
+            keep = np.argsort(new[0], kind="stable")[-capacity:]
+            new = [x[keep] for x in new]
+        held = [np.concatenate([h, x])[-capacity:] for h, x in zip(state.get if state.exists else ([], [], []), new)]
+        if len(held[0]):
+            state.update(tuple(x.tolist() for x in (held[0].astype(np.int64), *held[1:])))
+        yield pd.DataFrame({"device_id": key[0], "channel": key[1], "pos": np.arange(len(held[0])), "point_idx": held[0].astype(np.int64), "minimum": held[1], "maximum": held[2]})
 
     return points.groupBy("device_id", "channel").applyInPandasWithState(
         step, "device_id int, channel string, pos bigint, point_idx bigint, minimum double, maximum double", "point_idx array<bigint>, minimum array<double>, maximum array<double>", "update", NONE
@@ -97,28 +113,31 @@ def stream_chunks(blocks: DataFrame, target_bytes: int) -> DataFrame:
     Whole blocks join a chunk until it has the target's bytes; a row with n < 0
     ends the run of its channel and gives out what is left.
     """
+    names = ["device_id", "channel_id", "chunk", "sample_start", "sample_count", "first", "last", "minimum", "maximum"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chunk, start, n, first, last, low, high = state.get if state.exists else (0, 0, 0, 0.0, 0.0, 0.0, 0.0)
-        out = []
-
-        def close() -> None:
-            nonlocal chunk, start, n
-            out.append((*key, chunk, start, n, first, last, low, high))
-            chunk, start, n = chunk + 1, start + n, 0
-
-        for r in _rows(frames, "block_index"):
-            if r["n"] < 0:
-                if n:
-                    close()
-                continue
-            if n == 0:
-                first, low, high = r["first"], r["minimum"], r["maximum"]
-            last, low, high, n = r["last"], min(low, r["minimum"]), max(high, r["maximum"]), n + r["n"]
-            if n * FLOAT_BYTES >= target_bytes:
-                close()
+        rows = _columns(frames, "block_index")
+        size = rows["n"].astype(np.int64) if rows else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+        stops = np.append(np.flatnonzero(size < 0), len(size))
+        out, at = [], 0
+        while at < len(size):  # a turn for each chunk, or part of one
+            stop = int(stops[np.searchsorted(stops, at)])
+            need = -(-target_bytes // FLOAT_BYTES) - n
+            end = min(stop, int(np.searchsorted(total, total[at] + need)))
+            if end > at:
+                if n == 0:
+                    first, low, high = rows["first"][at], np.inf, -np.inf
+                last, n = rows["last"][end - 1], n + int(total[end] - total[at])
+                low, high = min(low, rows["minimum"][at:end].min()), max(high, rows["maximum"][at:end].max())
+            ended = end == stop and stop < len(size)
+            if n and (n * FLOAT_BYTES >= target_bytes or ended):
+                out.append((*key, chunk, start, n, first, last, low, high))
+                chunk, start, n = chunk + 1, start + n, 0
+            at = end + ended
         state.update((int(chunk), int(start), int(n), float(first), float(last), float(low), float(high)))
-        yield pd.DataFrame(out, columns=["device_id", "channel_id", "chunk", "sample_start", "sample_count", "first", "last", "minimum", "maximum"])
+        yield pd.DataFrame(out, columns=names)
 
     return blocks.groupBy("device_id", "channel_id").applyInPandasWithState(
         step, "device_id int, channel_id int, chunk bigint, sample_start bigint, sample_count bigint, first double, last double, minimum double, maximum double", "chunk bigint, start bigint, n bigint, first double, last double, low double, high double", "append", NONE
