@@ -28,18 +28,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import chunks, hash_mod, materialise, own_columns, table
+from sigmill.llm.common import chunks, hash_mod, materialise, table
 
 FREQUENT = 200_000
 #: Classes, as a multiple of the vocabulary's square root and at least, and the share of them that are words.
-CLASSES, LEAST_CLASSES, SINGLES = 2.0, 256, 0.62
+CLASSES, LEAST_CLASSES, SINGLES = 1.0, 256, 0.62
 CONTEXT, DIM = 4, 16
-#: Text of a piece, and text whose positions are shuffled before they are trained on.
-PIECE_BYTES, MIXED_BYTES = 4 << 20, 1 << 20
-NOISE, BATCH, RATE, SEED = 8, 1024, 0.3, 29
+#: Text of a piece, and positions that are shuffled before they are trained on.
+PIECE_BYTES, MIXED = 4 << 20, 150_000
+NOISE, BATCH, STEPS, RATE, SEED = 8, 2048, 64, 0.3, 29
 #: Words that a task counts before it passes the counts on.
 _HELD = 200_000
 #: Parameters are summed in units of this.
@@ -106,7 +106,8 @@ class Classes:
         self.group[self.single] = 1
         self.place = {w: i for i, (_, w) in enumerate(words)}
         self.count = np.array([n for n, _ in words], np.int64)
-        self.of = np.array([word[w] if w in word else self.ending.get(w[-2:], self.other) for _, w in words], np.int64)
+        self.kind = np.dtype(np.uint16 if self.size < 1 << 16 else np.int32)
+        self.of = np.array([word[w] if w in word else self.ending.get(w[-2:], self.other) for _, w in words], self.kind)
         weight += np.arange(self.size) < len(order) + 2
         self.share = weight / weight.sum()
 
@@ -114,7 +115,7 @@ class Classes:
         """Places of a text's words among the frequent ones (-1: none), classes of its words and its end, and the words."""
         words = (text or b"").lower().split()
         place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
-        kind = np.full(len(words) + 1, self.end, np.int32)
+        kind = np.full(len(words) + 1, self.end, self.kind)
         if len(words):
             kind[:-1] = self.of[place] if len(self.of) else self.other
             rare = np.flatnonzero(place < 0)
@@ -155,7 +156,7 @@ class LogBilinear:
                 at += x.size
 
     def contexts(self, kinds: np.ndarray) -> np.ndarray:
-        """(positions, CONTEXT) classes before each position of one text, the nearest first."""
+        """(positions, CONTEXT) classes before each position of one text, the nearest first; of the same type."""
         padded = np.concatenate([np.full(CONTEXT, len(self.r) - 1, kinds.dtype), kinds])
         return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
 
@@ -171,10 +172,11 @@ class LogBilinear:
         As all scores of a product are there, the draws' mean is taken in place of draws.
         """
         w, dims = self.width, np.arange(DIM)
-        for at in range(0, len(target), BATCH):
-            y = target[at : at + BATCH]
+        batch = min(BATCH, max(64, len(target) // STEPS))  # few positions make smaller steps
+        for at in range(0, len(target), batch):
+            y = target[at : at + batch]
             order = np.argsort(y, kind="stable")
-            y, x = y[order], ctx[at : at + BATCH][order]
+            y, x = y[order].astype(np.int64), ctx[at : at + batch][order].astype(np.int64)
             n = len(y)
             top, low = np.divmod(y, w)
             met = self.r[x]
@@ -197,7 +199,7 @@ class LogBilinear:
             self._step("q", up.reshape(self.q.shape) / n)
             back /= n
             up_c = np.einsum("nd,nid->id", back[:, :-1], met)
-            entry = (x.astype(np.int64) * DIM)[:, :, None] + dims
+            entry = (x * DIM)[:, :, None] + dims
             up_r = np.bincount(entry.ravel(), (back[:, None, :-1] * self.c).ravel(), self.r.size).reshape(self.r.shape).astype(np.float32)
             self._step("c", up_c)
             self._step("r", up_r)
@@ -208,7 +210,7 @@ class LogBilinear:
         placed = [c * self.r for c in self.c]
         g, q = np.ascontiguousarray(self.g.T), np.ascontiguousarray(self.q.reshape(self.groups, self.width, -1).transpose(0, 2, 1))
         for at in range(0, len(target), block):
-            y = target[at : at + block]
+            y = target[at : at + block].astype(np.int64)
             top, low = np.divmod(y, self.width)
             order = np.argsort(top, kind="stable")
             top, low, x = top[order], low[order], ctx[at : at + block][order]
@@ -258,12 +260,67 @@ def rounds(pieces: int) -> list[tuple[int, int]]:
     return out
 
 
-def train(docs: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE_BYTES) -> LogBilinear:
-    """A model from (doc_id, text) rows of ``size`` bytes of text in all."""
+def encode(docs: DataFrame, classes: Classes) -> DataFrame:
+    """(dk, dk2, doc_id, learns, n_tokens, known, known_log, inside, kinds, word, n, first): a row for each row of (doc_id, text, learns), and one for each of its words that is not frequent.
+
+    ``kinds`` has the text's classes, as the model takes them; ``inside`` the
+    words' shares of their classes, but for the counts of those of ``word``.
+    ``dk`` and ``dk2`` are 128 bits that stand for id and text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_log = np.log10(classes.group)
+        count_log = np.log10(classes.count + 1)
+        of_single = classes.single[classes.of]
+        for batch in chunks(batches, "text"):
+            keys, texts = list(zip(batch.column("dk").to_pylist(), batch.column("dk2").to_pylist())), batch.column("text").to_pylist()
+            size, coded, known, known_log, inside = [], [], [], [], []
+            rare_key, rare_word, rare_n, rare_first = [], [], [], []
+            for key, text in zip(keys, texts):
+                place, kinds, words = classes.encode(text)
+                size.append(len(kinds))
+                coded.append(kinds.tobytes())
+                found = place[place >= 0]
+                log = count_log[found]
+                known.append(len(found) + (classes.texts > 0))
+                known_log.append(float(log.sum()) + np.log10(classes.texts + 1))
+                inside.append(float(log[~of_single[found]].sum()) - float(group_log[kinds].sum()))  # words that are no class of their own
+                rare = Counter(words[i] for i in np.flatnonzero(place < 0).tolist())
+                rare_key += [key] * len(rare)
+                rare_word += rare.keys()
+                rare_n += rare.values()
+                rare_first += [1, *[0] * (len(rare) - 1)] if rare else []
+            n, m = len(keys), len(rare_key)
+            none = lambda kind, k: pa.nulls(k, kind)
+            both = lambda a, b: pa.concat_arrays([a, b])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "dk": pa.array([k for k, _ in [*keys, *rare_key]], pa.int64()),
+                    "dk2": pa.array([k for _, k in [*keys, *rare_key]], pa.int64()),
+                    "doc_id": both(batch.column("doc_id"), none(batch.column("doc_id").type, m)),
+                    "learns": both(batch.column("learns"), none(pa.bool_(), m)),
+                    "n_tokens": both(pa.array(size, pa.int64()), none(pa.int64(), m)),
+                    "known": both(pa.array(known, pa.int64()), none(pa.int64(), m)),
+                    "known_log": both(pa.array(known_log, pa.float64()), none(pa.float64(), m)),
+                    "inside": both(pa.array(inside, pa.float64()), none(pa.float64(), m)),
+                    "kinds": both(pa.array(coded, pa.binary()), none(pa.binary(), m)),
+                    "word": both(none(pa.binary(), n), pa.array(rare_word, pa.binary())),
+                    "n": pa.array([*repeat(0, n), *rare_n], pa.int64()),
+                    "first": pa.array([*repeat(0, n), *rare_first], pa.int32()),
+                }
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.xxhash64(F.lit(1), "doc_id", "text").alias("dk2"), "text", "learns")
+    return keyed.mapInArrow(run, f"dk long, dk2 long, doc_id {kind}, learns boolean, n_tokens long, known long, known_log double, inside double, kinds binary, word binary, n long, first int")
+
+
+def train(encoded: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE_BYTES) -> LogBilinear:
+    """A model from the rows of ``encode`` that are learned from, of ``size`` bytes of text in all."""
     model = LogBilinear(classes.groups, classes.width, classes.share)
-    pieces = -(-size // piece_bytes) if classes.texts else 0
-    placed = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("piece", F.pmod("h", F.lit(max(1, pieces))))
-    for low, high in rounds(max(pieces, classes.texts > 0)):
+    pieces = max(-(-size // piece_bytes), 1) if classes.texts else 0
+    placed = encoded.filter("learns and kinds is not null").select("dk", "dk2", "kinds", F.pmod("dk", F.lit(max(1, pieces))).alias("piece"))
+    for low, high in rounds(pieces):
         start = model.flat()
 
         def run(batches: Iterator[pa.RecordBatch], model: LogBilinear = model, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
@@ -271,8 +328,7 @@ def train(docs: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE
             now, texts, held, seen = None, [], 0, 0
 
             def learn() -> int:
-                kinds = [classes.encode(t)[1] for t in texts]
-                x, y = np.concatenate([model.contexts(k) for k in kinds]), np.concatenate(kinds)
+                x, y = np.concatenate([model.contexts(k) for k in texts]), np.concatenate(texts)
                 order = rng.permutation(len(y))
                 model.train(x[order], y[order])
                 texts.clear()
@@ -284,16 +340,16 @@ def train(docs: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE
                 total[-2:] += weight, seen
 
             for batch in batches:
-                for piece, text in zip(batch.column("piece").to_pylist(), batch.column("text").to_pylist()):
+                for piece, kinds in zip(batch.column("piece").to_pylist(), batch.column("kinds").to_pylist()):
                     if piece != now:
                         if now is not None:
                             seen += learn() if texts else 0
                             close()
                         now, held, seen, rng = piece, 0, 0, np.random.default_rng([SEED, piece])
                         model.load(start)
-                    texts.append(text)
-                    held += len(text)
-                    if held > MIXED_BYTES:
+                    texts.append(np.frombuffer(kinds, classes.kind))
+                    held += len(texts[-1])
+                    if held > MIXED:
                         seen += learn()
                         held = 0
             if now is not None:
@@ -302,7 +358,7 @@ def train(docs: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE
                 yield pa.RecordBatch.from_pydict({"entry": pa.array(np.arange(len(total), dtype=np.int32)), "value": pa.array(total)})
 
         part = placed.filter(F.col("piece").between(low, high - 1))
-        dealt = part.repartition(2 * (high - low), "piece").sortWithinPartitions("piece", "h", "doc_id", "text").select("piece", "text")
+        dealt = part.repartition(2 * (high - low), "piece").sortWithinPartitions("piece", "dk", "dk2").select("piece", "kinds")
         added = dealt.mapInArrow(run, "entry int, value long").groupBy("entry").agg(F.sum("value").alias("value")).toArrow().sort_by("entry")
         if added.num_rows:
             value = added["value"].to_numpy()
@@ -311,61 +367,25 @@ def train(docs: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE
     return model
 
 
-def score(docs: DataFrame, counts: DataFrame, classes: Classes, model: LogBilinear) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of (doc_id, text)."""
-    tens = np.log(10.0)
+def score(encoded: DataFrame, counts: DataFrame, classes: Classes, model: LogBilinear) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each document of ``encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_log = np.log10(classes.group)
-        count_log = np.log10(classes.count + 1)
-        for batch in chunks(batches, "text"):
-            keys, texts = list(zip(batch.column("dk").to_pylist(), batch.column("dk2").to_pylist())), batch.column("text").to_pylist()
-            ctx, target, size, own, known, known_log, inside = [], [], [], [], [], [], []
-            rare_key, rare_word, rare_n, rare_first = [], [], [], []
-            for key, text in zip(keys, texts):
-                place, kinds, words = classes.encode(text)
-                ctx.append(model.contexts(kinds))
-                target.append(kinds)
-                size.append(len(kinds))
-                found = place[place >= 0]
-                log = count_log[found]
-                known.append(len(found) + (classes.texts > 0))
-                known_log.append(float(log.sum()) + np.log10(classes.texts + 1))
-                inside.append(float(log[~classes.single[classes.of[found]]].sum()) - float(group_log[kinds].sum()))  # words that are no class of their own
-                rare = Counter(words[i] for i in np.flatnonzero(place < 0).tolist())
-                rare_key += [key] * len(rare)
-                rare_word += rare.keys()
-                rare_n += rare.values()
-                rare_first += [1, *[0] * (len(rare) - 1)] if rare else []
-            ends = np.concatenate([[0], np.cumsum(size)])
-            lp = model.log_probabilities(np.concatenate(ctx), np.concatenate(target)) / tens
-            total = np.add.reduceat(lp, ends[:-1])
-            n, m = len(keys), len(rare_key)
-            none = lambda kind, k: pa.nulls(k, kind)
-            both = lambda a, b: pa.concat_arrays([a, b])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "dk": pa.array([k for k, _ in [*keys, *rare_key]], pa.int64()),
-                    "dk2": pa.array([k for _, k in [*keys, *rare_key]], pa.int64()),
-                    "doc_id": both(batch.column("doc_id"), none(batch.column("doc_id").type, m)),
-                    "n_tokens": both(pa.array(size, pa.int64()), none(pa.int64(), m)),
-                    "known": both(pa.array(known, pa.int64()), none(pa.int64(), m)),
-                    "known_log": both(pa.array(known_log, pa.float64()), none(pa.float64(), m)),
-                    "own_score": both(pa.array(total + np.array(inside)), none(pa.float64(), m)),
-                    "word": both(none(pa.binary(), n), pa.array(rare_word, pa.binary())),
-                    "n": pa.array([*repeat(0, n), *rare_n], pa.int64()),
-                    "first": pa.array([*repeat(0, n), *rare_first], pa.int32()),
-                }
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.xxhash64(F.lit(1), "doc_id", "text").alias("dk2"), "text")
-    found = materialise(keyed.mapInArrow(run, f"dk long, dk2 long, doc_id {kind}, n_tokens long, known long, known_log double, own_score double, word binary, n long, first int"))
-    rare = found.filter("word is not null").select("dk", "dk2", "word", "n", "first")
+        for batch in chunks(batches, "kinds"):
+            texts = [np.frombuffer(k, classes.kind) for k in batch.column("kinds").to_pylist()]
+            lp = model.log_probabilities(np.concatenate([model.contexts(k) for k in texts]), np.concatenate(texts)) / np.log(10.0)
+            begin = np.concatenate([[0], np.cumsum([len(k) for k in texts])[:-1]])
+            own = np.add.reduceat(lp, begin) + batch.column("inside").to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(own)], names=[*batch.schema.names[:-2], "own_score"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    documents = encoded.filter("word is null").select("dk", "dk2", "doc_id", "n_tokens", "known", "known_log", "inside", "kinds")
+    found = documents.mapInArrow(run, f"dk long, dk2 long, doc_id {kind}, n_tokens long, known long, known_log double, own_score double")
+    rare = encoded.filter("word is not null").select("dk", "dk2", "word", "n", "first")
     of = counts.withColumnRenamed("n", "c")
     sums = rare.join(of, "word", "left").groupBy("dk", "dk2").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("log"), F.sum("first").alias("copies"))
     sums = sums.select("dk", "dk2", (F.col("more") / F.col("copies")).cast("long").alias("more"), (F.col("log") / F.col("copies")).alias("log"))  # of one of the rows that are copies
-    rows = found.filter("word is null").join(sums, ["dk", "dk2"], "left").fillna({"more": 0, "log": 0.0})
+    rows = found.join(sums, ["dk", "dk2"], "left").fillna({"more": 0, "log": 0.0})
     return rows.select(
         "doc_id",
         "n_tokens",
@@ -376,22 +396,28 @@ def score(docs: DataFrame, counts: DataFrame, classes: Classes, model: LogBiline
     )
 
 
-def score_texts(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all rows of ``docs`` under a model of the rows of ``learn``.
+def fitted(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Classes, LogBilinear]:
+    """The encoded documents, the word counts, the classes and the model of the rows that ``learns`` holds for."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    seen = own.filter("learns")
+    counts = materialise(word_counts(seen))
+    texts, size = seen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    classes = Classes(counts, texts)
+    encoded = materialise(encode(own, classes))
+    return encoded, counts, classes, train(encoded, classes, size)
+
+
+def score_texts(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of all rows of ``docs`` under a model of those rows that ``learns`` holds for.
 
     A null text is an empty one and has one token, its end. Rows with equal id
     and text are scored alike, in a row each; null ids stay null. Without rows
     to learn from all words are unknown and classes equally likely. Other
     columns are not read.
     """
-    own = lambda df: own_columns(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
-    seen = own(learn)
-    counts = materialise(word_counts(seen))
-    texts, size = seen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    classes = Classes(counts, texts)
-    return score(own(docs), counts, classes, train(seen, classes, size))
+    return score(*fitted(docs, learns, id_col, text_col))
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_texts(docs, docs.filter(hash_mod("doc_id", 7) != 2)).withColumn("held_out", hash_mod("doc_id", 7) == 2)
+    return score_texts(docs, hash_mod("doc_id", 7) != 2).withColumn("held_out", hash_mod("doc_id", 7) == 2)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sigmill.llm import lm
 
@@ -22,7 +23,7 @@ ALL = LEARN + [(100, some(50, 0)), (101, "never seen words"), (102, None), (None
 
 @pytest.fixture(scope="module")
 def scored(docs_of):
-    return lm.score_texts(docs_of(ALL), docs_of(LEARN)).collect()
+    return lm.score_texts(docs_of(ALL), F.col("doc_id") < 95).collect()
 
 
 def test_base_scores_match_brute_force(scored, monkeypatch):
@@ -40,7 +41,7 @@ def test_base_scores_match_brute_force(scored, monkeypatch):
 
 def test_rare_words_are_joined_alike(docs_of, scored, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 50)
-    again = lm.score_texts(docs_of(ALL), docs_of(LEARN)).collect()
+    again = lm.score_texts(docs_of(ALL), F.col("doc_id") < 95).collect()
     key = lambda r: (repr(r.doc_id), r.n_tokens, round(r.base_score, 6))
     a, b = sorted(scored, key=key), sorted(again, key=key)
     assert [(r.doc_id, r.n_tokens, r.n_known) for r in a] == [(r.doc_id, r.n_tokens, r.n_known) for r in b]
@@ -81,10 +82,7 @@ def slow_score(model, classes, kinds):
 
 
 def test_scores_match_brute_force(docs_of, scored):
-    learn = docs_of(LEARN).selectExpr("doc_id", "coalesce(cast(text as binary), cast('' as binary)) text")
-    counts = lm.word_counts(learn)
-    classes = lm.Classes(counts, len(LEARN))
-    model = lm.train(learn, classes, sum(len(t or "") for _, t in LEARN))
+    _, counts, classes, model = lm.fitted(docs_of(ALL), F.col("doc_id") < 95)
     count = {r.word: r.n for r in counts.collect()}
     want = []
     for i, t in ALL:
@@ -102,9 +100,9 @@ def test_scores_match_brute_force(docs_of, scored):
 
 def learned(docs_of, size, parts=2, some_text=None):
     rows = [(i, some_text or some(80, i % 2) if i % 3 else "w1ed") for i in range(900)]
-    docs = docs_of(rows).selectExpr("doc_id", "cast(text as binary) text").repartition(parts)
+    docs = docs_of(rows).selectExpr("doc_id", "cast(text as binary) text", "true AS learns").repartition(parts)
     classes = lm.Classes(lm.word_counts(docs), 900)
-    return classes, lm.train(docs, classes, sum(len(t) for _, t in rows), size)
+    return classes, lm.train(lm.encode(docs, classes), classes, sum(len(t) for _, t in rows), size)
 
 
 @pytest.mark.parametrize("size", [1 << 22, 20_000])
@@ -145,6 +143,6 @@ def test_slopes_of_the_noise_contrastive_objective():
 
 
 def test_nothing_to_learn_from_and_no_rows(docs_of):
-    got = lm.score_texts(docs_of([(1, "a b"), (2, None)]), docs_of([])).collect()
+    got = lm.score_texts(docs_of([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
-    assert lm.score_texts(docs_of([]), docs_of(LEARN[:3])).collect() == []
+    assert lm.score_texts(docs_of([]), F.lit(True)).collect() == []
