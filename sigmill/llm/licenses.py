@@ -7,12 +7,36 @@ from pyspark.sql import functions as F
 
 from sigmill.llm.common import table
 
+# Licences by their SPDX identifiers, and the names that a reference gives them (normalised as sentences are).
+NAMES = {
+    "MIT": ["mit license"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"],
+    "GPL-2.0-only": ["gnu general public license version 2", "gnu gpl version 2", "gpl v2"],
+    "GPL-3.0-only": ["gnu general public license version 3", "gnu gpl version 3", "gpl v3"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1", "lgpl v2 1"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3", "lgpl v3"],
+    "AGPL-3.0-only": ["gnu affero general public license version 3", "agpl v3"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license"],
+    "ISC": ["isc license"],
+    "Zlib": ["zlib license"],
+    "BSL-1.0": ["boost software license version 1 0"],
+    "Unlicense": ["unlicense"],
+    "Artistic-2.0": ["artistic license 2 0"],
+    "CC0-1.0": ["cc0 1 0", "creative commons zero v1 0 universal license", "cc0 1 0 universal public domain dedication"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international license"],
+}
+#: What a sentence that refers to a licence by name says before the name.
+REFERENCES = ["licensed under", "released under", "distributed under", "this project is licensed under", "this work is licensed under", "this software is licensed under"]
+
 # Sentences of public licences, normalised (lower case, other than letters and digits as one space).
-SENTENCES = {
-    "released under the mit license": "mit-ref",
-    "licensed under the mit license": "mit-ref",
-    "this project is licensed under the mit license": "mit-ref",
-    "spdx license identifier mit": "mit-ref",
+TEXTS = {
     "the mit license mit": "mit-title",
     "the mit license": "mit-title",
     "mit license": "mit-title",
@@ -20,9 +44,6 @@ SENTENCES = {
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
-    "licensed under the apache license version 2 0": "apache2-ref",
-    "released under the apache license version 2 0": "apache2-ref",
-    "spdx license identifier apache 2 0": "apache2-ref",
     "licensed under the apache license version 2 0 the license": "apache2-head",
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache2-grant",
     "you may not use this file except in compliance with the license": "apache2-comply",
@@ -30,56 +51,119 @@ SENTENCES = {
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache2-copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-warranty",
     "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
-    "this work is licensed under the gnu general public license version 3": "gpl3-ref",
-    "licensed under the gnu general public license version 3": "gpl3-ref",
-    "spdx license identifier gpl 3 0 only": "gpl3-ref",
-    "spdx license identifier gpl 3 0 or later": "gpl3-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-warranty",
     "see the gnu general public license for more details": "gpl-see",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "see the gnu affero general public license for more details": "agpl-see",
     "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
-    "licensed under cc by nc 4 0": "ccbync4-ref",
-    "this work is licensed under cc by nc 4 0": "ccbync4-ref",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4-ref",
-    "licensed under cc by 4 0": "ccby4-ref",
-    "this work is licensed under a creative commons attribution 4 0 international license": "ccby4-ref",
-    "licensed under cc by sa 4 0": "ccbysa4-ref",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa4-ref",
-    "spdx license identifier cc0 1 0": "cc0-ref",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl-copy",
+    "you should have received a copy of the gnu affero general public license along with this program": "agpl-copy",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gnu-verbatim",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-form",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-made",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
-    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertise",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-liability",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc-liability",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "zlib-origin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib-altered",
+    "this notice may not be removed or altered from any source distribution": "zlib-notice",
+    "boost software license version 1 0 august 17th 2003": "bsl1-title",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl1-grant",
+    "distributed under the boost software license version 1 0": "bsl1-head",
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-anyone",
+    "do what the fuck you want to public license": "wtfpl-title",
+    "you just do what the fuck you want to": "wtfpl-grant",
+    "this work is dedicated to the public domain": "public-domain",
+    "all rights reserved": "all-rights-reserved",
 }
 
+
+def by_name(names: dict[str, list[str]] = NAMES, references: list[str] = REFERENCES) -> tuple[dict[str, str], list[tuple]]:
+    """Sentences that refer to a licence by its name or its SPDX identifier, and their rules."""
+    sentences, rules = {}, []
+    for licence, known in names.items():
+        sentences[f"spdx license identifier {_plain(licence)}"] = f"{licence}-ref"
+        for name in known:
+            article = "a" if name.startswith("creative commons") else "the"
+            for reference in references:
+                sentences |= {f"{reference} {name}": f"{licence}-ref", f"{reference} {article} {name}": f"{licence}-ref"}
+        rules.append((licence, "reference", [f"{licence}-ref"]))
+        if licence.endswith("-only"):  # the same identifier with later versions
+            later = licence.replace("-only", "-or-later")
+            sentences[f"spdx license identifier {_plain(later)}"] = f"{later}-ref"
+            rules.append((later, "reference", [f"{later}-ref"]))
+    return sentences, rules
+
+
+def _plain(text: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
+
+
 #: (licence, kind, sentences in order, nothing known between them); a text's first rule of a licence names its kind.
-RULES = [
+TEXT_RULES = [
     ("MIT", "text", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
     ("MIT", "text", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", "notice", ["mit-title", "mit-grant"]),
-    ("MIT", "reference", ["mit-ref"]),
     ("Apache-2.0", "text", ["apache2-head", "apache2-comply", "apache2-copy", "apache2-warranty", "apache2-see"]),
     ("Apache-2.0", "text", ["apache2-grant", "apache2-copy", "apache2-warranty", "apache2-see"]),
     ("Apache-2.0", "notice", ["apache2-grant"]),
-    ("Apache-2.0", "reference", ["apache2-ref"]),
+    ("Apache-2.0", "notice", ["apache2-head"]),
     ("GPL-3.0-or-later", "text", ["gpl3-later", "gpl-warranty", "gpl-see"]),
     ("GPL-3.0-or-later", "notice", ["gpl3-later"]),
-    ("GPL-3.0-only", "reference", ["gpl3-ref"]),
     ("GPL-2.0-or-later", "text", ["gpl2-later", "gpl-warranty", "gpl-see"]),
     ("GPL-2.0-or-later", "notice", ["gpl2-later"]),
+    ("AGPL-3.0-or-later", "text", ["agpl3-later", "gpl-warranty", "agpl-see"]),
+    ("AGPL-3.0-or-later", "notice", ["agpl3-later"]),
+    ("LGPL-2.1-or-later", "text", ["lgpl21-later", "lgpl-warranty", "lgpl-see"]),
+    ("LGPL-2.1-or-later", "notice", ["lgpl21-later"]),
+    ("LGPL-3.0-or-later", "text", ["lgpl3-later", "lgpl-warranty", "lgpl-see"]),
+    ("LGPL-3.0-or-later", "notice", ["lgpl3-later"]),
+    ("MPL-2.0", "text", ["mpl2-form", "mpl2-copy"]),
+    ("MPL-2.0", "notice", ["mpl2-form"]),
+    ("EPL-2.0", "notice", ["epl2-made"]),
+    ("BSD-4-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise"]),
     ("BSD-3-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
     ("BSD-2-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "mit-warranty"]),
+    ("ISC", "text", ["isc-grant", "isc-warranty", "isc-liability"]),
     ("ISC", "text", ["isc-grant"]),
+    ("0BSD", "text", ["0bsd-grant", "isc-warranty", "isc-liability"]),
+    ("0BSD", "notice", ["0bsd-grant"]),
+    ("Zlib", "text", ["zlib-warranty", "zlib-liability", "zlib-grant", "zlib-origin"]),
+    ("Zlib", "notice", ["zlib-grant"]),
+    ("BSL-1.0", "text", ["bsl1-title", "bsl1-grant"]),
+    ("BSL-1.0", "notice", ["bsl1-head"]),
+    ("Unlicense", "text", ["unlicense-grant", "unlicense-anyone"]),
     ("Unlicense", "text", ["unlicense-grant"]),
-    ("CC-BY-NC-4.0", "reference", ["ccbync4-ref"]),
-    ("CC-BY-4.0", "reference", ["ccby4-ref"]),
-    ("CC-BY-SA-4.0", "reference", ["ccbysa4-ref"]),
-    ("CC0-1.0", "reference", ["cc0-ref"]),
+    ("WTFPL", "text", ["wtfpl-title"]),
+    ("LicenseRef-public-domain", "reference", ["public-domain"]),
+    ("LicenseRef-all-rights-reserved", "reference", ["all-rights-reserved"]),
 ]
 
+_SENTENCES, _NAME_RULES = by_name()
+SENTENCES = _SENTENCES | TEXTS
+RULES = TEXT_RULES + _NAME_RULES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,10 +175,12 @@ def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES) -> Colu
     """Identifiers of the known sentences of a text, in order.
 
     A sentence ends at a mark and white space, or at an empty line; it may run
-    over lines, so each of its lines is looked up as well.
+    over lines, so each of its lines is looked up as well. The colon of an SPDX
+    identifier ends none.
     """
     known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
-    ended = F.regexp_replace(text, "([.!?:;])[ \\t\\r\\n]+", "$1\n\n")
+    joined = F.regexp_replace(text, "(?i)(spdx-license-identifier):[ \\t]*", "$1 ")
+    ended = F.regexp_replace(joined, "([.!?:;])[ \\t\\r\\n]+", "$1\n\n")
     runs = F.split(ended, "\\n[ \\t\\r]*\\n+")
     pieces = F.flatten(F.transform(runs, lambda s: F.when(F.instr(s, "\n") > 0, F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))))
     return F.filter(F.transform(pieces, lambda p: F.try_element_at(known, normalised(p))), lambda x: x.isNotNull())
@@ -121,12 +207,13 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+_JOINED = "regexp_replace(text, '(?i)(spdx-license-identifier):[ \\t]*', '\\1 ', 'g')"
 _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
 _RULES = "[" + ", ".join(f"{{'name': '{n}:{k}', 'ids': '|{'|'.join(ids)}|'}}" for n, k, ids in RULES) + "]"
 
 OP3_SQL = f"""
-WITH runs AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?:;])[ \\t\\r\\n]+', '\\1\n\n', 'g'), '\\n[ \\t\\r]*\\n+')) AS s,
-                     generate_subscripts(string_split_regex(regexp_replace(text, '([.!?:;])[ \\t\\r\\n]+', '\\1\n\n', 'g'), '\\n[ \\t\\r]*\\n+'), 1) AS i FROM documents),
+WITH runs AS (SELECT doc_id, unnest(string_split_regex(regexp_replace({_JOINED}, '([.!?:;])[ \\t\\r\\n]+', '\\1\n\n', 'g'), '\\n[ \\t\\r]*\\n+')) AS s,
+                     generate_subscripts(string_split_regex(regexp_replace({_JOINED}, '([.!?:;])[ \\t\\r\\n]+', '\\1\n\n', 'g'), '\\n[ \\t\\r]*\\n+'), 1) AS i FROM documents),
 pieces AS (SELECT doc_id, i, unnest(list_concat([s], CASE WHEN contains(s, '\n') THEN string_split(s, '\n') ELSE [] END)) AS p,
                   generate_subscripts(list_concat([s], CASE WHEN contains(s, '\n') THEN string_split(s, '\n') ELSE [] END), 1) AS j FROM runs),
 ids AS (SELECT doc_id, i, j, ({_MAP})[trim(regexp_replace(translate(p, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))] AS id FROM pieces),

@@ -1,3 +1,5 @@
+import duckdb
+
 from sigmill.llm import licenses
 
 MIT = """MIT License
@@ -35,6 +37,38 @@ def test_order_matters(docs_of):
     assert {r.doc_id: r.licenses for r in got} == {1: "L:text", 2: "", 3: "L:text", 4: "L:text"}
 
 
+def test_names_and_identifiers(docs_of):
+    rows = [
+        (1, "// SPDX-License-Identifier: LGPL-3.0-or-later\ncode"), (2, "This software is licensed under the BSD 3-Clause License."), (3, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        (4, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        (5, "Released under the GNU GPL version 2."), (6, "All rights reserved."), (7, "licensed under a license of some kind."),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs_of(rows)).collect()}
+    assert got[2] == "BSD-3-Clause:reference" and got[3] == "CC-BY-SA-4.0:reference" and got[5] == "GPL-2.0-only:reference" and got[6] == "LicenseRef-all-rights-reserved:reference" and 7 not in got
+    assert got[1] == "LGPL-3.0-or-later:reference"
+    assert got[4].startswith("MPL-2.0:")
+
+
+def test_every_rule_matches_its_own_sentences(docs_of):
+    sentence = {}
+    for text, name in licenses.SENTENCES.items():
+        sentence.setdefault(name, text)
+    rows = [(k, "\n\n".join(sentence[i] + "." for i in ids)) for k, (_, _, ids) in enumerate(licenses.RULES)]
+    got = {r.doc_id: r.licenses.split("|") for r in licenses.scan(docs_of(rows)).collect()}
+    for k, (name, kind, ids) in enumerate(licenses.RULES):
+        first = next(k for n, k, i in licenses.RULES if n == name and f"|{'|'.join(i)}|" in f"|{'|'.join(ids)}|")
+        assert f"{name}:{first}" in got[k]
+
+
+def test_sql_gives_the_same(spark, tables):
+    docs = [(1, MIT), (2, None), (3, ""), (4, "Some prose.\nReleased under the Apache License, Version 2.0.\nmore"), (5, "plain"), (6, "SPDX-License-Identifier: Apache-2.0\n\nMIT License. All rights reserved.")]
+    path = tables(documents=(docs, "doc_id long, text string"))
+    names = ["doc_id", "sentence_ids", "licenses", "n_sentences"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, licenses.op3_licenses(spark, path).select(names).collect())) == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({licenses.OP3_SQL})").fetchall())
+
+
 def test_empty_table_and_plan(docs_of):
     df = licenses.scan(docs_of([]))
     assert df.collect() == []
