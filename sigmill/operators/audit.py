@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.functions.scalars import crc32_hex, float_bytes, whole_quotient
 from sigmill.operators.blocks import INTERLEAVED
-from sigmill.operators.ranks import small
+from sigmill.operators.ranks import each_with_all, small
 
 
 def local_starts(audit: DataFrame) -> DataFrame:
@@ -36,25 +36,35 @@ def audit_missing_groups(audit: DataFrame, samples: DataFrame) -> DataFrame:
     return audit.join(there, "group_id", "left_anti").withColumn("reason", F.lit("group is missing"))
 
 
-def audit_verify(audit: DataFrame, samples: DataFrame) -> DataFrame:
+def audit_verify(audit: DataFrame, stored: DataFrame, width: int = 4096) -> DataFrame:
     """Audit rows (block_index, group_id, crc32, layout, ...) with ``actual`` and ``reason`` (null: it holds).
 
-    ``samples`` has device_id, position (of the channel in a block), sample_idx
-    and value. The block's bytes are rebuilt in its layout; group -1 takes all
-    devices by position.
+    ``stored`` has pieces of series: device_id, position (of the channel in a
+    block), start and ``values``, an array of any length; or single samples, with
+    sample_idx and value. Blocks and pieces meet by device and the bins of
+    ``width`` positions that they touch, and a piece gives the slice that the
+    block covers. The block's bytes are rebuilt in its layout; group -1 takes
+    all devices by position.
     """
+    pieces = stored if "values" in stored.columns else stored.select("device_id", "position", F.col("sample_idx").alias("start"), F.array("value").alias("values"))
     placed = local_starts(audit)
-    rows = placed.filter("group_id >= 0").select("block_index", "group_id", "local_start", "data_count_per_channel", "channel_count", "layout")
-    every = small(samples.select("device_id").distinct().withColumn("one", F.lit(-1)))
-    global_rows = placed.filter("group_id < 0").select("block_index", "group_id", "local_start", "data_count_per_channel", "channel_count", "layout")
-    spread = global_rows.join(every, global_rows["group_id"] == every["one"]).drop("one")
-    wanted = rows.withColumn("device_id", F.col("group_id")).unionByName(spread)
-    found = audit_block_samples(wanted.withColumn("own", F.col("group_id")).withColumn("group_id", F.col("device_id")).drop("device_id"), samples)
-    i = F.col("sample_idx") - F.col("local_start")
-    place = F.when(F.col("layout") == INTERLEAVED, i * F.col("channel_count") + F.col("position")).otherwise(F.col("position") * F.col("data_count_per_channel") + i)
-    lists = found.groupBy("block_index", F.col("own").alias("group_id")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "value"))).alias("all"))  # a block bounds its list
+    heads = placed.filter("local_start >= 0 and data_count_per_channel > 0").select("block_index", "group_id", "local_start", "data_count_per_channel", "channel_count", "layout")
+    devices = pieces.select("device_id").distinct()
+    wanted = heads.filter("group_id >= 0").withColumn("device_id", F.col("group_id")).unionByName(each_with_all(heads.filter("group_id < 0"), devices))
+    bins = lambda start, n: F.explode(F.sequence(whole_quotient(start, F.lit(width)), whole_quotient(start + n - 1, F.lit(width))))
+    asked = wanted.withColumn("bin", bins(F.col("local_start"), F.col("data_count_per_channel")))
+    held = pieces.filter(F.size("values") > 0).withColumn("size", F.size("values")).withColumn("bin", bins(F.col("start"), F.col("size")))
+    low, high = F.greatest("local_start", "start"), F.least(F.col("local_start") + F.col("data_count_per_channel"), F.col("start") + F.col("size"))
+    met = asked.join(held, ["device_id", "bin"]).filter((low < high) & (F.col("bin") == whole_quotient(low, F.lit(width))))
+    slices = met.withColumn("at", low - F.col("local_start")).withColumn("part", F.slice("values", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")))
+
+    def place(i: Column) -> Column:
+        return F.when(F.col("layout") == INTERLEAVED, i * F.col("channel_count") + F.col("position")).otherwise(F.col("position") * F.col("data_count_per_channel") + i)
+
+    own = F.transform("part", lambda v, k: F.struct(place(F.col("at") + k).alias("place"), v.alias("value")))
+    lists = slices.groupBy("block_index", "group_id").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("all"))  # a block bounds its list
     sums = lists.select("block_index", "group_id", crc32_hex(float_bytes(F.transform("all", lambda s: s["value"]))).alias("actual"))
-    there = small(samples.select(F.col("device_id").alias("group_id")).distinct().withColumn("stored", F.lit(True)))
+    there = small(devices.select(F.col("device_id").alias("group_id"), F.lit(True).alias("stored")))
     out = placed.join(sums, ["block_index", "group_id"], "left").join(there, "group_id", "left")
     reason = F.when((F.col("group_id") >= 0) & F.col("stored").isNull(), "group is missing").when(F.col("local_start") < 0, "invalid offset").when(F.upper(F.trim("crc32")) != F.coalesce("actual", F.lit("")), "checksum differs")
     return out.withColumn("reason", reason).drop("stored")

@@ -93,7 +93,8 @@ def envelope_from_summaries(chunks: DataFrame, samples: DataFrame, requests: Dat
     """``channel_envelope`` by the floor rule, reading samples only where summaries do not do.
 
     A chunk's summary does if the chunk lies in the range and in one bucket and
-    has no NaN.
+    has no NaN. ``samples`` are single ones (sample_idx, value), or whole chunks
+    (chunk_seq and an array ``values``); of chunks only those needed are opened.
     """
     cut = clip_requests(requests, totals, keys).withColumn("sample_count", F.col("n"))
     held = overlap_records(cut, chunks, max(chunk_size, 1) * 16, keys)
@@ -105,7 +106,11 @@ def envelope_from_summaries(chunks: DataFrame, samples: DataFrame, requests: Dat
     held = held.withColumn("whole", F.coalesce(whole, F.lit(False)))
     ready = held.filter("whole").select(*keys, "req_id", low.alias("bucket"), F.col("sample_start").alias("at"), "first", "last", "minimum", "maximum")
     rest = held.filter(~F.col("whole")).select(*keys, "chunk_seq", "req_id", "start_sample", "n", "b")
-    raw = samples.withColumn("chunk_seq", whole_quotient(F.col("sample_idx"), F.lit(chunk_size))).join(small(rest), [*keys, "chunk_seq"])
+    if "values" in samples.columns:
+        opened = samples.select(*keys, "chunk_seq", "values").join(rest, [*keys, "chunk_seq"])
+        raw = opened.select(*rest.columns, F.posexplode("values").alias("i", "value")).withColumn("sample_idx", F.col("chunk_seq") * chunk_size + F.col("i"))
+    else:
+        raw = samples.withColumn("chunk_seq", whole_quotient(F.col("sample_idx"), F.lit(chunk_size))).join(rest, [*keys, "chunk_seq"])
     raw = raw.filter((F.col("sample_idx") >= F.col("start_sample")) & (F.col("sample_idx") < F.col("start_sample") + F.col("n")))
     own = bucket_floor(F.col("sample_idx") - F.col("start_sample"), F.col("n"), F.col("b"))
     v = F.col("value")

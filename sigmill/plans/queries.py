@@ -321,7 +321,9 @@ def _(v):
 
 @query("a3_envelope_from_summaries", _envelope_sql("samples", FLOOR), "samples", "requests", "totals")
 def _(v):
-    return envelope.envelope_from_summaries(envelope.chunk_summary(v.samples, 64), v.samples, v.requests, v.totals, 64)
+    whole = v.samples.groupBy(*KEYS, F.floor(F.col("sample_idx") / 64).alias("chunk_seq")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("all"))
+    stored = materialise(whole.select(*KEYS, "chunk_seq", F.transform("all", lambda s: s["value"]).alias("values")))  # a recording's chunks
+    return envelope.envelope_from_summaries(envelope.chunk_summary(v.samples, 64), stored, v.requests, v.totals, 64)
 
 
 @query("a4_lod_pyramid", " UNION ALL ".join(f"SELECT device_id, channel, CAST({k} AS INT) AS level, chunk_seq // {1 << k} AS seq, min(sample_start) AS sample_start, CAST(sum(sample_count) AS BIGINT) AS sample_count, min_by(first, sample_start) AS first, max_by(last, sample_start) AS last, min(minimum) AS minimum, max(maximum) AS maximum FROM chunks GROUP BY 1, 2, 3, 4" for k in range(4)), "chunks")
@@ -403,11 +405,10 @@ def _verified(v: Views) -> DataFrame:
     rows = _counted(v).filter("message_type = 5").withColumn("local", F.col("total_data_count"))
     arrays = blocks.channel_arrays(rows).join(rows.select("block_index", "group_id", "total_data_count"), "block_index")
     least = rows.groupBy("group_id").agg(F.min("total_data_count").alias("base"))
-    stored = arrays.join(least, "group_id").select(F.col("group_id").alias("device_id"), F.col("channel_pos").alias("position"), F.col("total_data_count"), F.col("base"), F.posexplode("values").alias("i", "value"))
-    samples = materialise(stored.select("device_id", "position", (F.col("total_data_count") - F.col("base") + F.col("i")).alias("sample_idx"), "value"))
+    stored = materialise(arrays.join(least, "group_id").select(F.col("group_id").alias("device_id"), F.col("channel_pos").alias("position"), (F.col("total_data_count") - F.col("base")).alias("start"), "values"))
     log = rows.withColumn("crc32", F.when(F.col("block_index") % 9 == 0, "00000000").otherwise(sc.crc32_hex(sc.float_bytes("payload")))).select("block_index", "group_id", "total_data_count", "data_count_per_channel", "buffer_count", "channel_count", "layout", "crc32")
     other = log.filter("block_index % 50 = 1").withColumns({"group_id": F.lit(99).cast("int"), "block_index": F.col("block_index") + 1_000_000})
-    return audit.audit_verify(materialise(log.unionByName(other)), samples)
+    return audit.audit_verify(materialise(log.unionByName(other)), stored)
 
 
 VERIFIED = """WITH one AS (SELECT block_index, group_id, buffer_count, CASE WHEN block_index % 9 = 0 THEN 'checksum differs' END AS reason FROM blocks WHERE message_type = 5),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -56,14 +58,20 @@ def export_samples(samples: DataFrame, ranges: DataFrame, path: str, source: str
         raise ValueError("the target is in the source's folder")
     if _exists(spark, path):
         raise FileExistsError(path)
+    part = f"{target[:-1]}-{uuid.uuid4().hex}.part"  # takes its name when it is known to be whole
     filled = fill_gaps(samples, ranges, keys, slice_samples)
+    filled.repartitionByRange(*keys, "sample_idx").sortWithinPartitions(*keys, "sample_idx").write.parquet(part)
     want = ranges.filter("sample_count > 0").groupBy(*keys).agg(F.sum("sample_count").alias("wanted"))
-    got = filled.groupBy(*keys).agg(F.count("*").alias("written"))
-    short = want.join(got, list(keys), "left").filter("coalesce(written, 0) <> wanted")
-    if not short.isEmpty():
-        raise ValueError(f"no samples in a slice of {short.first()}")
-    filled.repartitionByRange(*keys, "sample_idx").sortWithinPartitions(*keys, "sample_idx").write.parquet(path)
-    return spark.read.parquet(path).groupBy(*keys).agg(F.count("*").alias("written"))
+    got = spark.read.schema(filled.schema).parquet(part).groupBy(*keys).agg(F.count("*").alias("written"))
+    short = want.join(got, list(keys), "left").filter("coalesce(written, 0) <> wanted").head()
+    made = spark._jvm.org.apache.hadoop.fs.Path(part)
+    fs = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if short:
+        fs.delete(made, True)
+        raise ValueError(f"no samples in a slice of {short}")
+    if not fs.rename(made, spark._jvm.org.apache.hadoop.fs.Path(path)):
+        raise OSError(f"{part} could not be renamed")
+    return spark.read.schema(filled.schema).parquet(path).groupBy(*keys).agg(F.count("*").alias("written"))
 
 
 def write_audit(blocks: DataFrame, path: str) -> None:
