@@ -46,6 +46,16 @@ def query(name: str, oracle: str = "", *views: str):
 
 # Blocks
 
+#: CRC32 in SQL: the table of 256 remainders from the polynomial, then a fold over the bytes.
+CRC_TABLE = "t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)))"
+CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295)"
+#: The bits of a float from its exponent and its fraction, and the little-endian bytes of a block's floats.
+FLOATS = """e AS (SELECT block_index, list_transform(payload, lambda x: CAST(abs(x) AS DOUBLE)) AS size, list_transform(payload, lambda x: x < 0) AS low FROM blocks),
+p AS (SELECT *, list_transform(size, lambda a: CASE WHEN a = 0 THEN 0 ELSE CAST(floor(log2(a)) AS BIGINT) END) AS guess FROM e),
+q AS (SELECT *, list_transform(range(1, len(size) + 1), lambda i: guess[i] + CASE WHEN size[i] >= pow(2.0, guess[i] + 1) THEN 1 WHEN size[i] > 0 AND size[i] < pow(2.0, guess[i]) THEN -1 ELSE 0 END) AS power FROM p),
+w AS (SELECT block_index, list_transform(range(1, len(size) + 1), lambda i: CASE WHEN low[i] THEN 2147483648 ELSE 0 END + CASE WHEN size[i] = 0 THEN 0 ELSE (power[i] + 127) * 8388608 + CAST((size[i] / pow(2.0, power[i]) - 1) * 8388608 AS BIGINT) END) AS words FROM q),
+b AS (SELECT block_index, flatten(list_transform(words, lambda x: [x & 255, (x >> 8) & 255, (x >> 16) & 255, (x >> 24) & 255])) AS bytes FROM w)"""
+
 COUNTED = "SELECT b.*, CAST({c} AS INT) AS channel_count FROM {b} b LEFT JOIN n g ON g.device_id = b.group_id LEFT JOIN n m ON m.device_id = b.machine_id"
 PER = "WITH n AS (SELECT device_id, count(*) AS n FROM channels GROUP BY 1),\n"
 COUNT_RULE = "CASE WHEN data_count_per_channel > 0 AND buffer_count > 0 AND buffer_count % (4 * data_count_per_channel) = 0 THEN buffer_count // (4 * data_count_per_channel) ELSE greatest(1, coalesce(g.n, m.n, 1)) END"
@@ -625,17 +635,6 @@ def _(v):
 # Functions
 
 
-#: CRC32 in SQL: the table of 256 remainders from the polynomial, then a fold over the bytes.
-CRC_TABLE = "t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)))"
-CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295)"
-#: The bits of a float from its exponent and its fraction, and the little-endian bytes of a block's floats.
-FLOATS = """e AS (SELECT block_index, list_transform(payload, lambda x: CAST(abs(x) AS DOUBLE)) AS size, list_transform(payload, lambda x: x < 0) AS low FROM blocks),
-p AS (SELECT *, list_transform(size, lambda a: CASE WHEN a = 0 THEN 0 ELSE CAST(floor(log2(a)) AS BIGINT) END) AS guess FROM e),
-q AS (SELECT *, list_transform(range(1, len(size) + 1), lambda i: guess[i] + CASE WHEN size[i] >= pow(2.0, guess[i] + 1) THEN 1 WHEN size[i] > 0 AND size[i] < pow(2.0, guess[i]) THEN -1 ELSE 0 END) AS power FROM p),
-w AS (SELECT block_index, list_transform(range(1, len(size) + 1), lambda i: CASE WHEN low[i] THEN 2147483648 ELSE 0 END + CASE WHEN size[i] = 0 THEN 0 ELSE (power[i] + 127) * 8388608 + CAST((size[i] / pow(2.0, power[i]) - 1) * 8388608 AS BIGINT) END) AS words FROM q),
-b AS (SELECT block_index, flatten(list_transform(words, lambda x: [x & 255, (x >> 8) & 255, (x >> 16) & 255, (x >> 24) & 255])) AS bytes FROM w)"""
-
-
 @query("f1_crc32", f"""WITH {CRC_TABLE}, h AS (SELECT event_id, hex(encode(props)) AS h FROM events),
 b AS (SELECT event_id, list_transform(range(0, len(h) // 2), lambda i: CAST(CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS BIGINT)) AS bytes FROM h)
 SELECT event_id, CAST({CRC} AS BIGINT) AS crc32, printf('%08X', {CRC}) AS crc32_hex FROM b, t""")
@@ -683,11 +682,26 @@ def _(v):
 # Sinks, read back
 
 
-@query("k1_write_chunks", "SELECT device_id, channel, chunk_seq, sample_start, sample_count, first, last, minimum, maximum, CAST(chunk_seq % 3 AS INT) AS segment FROM chunks", "chunks")
+K1_SQL = ROUTED + f""", vals AS (SELECT device_id, channel_id, block_index, CASE WHEN layout = 'SampleInterleavedFloat32' THEN list_transform(range(0, 16), lambda i: payload[i * channel_count + position + 1]) ELSE payload[position * 16 + 1 : position * 16 + 16] END AS vals,
+row_number() OVER (PARTITION BY device_id, channel_id ORDER BY block_index) - 1 AS k FROM routed),
+packed AS (SELECT device_id, channel_id, k // 5 AS chunk, CAST(max(k) // 16 AS INT) AS segment, list(block_index ORDER BY block_index) AS source_blocks, flatten(list(vals ORDER BY block_index)) AS payload FROM vals GROUP BY 1, 2, 3),
+numbered AS (SELECT row_number() OVER () AS block_index, * FROM packed),
+{CRC_TABLE}, {FLOATS.replace("FROM blocks", "FROM numbered")}
+SELECT device_id, channel_id, chunk, segment, source_blocks, CAST(len(bytes) AS INT) AS bytes, CAST({CRC} AS BIGINT) AS raw_crc32, CAST({CRC} AS BIGINT) AS payload_crc32 FROM numbered JOIN b USING (block_index), t"""
+
+
+@query("k1_write_chunks", K1_SQL, "blocks", "channels")
 def _(v):
+    """Blocks routed to channels, cut in chunks and segments, and written with their source blocks and checksums; each device is a run of segments."""
+    values = blocks.channel_arrays(_counted(v)).withColumnRenamed("channel_pos", "position")
+    rows = materialise(_routed(v).select("device_id", "channel_id", "block_index", "position", "data_count_per_channel").join(values, ["block_index", "position"]))
+    chunk = blocks.assign_even_chunks(rows, 300, 16).drop("data_count_per_channel")
+    placed = rows.join(chunk, ["device_id", "channel_id", "block_index"]).join(blocks.assign_segments(rows, 4_000, 4, "device_id"), ["device_id", "block_index"])
+    whole = placed.groupBy("device_id", "channel_id", "chunk").agg(F.max("segment").cast("int").alias("segment"), F.array_sort(F.collect_list(F.struct("block_index", "values"))).alias("all"))
+    rows = whole.select("device_id", "channel_id", "chunk", "segment", F.transform("all", lambda b: b["block_index"]).alias("source_blocks"), sc.float_bytes(F.flatten(F.transform("all", lambda b: b["values"]))).alias("payload"))
     root = f"{shared_dir(v.spark)}/chunks-{uuid.uuid4().hex}"
-    run = tables.write_chunks(v.chunks.withColumn("segment", (F.col("chunk_seq") % 3).cast("int")), root, "run")
-    return v.spark.read.parquet(root).filter(F.col("run_id") == run).drop("run_id")
+    run = tables.write_chunks(rows.withColumn("raw_crc32", F.crc32("payload")), root, "run")
+    return v.spark.read.parquet(root).filter(F.col("run_id") == run).drop("run_id").withColumn("bytes", F.octet_length("payload")).drop("payload")
 
 
 @query("k2_export_samples", f"WITH s AS ({GAPPY.format(samples='samples')}), g AS (SELECT device_id, channel, unnest(range(0, n)) AS sample_idx FROM totals) SELECT g.device_id, g.channel, g.sample_idx, coalesce(value, 0.0) AS value FROM g LEFT JOIN s ON s.device_id = g.device_id AND s.channel = g.channel AND s.sample_idx = g.sample_idx", "samples", "totals")
