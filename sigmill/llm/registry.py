@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from sigmill.llm import decontaminate, langid, licenses, lines, lm, mixing, quality, simhash, topk, warc
+from sigmill.llm import decontaminate, interactions, langid, licenses, lines, lm, mixing, quality, simhash, topk, warc
 
 QUERIES = {
     "op3_licenses": licenses.op3_licenses,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_topk": topk.op9_topk,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op13_interactions": interactions.op13_interactions,
 }
 
 ORACLES: dict[str, str] = {
@@ -20,4 +21,5 @@ ORACLES: dict[str, str] = {
     "op6_warc": warc.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op13_interactions": interactions.OP13_SQL,
 }
