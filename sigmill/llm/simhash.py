@@ -9,9 +9,9 @@ at least five of their eight bytes, and of any five positions three lie in the
 same half: eight keys a fingerprint lose no pair.
 
 ``WIDE``: for texts that are alike to 0.8, an angle at which 15 % of the bits
-differ, no number of agreeing bytes is guaranteed. Its fingerprints have 32
-words; of each word, a text's four surest bytes (those whose bits' votes were
-least close) give four keys, as just these bytes agree between near-duplicates.
+differ, no number of agreeing bytes is guaranteed. Its fingerprints have 24
+words; of each word, a text's five surest bytes (those whose bits' votes were
+least close) give ten keys, as just these bytes agree between near-duplicates.
 The README has the measured share of pairs that meet.
 
 Pairs that meet are tallied by their shared positional bytes; those with the
@@ -20,13 +20,14 @@ similarity of their shingles. Every text of a posting list first meets the
 list's least one. Lists whose texts are one component by then, as those of
 large groups of copies, are done; the rest have all pairs across components
 compared, in blocks, and give a minimum spanning forest, not all links. Where
-similarity decides, a pair whose place in the forest a closer pair took, which
-then failed, stays unlinked: bits and similarity would have to disagree.
+similarity decides, an edge of the forest can fail though another pair links
+its components: lists with failed edges are compared again without the pairs
+that failed, until no edge fails.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -71,7 +72,7 @@ class Scheme:
 
 NARROW = Scheme(shingle=3, repeats=True, words=1, bits=3, surest=0, jaccard=0.0)
 #: Texts with a Jaccard similarity of 0.8 have an expected share of differing bits of acos(2 * 0.8 / 1.8) / pi, or 0.152; three standard deviations more.
-WIDE = Scheme(shingle=5, repeats=False, words=32, bits=int(32 * 64 * 0.152 + 3 * (32 * 64 * 0.152 * 0.848) ** 0.5), surest=4, jaccard=0.8)
+WIDE = Scheme(shingle=5, repeats=False, words=24, bits=int(24 * 64 * 0.152 + 3 * (24 * 64 * 0.152 * 0.848) ** 0.5), surest=5, jaccard=0.8)
 
 
 def shingle_hashes(text: bytes | None, scheme: Scheme) -> np.ndarray:
@@ -159,8 +160,8 @@ def distances(a: np.ndarray, b: np.ndarray, scheme: Scheme) -> np.ndarray:
     return out
 
 
-def forest(sig: np.ndarray, comp: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
-    """A minimum spanning forest, by bits, of the links among the rows of ``sig`` whose ``comp`` differs (Prim's algorithm)."""
+def forest(sig: np.ndarray, comp: np.ndarray, scheme: Scheme, barred: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A minimum spanning forest, by bits, of the links among the rows of ``sig`` whose ``comp`` differs (Prim's algorithm), without the ``barred`` pairs (i * rows + j, both ways)."""
     n, edges = len(sig), []
     nearest, to = np.full(n, np.iinfo(np.int16).max, np.int16), np.zeros(n, np.int64)
     rest = np.arange(n)
@@ -172,6 +173,8 @@ def forest(sig: np.ndarray, comp: np.ndarray, scheme: Scheme) -> list[tuple[int,
         members, rest = rest[same], rest[~same]
         for m in members.tolist():
             d = distances(sig[rest], sig[m][None], scheme)
+            if barred is not None:
+                d[np.isin(m * n + rest, barred)] = np.iinfo(np.int16).max
             closer = d < nearest[rest]
             nearest[rest[closer]], to[rest[closer]] = d[closer], m
     if len(rest) and nearest[rest].min() <= scheme.bits:
@@ -185,8 +188,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Those of ``pairs`` (src, dst) whose texts (node, text) have the scheme's Jaccard similarity of shingles."""
+def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], scheme: Scheme) -> DataFrame:
+    """Those of ``pairs`` (src, dst) whose texts have the scheme's Jaccard similarity of shingles; ``texts`` gives each of some nodes with its text, once."""
     pairs = materialise(pairs)
     ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
 
@@ -194,7 +197,7 @@ def similar(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
         found = [shingle_hashes(t, scheme).tobytes() for t in batch.column("text").to_pylist()]
         return {"node": batch.column("node"), "found": pa.array(found, pa.binary())}
 
-    sets = materialise(map_arrow(texts.join(ends, "node", "left_semi").select("node", "text"), read, "node long, found binary"))
+    sets = materialise(map_arrow(texts(ends), read, "node long, found binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "a"):
@@ -205,66 +208,84 @@ def similar(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     return both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long")
 
 
-def links(nodes: DataFrame, scheme: Scheme = NARROW, texts: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, scheme: Scheme = NARROW, texts: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK) -> DataFrame:
     """(src, dst): links among ``nodes`` (node, sig, mask; signatures distinct) by which all pairs that meet and link are connected.
 
-    A scheme with a Jaccard similarity needs the nodes' ``texts`` (node, text).
+    A scheme with a Jaccard similarity needs the nodes' ``texts``, as ``similar`` does.
     """
     scheme.check()
     posts = postings(nodes, scheme)
     lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
     met = materialise(posts.join(lists, "key"))
     of = nodes.select("node", "sig")
-    sure = (lambda pairs: similar(pairs, texts, scheme)) if scheme.jaccard else (lambda pairs: pairs)
 
     def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = distances(_bytes(batch.column("a"), 8 * scheme.words), _bytes(batch.column("b"), 8 * scheme.words), scheme) <= scheme.bits
             yield batch.select(["src", "dst"]).filter(pa.array(good))
 
-    pairs = met.filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
-    both = pairs.join(of.withColumnsRenamed({"node": "src", "sig": "a"}), "src").join(of.withColumnsRenamed({"node": "dst", "sig": "b"}), "dst")
-    first = materialise(sure(both.select("src", "dst", "a", "b").mapInArrow(count_bits, "src long, dst long")))
-    root = connected_components(first)
-    placed = met.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.filter("n > 2").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    cells = (
-        placed.join(mixed, "key", "left_semi")
-        .withColumn("nb", F.ceil(F.col("n") / block))
-        .withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .filter("nb = 1 or b <> other")
-        .select("key", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "node", "root")
-        .join(of, "node")
-        .select("key", "i", "j", "node", "root", "sig")
-    )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if (found := np.array(forest(sig, rows[:, 4], scheme), np.int64).reshape(-1, 2)).size:
+        def out(rows: np.ndarray, sig: np.ndarray, failed: list) -> Iterator[pa.RecordBatch]:
+            at = {x: i for i, x in enumerate(rows[:, 3].tolist())} if failed else {}
+            ends_of = [(at[a], at[b]) for a, b in failed if a in at and b in at]
+            barred = np.array([k for i, j in ends_of for k in (i * len(rows) + j, j * len(rows) + i)], np.int64) if failed else None
+            if (found := np.array(forest(sig, rows[:, 4], scheme, barred), np.int64).reshape(-1, 2)).size:
                 ends = rows[:, 3][found]
                 yield pa.RecordBatch.from_pydict({"src": ends.max(axis=1), "dst": ends.min(axis=1)})
 
-        head, parts, sigs = None, [], []
+        head, parts, sigs, failed = None, [], [], []
         for batch in batches:
             rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]).astype(np.int64)
             if not len(rows):
                 continue
-            sig = _bytes(batch.column("sig"), 8 * scheme.words)
+            sig, bars = _bytes(batch.column("sig"), 8 * scheme.words), batch.column("others").to_pylist()
             cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            for part, part_sig in zip(np.split(rows, cuts), np.split(sig, cuts)):
+            for at, part, part_sig in zip([0, *cuts.tolist()], np.split(rows, cuts), np.split(sig, cuts)):
                 if (h := tuple(part[0, :3].tolist())) != head:
                     if head:
-                        yield from out(np.concatenate(parts), np.concatenate(sigs))
-                    head, parts, sigs = h, [], []
+                        yield from out(np.concatenate(parts), np.concatenate(sigs), failed)
+                    head, parts, sigs, failed = h, [], [], []
                 parts.append(part)
                 sigs.append(part_sig)
+                failed += [(node, x) for node, of in zip(part[:, 3].tolist(), bars[at : at + len(part)]) for x in of or []]
         if head:
-            yield from out(np.concatenate(parts), np.concatenate(sigs))
+            yield from out(np.concatenate(parts), np.concatenate(sigs), failed)
 
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    stars = root.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst"))  # what the first links joined
-    return stars.unionByName(sure(dealt.mapInArrow(run, "src long, dst long").distinct()))
+    pairs = met.filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
+    both = pairs.join(of.withColumnsRenamed({"node": "src", "sig": "a"}), "src").join(of.withColumnsRenamed({"node": "dst", "sig": "b"}), "dst")
+    near = both.select("src", "dst", "a", "b").mapInArrow(count_bits, "src long, dst long")
+    found, barred = materialise(similar(near, texts, scheme) if scheme.jaccard else near), None
+    while True:
+        root = connected_components(found)
+        stars = root.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst"))  # what the links so far joined
+        lists = met.filter("n > 2") if barred is None else met.join(barred.select("key").distinct(), "key", "left_semi")
+        placed = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+        bars = barred.groupBy("key", "node").agg(F.collect_list("other").alias("others")) if barred is not None else None  # as many as rounds, or as edges that met the node in them
+        cells = placed.join(mixed, "key", "left_semi")
+        cells = cells.join(bars, ["key", "node"], "left") if bars is not None else cells.withColumn("others", F.lit(None).cast("array<long>"))
+        cells = (
+            cells.withColumn("nb", F.ceil(F.col("n") / block))
+            .withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+            .filter("nb = 1 or b <> other")
+            .select("key", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "node", "root", "others")
+            .join(of, "node")
+            .select("key", "i", "j", "node", "root", "sig", "others")
+        )
+        dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        tried = dealt.mapInArrow(run, "src long, dst long").distinct()
+        if not scheme.jaccard:
+            return stars.unionByName(tried)
+        tried = materialise(tried)
+        good = materialise(similar(tried, texts, scheme))
+        found = stars.unionByName(good)
+        failed = tried.join(good, ["src", "dst"], "left_anti")
+        if failed.isEmpty():
+            return found
+        keys = met.select("key", "node")
+        held = failed.join(keys.withColumnRenamed("node", "src"), "src").join(keys.withColumnRenamed("node", "dst"), ["key", "dst"]).select("key", F.col("src").alias("node"), F.col("dst").alias("other"))
+        barred = materialise(held if barred is None else barred.unionByName(held))
 
 
 def _hex(scheme: Scheme):
@@ -283,10 +304,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scheme.check()
     rows = materialise(signatures(docs, scheme, id_col, text_col))
-    found = rows.groupBy("sig").agg(F.min("mask").alias("mask"), F.min("doc_id").alias("least"), F.min("digest").alias("digest"))
+    found = rows.groupBy("sig").agg(F.min("mask").alias("mask"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "digest")).alias("first"))
     nodes = materialise(found.withColumn("node", F.monotonically_increasing_id()))
-    own = own_columns(docs, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    texts = own.withColumn("digest", F.md5("text")).join(nodes.select("node", "digest"), "digest").select("node", "text")
+    own = own_columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit(b""))).withColumn("digest", F.md5("text"))
+
+    def texts(some: DataFrame) -> DataFrame:
+        """A text of each of ``some`` nodes: that of one document, however many share it."""
+        wanted = nodes.join(some, "node", "left_semi").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
+        return own.join(wanted, F.col("digest").eqNullSafe(F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
+
     roots = connected_components(links(nodes, scheme, texts))
     placed = nodes.select("sig", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -301,9 +327,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as no id can stand for them.
     """
     groups = near_duplicates(docs, id_col, text_col, scheme)
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    copy = F.row_number().over(Window.partitionBy(id_col, "__text").orderBy(F.lit(1)))
-    kept = docs.join(first, id_col, "left_semi").withColumn("__text", F.sha2(F.col(text_col).cast("binary"), 256)).withColumn("__copy", copy).filter("__copy = 1").drop("__text", "__copy")
+    own, taken = [], set(docs.columns)
+    for name in ("id", "text", "copy"):
+        while name in taken:
+            name += "_"
+        own.append(name)
+        taken.add(name)
+    id_, text, copy = own
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(id_)).distinct()
+    row = F.row_number().over(Window.partitionBy(id_col, text).orderBy(F.lit(1)))
+    kept = docs.join(first, F.col(id_col) == F.col(id_), "left_semi").withColumn(text, F.sha2(F.col(text_col).cast("binary"), 256)).withColumn(copy, row).filter(F.col(copy) == 1)
     return kept.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
