@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.functions.scalars import whole_quotient
-from sigmill.operators.ranks import each_with_all, small
+from sigmill.operators import boundaries, scans
+from sigmill.operators.ranks import each_with_all, small, with_positions
+from sigmill.plans.shared import materialise
 
 INTERLEAVED, CONTIGUOUS = "SampleInterleavedFloat32", "ChannelContiguousFloat32"
 SINGLE_DEVICE, ALL_DEVICES = 5, 21
@@ -115,9 +114,8 @@ def continuity_key() -> Column:
 
 def continuity_check(blocks: DataFrame) -> DataFrame:
     """A fault for each block that does not begin where the one before it, of the same key, ended. Headers only."""
-    before = Window.partitionBy("key").orderBy("block_index")
     heads = blocks.select(continuity_key().alias("key"), "block_index", F.col("total_data_count").alias("actual"), "data_count_per_channel")
-    expected = heads.withColumn("expected", F.lag(F.col("actual") + F.col("data_count_per_channel")).over(before))
+    expected = scans.neighbour(heads, ["key"], "block_index", {"expected": F.col("actual") + F.col("data_count_per_channel")})
     return expected.filter("expected is not null and expected <> actual").select("key", "block_index", "expected", "actual", F.lit("DATA_NOT_CONTINUOUS").alias("code"))
 
 
@@ -128,61 +126,49 @@ def until_first_fault(blocks: DataFrame) -> DataFrame:
 
 
 def assign_sample_index(rows: DataFrame, keys: tuple[str, ...] = ("device_id", "channel_id")) -> DataFrame:
-    """Rows of a block and a channel with ``sample_start``: the samples of the channel before the block."""
-    before = Window.partitionBy(*keys).orderBy("block_index").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("sample_start", F.coalesce(F.sum("data_count_per_channel").over(before), F.lit(0)).cast("long"))
-
-
-def fold(df: DataFrame, keys: list[str], order: str, step: Callable[[object, dict], tuple[object, list]], out: list[tuple[str, pa.DataType, str]], carry: list[str]) -> DataFrame:
-    """A running fold over each key's rows in order: ``step`` gets the state (None at first) and a row, and gives the state and new values.
-
-    Rows stream through the tasks in batches, sorted by key and order, so the
-    memory does not grow with a key. ``carry`` names the columns that stay.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    """Rows of a block and a channel with ``sample_start``: the samples of the channel before the block. With the segment among the keys, positions begin anew in each."""
+    placed = scans.running(rows, list(keys), "block_index", {"sample_start": ("sum", F.col("data_count_per_channel").cast("long"))})
+    return placed.withColumn("sample_start", F.coalesce("sample_start", F.lit(0)).cast("long"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = state = None
-        for batch in batches:
-            added = []
-            for row in batch.to_pylist():
-                if (k := tuple(row[c] for c in keys)) != key:
-                    key, state = k, None
-                state, values = step(state, row)
-                added.append(values)
-            arrays = [pa.array([a[i] for a in added], kind) for i, (_, kind, _) in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *arrays], names=[*carry, *(n for n, _, _ in out)])
 
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in carry), *(f"{n} {t}" for n, _, t in out)])
-    lean = df.select(*dict.fromkeys([*keys, order, *carry]))
-    return lean.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+def _placed(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Heads (with bytes) with their position in the series and the bytes up to them."""
+    placed = with_positions(rows, keys, "block_index", "pos")
+    return materialise(scans.running(placed, keys, "pos", {"total": ("sum", F.col("bytes"))}, inclusive=True, width=span, span=span))
 
 
-def assign_chunks(rows: DataFrame, target_bytes: int, keys: tuple[str, ...] = ("device_id", "channel_id")) -> DataFrame:
-    """(keys, block_index, data_count_per_channel, chunk): whole blocks join a chunk until it has the target's bytes."""
-
-    def step(state: tuple | None, row: dict) -> tuple[tuple, list]:
-        chunk, size = state or (0, 0)
-        size += row["data_count_per_channel"] * FLOAT_BYTES
-        return ((chunk + 1, 0) if size >= target_bytes else (chunk, size)), [chunk]
-
-    return fold(rows, list(keys), "block_index", step, [("chunk", pa.int64(), "bigint")], [*keys, "block_index", "data_count_per_channel"])
+def assign_chunks(rows: DataFrame, target_bytes: int, keys: tuple[str, ...] = ("device_id", "channel_id"), span: int = scans.SPAN) -> DataFrame:
+    """(keys, block_index, data_count_per_channel, chunk): whole blocks join a chunk until it has the target's bytes. With the segment among the keys no chunk crosses its end."""
+    keys = list(keys)
+    heads = _placed(rows.select(*keys, "block_index", "data_count_per_channel", (F.col("data_count_per_channel") * FLOAT_BYTES).cast("long").alias("bytes")), keys, span)
+    ends = boundaries.first_reaching(heads, keys, "total", F.col("total") - F.col("bytes") + target_bytes, "last", span)
+    found = boundaries.groups(ends.select(*keys, "block_index", "data_count_per_channel", "pos", (F.col("last") + 1).alias("next")), keys, span)
+    return found.select(*keys, "block_index", "data_count_per_channel", F.col("group").alias("chunk"))
 
 
 def assign_even_chunks(rows: DataFrame, target_bytes: int, block_samples: int, keys: tuple[str, ...] = ("device_id", "channel_id")) -> DataFrame:
     """``assign_chunks`` for blocks of equal size, without Python."""
     blocks_each = max(1, -(-target_bytes // (block_samples * FLOAT_BYTES)))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy("block_index")) - 1
-    return rows.select(*keys, "block_index", "data_count_per_channel", whole_quotient(at, F.lit(blocks_each)).alias("chunk"))
+    placed = with_positions(rows.select(*keys, "block_index", "data_count_per_channel"), list(keys), "block_index", "pos")
+    return placed.select(*keys, "block_index", "data_count_per_channel", whole_quotient(F.col("pos"), F.lit(blocks_each)).alias("chunk"))
 
 
-def assign_segments(rows: DataFrame, split_bytes: int, channels: int, run: str = "run_id") -> DataFrame:
-    """(run, block_index, segment) from rows of a block and a channel: a segment ends after the block with which it has the bytes, if all channels have data."""
-    heads = rows.groupBy(run, "block_index").agg(F.sum(F.col("data_count_per_channel") * FLOAT_BYTES).alias("bytes"), F.collect_set(F.concat_ws("/", "device_id", "channel_id")).alias("fed"))
+def assign_segments(rows: DataFrame, split_bytes: int, channels: int, run: str = "run_id", span: int = scans.SPAN) -> DataFrame:
+    """(run, block_index, segment) from rows of a block and a channel: a segment ends after the block with which it has the bytes, if all channels have data.
 
-    def step(state: tuple | None, row: dict) -> tuple[tuple, list]:
-        segment, size, fed = state or (0, 0, frozenset())
-        size, fed = size + row["bytes"], fed | frozenset(row["fed"])
-        return ((segment + 1, 0, frozenset()) if size >= split_bytes and len(fed) >= channels else (segment, size, fed)), [segment]
-
-    return fold(heads, [run], "block_index", step, [("segment", pa.int64(), "bigint")], [run, "block_index", "bytes", "fed"]).drop("bytes", "fed")
+    All channels: those that the run has at all; a run with fewer than
+    ``channels`` is one segment.
+    """
+    keys, channel = [run], list(dict.fromkeys([run, "device_id", "channel_id"]))
+    heads = _placed(rows.groupBy(run, "block_index").agg(F.sum(F.col("data_count_per_channel") * FLOAT_BYTES).cast("long").alias("bytes")), keys, span)
+    full = boundaries.first_reaching(heads, keys, "total", F.col("total") - F.col("bytes") + split_bytes, "last", span)
+    # by the block before a segment, the last of the blocks at which its channels are next fed
+    fed = rows.select(*channel, "block_index").distinct().join(heads.select(run, "block_index", "pos"), [run, "block_index"])
+    later = scans.neighbour(fed, channel, "pos", {"again": F.col("pos")}, after=True, width=span, span=span)
+    again = later.groupBy(run, "pos").agg(F.max(F.coalesce("again", F.lit(boundaries.NEVER))).alias("again"))
+    first = fed.groupBy(*channel).agg(F.min("pos").alias("pos")).groupBy(run).agg(F.max("pos").alias("all_fed"), F.count("*").alias("fed"))
+    begun = scans.running(full.join(again, [run, "pos"]), keys, "pos", {"waits": ("max", F.col("again"))}, width=span, span=span).join(first, run)
+    end = F.greatest("last", F.coalesce("waits", F.lit(0)), "all_fed")
+    ends = F.when(F.col("last").isNotNull() & (F.col("fed") >= channels) & (end < boundaries.NEVER), end + 1)
+    found = boundaries.groups(begun.select(run, "block_index", "pos", ends.alias("next")), keys, span)
+    return found.select(run, "block_index", F.col("group").alias("segment"))

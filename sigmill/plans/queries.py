@@ -505,9 +505,18 @@ def _(v):
     return blocks.until_first_fault(v.spark.sql(EVEN.replace("block_index // 100", "floor(block_index / 100)"), blocks=v.blocks)).select("block_index", "group_id")
 
 
-@query("w3_assign_sample_index", ROUTED + "SELECT device_id, channel_id, block_index, CAST(coalesce(sum(data_count_per_channel) OVER (PARTITION BY device_id, channel_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sample_start FROM routed", "blocks", "channels")
+#: Each device is a run; its blocks have 256 bytes, so a segment of 4,000 bytes has 16 blocks.
+SEGMENTS = ROUTED + ", headed AS (SELECT *, CAST((dense_rank() OVER (PARTITION BY device_id ORDER BY block_index) - 1) // 16 AS BIGINT) AS segment FROM routed)\n"
+
+
+def _segmented(v: Views) -> DataFrame:
+    rows = materialise(_routed(v).select("device_id", "channel_id", "block_index", "position", "data_count_per_channel"))
+    return rows.join(blocks.assign_segments(rows, 4_000, 4, "device_id"), ["device_id", "block_index"])
+
+
+@query("w3_assign_sample_index", SEGMENTS + "SELECT device_id, channel_id, segment, block_index, CAST(coalesce(sum(data_count_per_channel) OVER (PARTITION BY device_id, channel_id, segment ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sample_start FROM headed", "blocks", "channels")
 def _(v):
-    return blocks.assign_sample_index(_routed(v)).select("device_id", "channel_id", "block_index", "sample_start")
+    return blocks.assign_sample_index(_segmented(v), ("device_id", "channel_id", "segment")).select("device_id", "channel_id", "segment", "block_index", "sample_start")
 
 
 CHUNKED = ROUTED + "SELECT device_id, channel_id, block_index, data_count_per_channel, CAST((row_number() OVER (PARTITION BY device_id, channel_id ORDER BY block_index) - 1) // 5 AS BIGINT) AS chunk FROM routed"
@@ -523,6 +532,11 @@ def _(v):
     return blocks.assign_even_chunks(_routed(v), 300, 16)
 
 
+@query("w4_chunks_by_segment", SEGMENTS + "SELECT device_id, channel_id, segment, block_index, CAST((row_number() OVER (PARTITION BY device_id, channel_id, segment ORDER BY block_index) - 1) // 5 AS BIGINT) AS chunk FROM headed", "blocks", "channels")
+def _(v):
+    return blocks.assign_chunks(_segmented(v), 300, ("device_id", "channel_id", "segment")).drop("data_count_per_channel")
+
+
 UNEVEN = "SELECT device_id, channel, chunk_seq AS block_index, CAST(10 + chunk_seq * 7 % 50 AS INT) AS data_count_per_channel FROM {chunks}"
 
 
@@ -682,23 +696,23 @@ def _(v):
 # Sinks, read back
 
 
-K1_SQL = ROUTED + f""", vals AS (SELECT device_id, channel_id, block_index, CASE WHEN layout = 'SampleInterleavedFloat32' THEN list_transform(range(0, 16), lambda i: payload[i * channel_count + position + 1]) ELSE payload[position * 16 + 1 : position * 16 + 16] END AS vals,
-row_number() OVER (PARTITION BY device_id, channel_id ORDER BY block_index) - 1 AS k FROM routed),
-packed AS (SELECT device_id, channel_id, k // 5 AS chunk, CAST(max(k) // 16 AS INT) AS segment, list(block_index ORDER BY block_index) AS source_blocks, flatten(list(vals ORDER BY block_index)) AS payload FROM vals GROUP BY 1, 2, 3),
+K1_SQL = SEGMENTS + f""", vals AS (SELECT device_id, channel_id, segment, block_index, CASE WHEN layout = 'SampleInterleavedFloat32' THEN list_transform(range(0, 16), lambda i: payload[i * channel_count + position + 1]) ELSE payload[position * 16 + 1 : position * 16 + 16] END AS vals,
+row_number() OVER (PARTITION BY device_id, channel_id, segment ORDER BY block_index) - 1 AS k FROM headed),
+packed AS (SELECT device_id, channel_id, CAST(segment AS INT) AS segment, k // 5 AS chunk, CAST(min(k) * 16 AS BIGINT) AS sample_start, list(block_index ORDER BY block_index) AS source_blocks, flatten(list(vals ORDER BY block_index)) AS payload FROM vals GROUP BY 1, 2, 3, 4),
 numbered AS (SELECT row_number() OVER () AS block_index, * FROM packed),
 {CRC_TABLE}, {FLOATS.replace("FROM blocks", "FROM numbered")}
-SELECT device_id, channel_id, chunk, segment, source_blocks, CAST(len(bytes) AS INT) AS bytes, CAST({CRC} AS BIGINT) AS raw_crc32, CAST({CRC} AS BIGINT) AS payload_crc32 FROM numbered JOIN b USING (block_index), t"""
+SELECT device_id, channel_id, chunk, segment, sample_start, source_blocks, CAST(len(bytes) AS INT) AS bytes, CAST({CRC} AS BIGINT) AS raw_crc32, CAST({CRC} AS BIGINT) AS payload_crc32 FROM numbered JOIN b USING (block_index), t"""
 
 
 @query("k1_write_chunks", K1_SQL, "blocks", "channels")
 def _(v):
-    """Blocks routed to channels, cut in chunks and segments, and written with their source blocks and checksums; each device is a run of segments."""
+    """Blocks routed to channels, cut in segments and those in chunks, and written with their source blocks and checksums; each device is a run of segments."""
+    keys = ["device_id", "channel_id", "segment"]
     values = blocks.channel_arrays(_counted(v)).withColumnRenamed("channel_pos", "position")
-    rows = materialise(_routed(v).select("device_id", "channel_id", "block_index", "position", "data_count_per_channel").join(values, ["block_index", "position"]))
-    chunk = blocks.assign_even_chunks(rows, 300, 16).drop("data_count_per_channel")
-    placed = rows.join(chunk, ["device_id", "channel_id", "block_index"]).join(blocks.assign_segments(rows, 4_000, 4, "device_id"), ["device_id", "block_index"])
-    whole = placed.groupBy("device_id", "channel_id", "chunk").agg(F.max("segment").cast("int").alias("segment"), F.array_sort(F.collect_list(F.struct("block_index", "values"))).alias("all"))
-    rows = whole.select("device_id", "channel_id", "chunk", "segment", F.transform("all", lambda b: b["block_index"]).alias("source_blocks"), sc.float_bytes(F.flatten(F.transform("all", lambda b: b["values"]))).alias("payload"))
+    rows = materialise(blocks.assign_sample_index(_segmented(v), tuple(keys)).join(values, ["block_index", "position"]))
+    chunk = blocks.assign_chunks(rows, 300, tuple(keys)).drop("data_count_per_channel")
+    whole = rows.join(chunk, [*keys, "block_index"]).groupBy(*keys, "chunk").agg(F.min("sample_start").alias("sample_start"), F.array_sort(F.collect_list(F.struct("block_index", "values"))).alias("all"))  # a chunk's blocks
+    rows = whole.select("device_id", "channel_id", "chunk", F.col("segment").cast("int").alias("segment"), "sample_start", F.transform("all", lambda b: b["block_index"]).alias("source_blocks"), sc.float_bytes(F.flatten(F.transform("all", lambda b: b["values"]))).alias("payload"))
     root = f"{shared_dir(v.spark)}/chunks-{uuid.uuid4().hex}"
     run = tables.write_chunks(rows.withColumn("raw_crc32", F.crc32("payload")), root, "run")
     return v.spark.read.parquet(root).filter(F.col("run_id") == run).drop("run_id").withColumn("bytes", F.octet_length("payload")).drop("payload")
