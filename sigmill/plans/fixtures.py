@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sigmill.operators.ranks import with_positions
-from sigmill.plans.shared import materialise
+from sigmill.plans.shared import materialise, once
 
 #: In order of use: a view may name the tables and the views before it.
 VIEWS = {
@@ -90,7 +90,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]
     made = {} if made is None else made
     if name not in made:
         if name == "samples":
-            made[name] = samples(view(spark, sf_dir, "events", made))
+            made[name] = once(spark, f"{sf_dir}/events.parquet", "samples", lambda: samples(view(spark, sf_dir, "events", made)))
         elif name in VIEWS:
             body = VIEWS[name]
             made[name] = spark.sql(body, **{n: view(spark, sf_dir, n, made) for n in [*VIEWS, "events", "embeddings", "supplier"] if f"{{{n}}}" in body})

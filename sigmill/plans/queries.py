@@ -12,7 +12,7 @@ from sigmill.functions import scalars as sc
 from sigmill.operators import audit, blocks, catalog, codec_matrix, envelope, reports
 from sigmill.plans import segment_files
 from sigmill.plans.fixtures import VIEWS, sql, view
-from sigmill.plans.shared import materialise, shared_dir
+from sigmill.plans.shared import materialise, once, scratch, shared_dir
 from sigmill.sinks import tables
 from sigmill.sources import logs, segments
 from sigmill.streaming import stateful
@@ -20,6 +20,8 @@ from sigmill.streaming import stateful
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 KEYS = ["device_id", "channel"]
+#: Samples of a chunk, positions of a bin of the stored recording, levels of its pyramid above the chunks.
+CHUNK, BIN, LEVELS = 64, 1024, 10
 
 
 class Views:
@@ -28,6 +30,29 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.made = spark, sf_dir, {}
 
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that a recording has beside its samples, made of these once."""
+        return once(self.spark, f"{self.sf_dir}/events.parquet", name, lambda: materialise(make()))
+
+    @property
+    def recording(self) -> DataFrame:
+        """The samples partitioned by device and bins of ``BIN`` positions."""
+        return once(self.spark, f"{self.sf_dir}/events.parquet", "recording", lambda: tables.write_samples(self.samples, scratch(self.spark, "recording"), BIN))
+
+    @property
+    def chunk_values(self) -> DataFrame:
+        """The recording's chunks of ``CHUNK`` samples as arrays."""
+        whole = self.samples.groupBy(*KEYS, F.floor(F.col("sample_idx") / CHUNK).alias("chunk_seq")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("all"))
+        return self.stored("chunk_values", lambda: whole.select(*KEYS, "chunk_seq", F.transform("all", lambda s: s["value"]).alias("values")))
+
+    @property
+    def chunk_summaries(self) -> DataFrame:
+        return self.stored("chunk_summaries", lambda: envelope.chunk_summary(self.samples, CHUNK))
+
+    @property
+    def pyramid(self) -> DataFrame:
+        return self.stored("pyramid", lambda: envelope.lod_pyramid(self.chunk_summaries, LEVELS, clean=True))
+
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name, self.made)
 
@@ -149,7 +174,7 @@ def _(v):
 
 @query("p9_slice_range", "SELECT s.device_id, s.channel, r.req_id, s.sample_idx, s.value FROM samples s JOIN requests r ON s.device_id = r.device_id AND s.channel = r.channel AND s.sample_idx >= r.start_sample AND s.sample_idx < r.start_sample + r.sample_count", "samples", "requests")
 def _(v):
-    return envelope.slice_range(v.samples, v.requests).select(*KEYS, "req_id", "sample_idx", "value")
+    return envelope.slice_range(v.recording, v.requests, width=BIN).select(*KEYS, "req_id", "sample_idx", "value")
 
 
 META = """SELECT device_id AS source_device, channel_id AS source_channel, CASE WHEN device_id % 2 = 0 THEN 'Device_000' || CAST(device_id % 9 + 1 AS VARCHAR(3)) || '_10_0_0_1' ELSE 'Other' END AS group_name, name AS channel_name,
@@ -316,7 +341,7 @@ BOUNDARY = "((sample_idx - start_sample + 1) * b - 1) // n"
 
 @query("a2_channel_envelope", _envelope_sql("samples", FLOOR), "samples", "requests", "totals")
 def _(v):
-    return envelope.channel_envelope(v.samples, v.requests, v.totals)
+    return envelope.channel_envelope(v.recording, v.requests, v.totals, width=BIN)
 
 
 @query("a2_envelope_boundary_rule", _envelope_sql("noisy", BOUNDARY, "isfinite(value)"), "noisy", "requests", "totals")
@@ -331,9 +356,12 @@ def _(v):
 
 @query("a3_envelope_from_summaries", _envelope_sql("samples", FLOOR), "samples", "requests", "totals")
 def _(v):
-    whole = v.samples.groupBy(*KEYS, F.floor(F.col("sample_idx") / 64).alias("chunk_seq")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("all"))
-    stored = materialise(whole.select(*KEYS, "chunk_seq", F.transform("all", lambda s: s["value"]).alias("values")))  # a recording's chunks
-    return envelope.envelope_from_summaries(envelope.chunk_summary(v.samples, 64), stored, v.requests, v.totals, 64)
+    return envelope.envelope_from_summaries(v.chunk_summaries, v.chunk_values, v.requests, v.totals, CHUNK)
+
+
+@query("a4_envelope_from_pyramid", _envelope_sql("samples", FLOOR), "samples", "requests", "totals")
+def _(v):
+    return envelope.envelope_from_pyramid(v.pyramid, v.chunk_values, v.requests, v.totals, CHUNK, LEVELS)
 
 
 @query("a4_lod_pyramid", " UNION ALL ".join(f"SELECT device_id, channel, CAST({k} AS INT) AS level, chunk_seq // {1 << k} AS seq, min(sample_start) AS sample_start, CAST(sum(sample_count) AS BIGINT) AS sample_count, min_by(first, sample_start) AS first, max_by(last, sample_start) AS last, min(minimum) AS minimum, max(maximum) AS maximum FROM chunks GROUP BY 1, 2, 3, 4" for k in range(4)), "chunks")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, safe when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` stores of the table at ``source``, the same for all who ask under ``name`` while the application and the table's time of change are the same."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    key = (spark.sparkContext.applicationId, source, changed, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]

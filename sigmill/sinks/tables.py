@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sigmill.functions.scalars import crc32_hex, float_bytes
+from sigmill.functions.scalars import crc32_hex, float_bytes, whole_quotient
 from sigmill.operators.envelope import fill_gaps
 from sigmill.sources.logs import AUDIT_COLUMNS
 
@@ -31,6 +31,18 @@ def new_run(spark: SparkSession, root: str, run: str) -> str:
     return name
 
 
+def write_samples(samples: DataFrame, path: str, width: int) -> DataFrame:
+    """Stores samples by device and bin of ``width`` positions, in order of channel and position, and returns the table (with ``bin``).
+
+    Ranges of it are read by ``slice_range(..., width=width)``, which opens only
+    the folders and row groups that they touch. A device's bin is dealt by
+    channel, so that one device is no task of its own.
+    """
+    binned = samples.withColumn("bin", whole_quotient(F.col("sample_idx"), F.lit(width)))
+    binned.repartition("device_id", "bin", "channel").sortWithinPartitions("device_id", "bin", "channel", "sample_idx").write.partitionBy("device_id", "bin").parquet(path)
+    return samples.sparkSession.read.schema(binned.schema).parquet(path).select(*samples.columns, "bin")
+
+
 def write_chunks(chunks: DataFrame, root: str, run: str, codec: str = "zstd") -> str:
     """Writes chunks (with segment) as Parquet under the run's folder, which is never reused; returns the run's name."""
     name = new_run(chunks.sparkSession, root, run)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions import scalars as sc
 from sigmill.operators import audit, blocks, catalog, envelope, ranks, reports
+from sigmill.sinks import tables
 
 NAN, INF = math.nan, math.inf
 
@@ -86,6 +87,80 @@ def test_summaries_give_the_envelope_of_samples(spark, b, nan):
     assert key(envelope.envelope_from_summaries(envelope.chunk_summary(rows, 16), rows, asked, n, 16)) == key(envelope.channel_envelope(rows, asked, n))
 
 
+@pytest.mark.parametrize("nan", [False, True])
+@pytest.mark.parametrize("levels", [0, 1, 4])
+def test_a_pyramid_gives_the_envelope_of_samples(spark, levels, nan):
+    values = [math.sin(i * 0.7) * i for i in range(301)]
+    if nan:
+        values[64] = values[100] = values[300] = values[0] = NAN
+    rows = series(spark, values)
+    asked, n = requests(spark, *((low, size, b) for b in (1, 3, 7, 20) for low, size in ((0, 301), (17, 200), (64, 64), (300, 1), (5, 3), (15, 2)))), totals(spark, 301)
+    key = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    whole = rows.groupBy("device_id", "channel", F.floor(F.col("sample_idx") / 16).alias("chunk_seq")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("all"))
+    chunks = whole.select("device_id", "channel", "chunk_seq", F.transform("all", lambda c: c["value"]).alias("values"))
+    pyramid = envelope.lod_pyramid(envelope.chunk_summary(rows, 16), levels, clean=True)
+    assert key(envelope.envelope_from_pyramid(pyramid, chunks, asked, n, 16, levels)) == key(envelope.channel_envelope(rows, asked, n))
+
+
+def test_a_cover_has_few_nodes_and_all_positions(spark):
+    asked, n = requests(spark, *((low, 16 * 1000 - 2 * low, b) for b in (1, 3, 20) for low in (0, 5, 16, 333))), totals(spark, 16_000)
+    cut = envelope.clip_requests(asked, n)
+    covers = envelope.bucket_covers(cut, 16, 9).collect()
+    for r in covers:
+        held = [i for node in r.nodes for i in range(node.seq << node.level, node.seq + 1 << node.level)]
+        assert sorted(held) == list(range(-(-r.low // 16), r.high // 16)) and len(r.nodes) <= 2 * 9 + 2
+    for req in {r.req_id for r in covers}:
+        own = sorted((r.low, r.high) for r in covers if r.req_id == req)
+        assert all(a[1] == b[0] for a, b in zip(own, own[1:]))
+
+
+def test_bucket_begins_are_those_of_the_rule(spark):
+    """For lengths and numbers of buckets at which doubles round."""
+    pairs = [(n, b) for n in (1, 2, 7, 49, 100, 1315, 10_000, 123_457) for b in (1, 3, 7, 49, 97, 512, 4096) if b <= n]
+    rows = spark.createDataFrame(pairs, "n long, b long").select("n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("j"))
+    got = {(r.n, r.b, r.j): r.at for r in rows.withColumn("at", envelope._bucket_begin(F.col("j"))).collect()}
+    for (n, b), begins in {(n, b): [got[n, b, j] for j in range(b + 1)] for n, b in pairs}.items():
+        of = lambda i: max(0, min(b - 1, int(i / n * b)))
+        assert begins[0] == 0 and begins[b] == n and all((x == 0 or of(x - 1) < j) and of(x) >= j for j, x in enumerate(begins[:b]))
+
+
+def test_ranges_read_only_the_bins_that_they_touch(spark, tmp_path):
+    many = spark.createDataFrame([(d, c, i, float(i)) for d in range(3) for c in "ab" for i in range(1000)], "device_id int, channel string, sample_idx long, value double")
+    stored = tables.write_samples(many, f"file://{tmp_path}/recording", 100)
+    assert key_rows(stored.drop("bin")) == key_rows(many)
+    read = lambda df: (df.collect(), scanned(df))[1]
+    ask = lambda low, n: spark.createDataFrame([(1, "a", 0, low, n, 4)], "device_id int, channel string, req_id int, start_sample long, sample_count long, buckets int")
+    for low, n, bins in ((250, 40, 1), (250, 100, 2), (0, 1000, 10), (950, 500, 1)):
+        got = envelope.slice_range(stored, envelope.clip_requests(ask(low, n), totals_of(spark, many)).withColumn("sample_count", F.col("n")), width=100)
+        assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()
+        assert key_rows(got.select("sample_idx")) == [repr((i,)) for i in sorted(range(low, min(1000, low + n)), key=lambda i: repr((i,)))]
+        assert read(got) == bins  # a file for each channel of a bin at most, here one folder each
+
+
+def totals_of(spark, samples):
+    return samples.groupBy("device_id", "channel").agg(F.count("*").alias("n"))
+
+
+def key_rows(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+def scanned(df):
+    """Partitions that the scan of a collected frame read."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, left = 0, [plan]
+    while left:
+        node = left.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getSimpleName():
+            left.append(node.plan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec" and node.metrics().contains("numPartitions"):
+            found = max(found, node.metrics().apply("numPartitions").value())
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
 def test_positions_across_spans(spark):
     rows = series(spark, range(50)).filter("sample_idx % 3 <> 1").withColumn("sample_idx", F.col("sample_idx") * 7)
     got = ranks.with_positions(rows, ["device_id", "channel"], "sample_idx", total="n", span=20).orderBy("sample_idx").collect()
