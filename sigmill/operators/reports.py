@@ -42,9 +42,14 @@ def storage_report(records: DataFrame, by: list[str], seconds: float, overhead:
     })
 
 
-def ingest_report(blocks: DataFrame, faults: DataFrame, codes: list[str]) -> DataFrame:
-    """Blocks, bytes and dropped blocks of each key, and its faults by code."""
+def ingest_report(blocks: DataFrame, faults: DataFrame, codes: list[str], drops: DataFrame | None = None) -> DataFrame:
+    """Blocks, bytes and dropped blocks of each key, and its faults by code; ``drops`` (key, dropped): blocks that a display has dropped besides those without bytes."""
     total = blocks.groupBy("key").agg(F.count("*").alias("blocks"), F.sum("buffer_count").alias("bytes"), F.sum(F.when(F.col("buffer_count") <= 0, 1).otherwise(0)).alias("dropped"))
+    if drops is not None:
+        more = drops.select("key", F.col("dropped").alias("__more"))
+        total = total.join(more, "key", "left").withColumn("dropped", F.col("dropped") + F.coalesce("__more", F.lit(0))).drop("__more")
+    if not codes:
+        return total
     by_code = faults.groupBy("key").pivot("code", codes).agg(F.count(F.lit(1)))
     return total.join(by_code, "key", "left").fillna(0, codes)
 

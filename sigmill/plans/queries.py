@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sigmill.functions import scalars as sc
 from sigmill.operators import audit, blocks, catalog, codec_matrix, envelope, reports
@@ -15,7 +16,7 @@ from sigmill.plans.fixtures import VIEWS, sql, view
 from sigmill.plans.shared import materialise, once, scratch, shared_dir
 from sigmill.sinks import tables
 from sigmill.sources import logs, segments
-from sigmill.streaming import stateful
+from sigmill.streaming import recording, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -846,7 +847,10 @@ def _block_stream(v: Views) -> DataFrame:
 
 @query("s7_block_stream", "SELECT block_index, group_id, layout, buffer_count FROM blocks", "blocks")
 def _(v):
-    return stateful.drain(_block_stream(v).select("block_index", "group_id", "layout", "buffer_count"), shared_dir(v.spark)).drop("batch")
+    kinds = dict(v.blocks.dtypes)
+    whole = v.blocks.selectExpr(*(f"{c if c in kinds else 'NULL'} AS {c}" for c in map(str.strip, stateful.fields(logs.BLOCK_SCHEMA)))).to(StructType.fromDDL(logs.BLOCK_SCHEMA))
+    feed = logs.block_stream(v.spark, stateful.write_feed(whole, "block_index", shared_dir(v.spark)))
+    return stateful.drain(feed.select("block_index", "group_id", "layout", "buffer_count"), shared_dir(v.spark)).drop("batch")
 
 
 @query("t1_stream_continuity", "WITH " + FAULTS.format(b="blocks") + "SELECT * FROM bad", "blocks")
@@ -869,33 +873,58 @@ def _(v):
 @query("t3_stream_latest", f"WITH p AS (SELECT device_id, channel, sample_idx AS point_idx, value AS minimum, value AS maximum FROM ({PLAIN.format(events='events')}) QUALIFY row_number() OVER (PARTITION BY device_id, channel ORDER BY sample_idx DESC) <= 40) SELECT *, CAST(row_number() OVER (PARTITION BY device_id, channel ORDER BY point_idx) - 1 AS BIGINT) AS pos FROM p")
 def _(v):
     points = _sample_stream(v).select(*KEYS, F.col("sample_idx").alias("point_idx"), F.col("value").alias("minimum"), F.col("value").alias("maximum"))
-    found = stateful.drain(stateful.stream_latest(points, 40), shared_dir(v.spark), "update")
-    newest = found.groupBy(*KEYS).agg(F.max("batch").alias("batch"))
-    return found.join(newest, [*KEYS, "batch"]).drop("batch")
+    checkpoint = scratch(v.spark, "state")
+    stateful.drain(stateful.stream_latest(points, 40), shared_dir(v.spark), checkpoint=checkpoint)
+    return stateful.newest(v.spark, checkpoint, 40)
 
 
-@query("t4_stream_chunks", """WITH flat AS (SELECT group_id AS device_id, block_index, layout, unnest(payload) AS value, generate_subscripts(payload, 1) - 1 AS p FROM blocks WHERE message_type = 5),
-s AS (SELECT device_id, block_index, CASE WHEN layout = 'SampleInterleavedFloat32' THEN p % 4 ELSE p // 16 END AS channel_id, CASE WHEN layout = 'SampleInterleavedFloat32' THEN p // 4 ELSE p % 16 END AS i, CAST(value AS DOUBLE) AS value FROM flat),
-o AS (SELECT *, dense_rank() OVER (PARTITION BY device_id, channel_id ORDER BY block_index) - 1 AS k, row_number() OVER (PARTITION BY device_id, channel_id ORDER BY block_index, i) - 1 AS pos FROM s)
-SELECT device_id, CAST(channel_id AS INT) AS channel_id, k // 5 AS chunk, min(pos) AS sample_start, count(*) AS sample_count, min_by(value, pos) AS first, max_by(value, pos) AS last, min(value) AS minimum, max(value) AS maximum FROM o GROUP BY 1, 2, 3 HAVING count(*) = 80""", "blocks")
+def _fed_stream(v: Views) -> DataFrame:
+    """A stream of rows of a block and a channel with its values; blocks of all devices feed every channel."""
+    counted = blocks.infer_channel_count(_block_stream(v), v.channels)
+    routed = blocks.block_channels(blocks.classify_blocks(counted, v.channels), v.channels)
+    n = F.col("data_count_per_channel")
+    mixed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("payload", i * F.col("channel_count") + F.col("position")))
+    values = F.when(F.col("layout") == blocks.INTERLEAVED, mixed).otherwise(F.slice("payload", F.col("position") * n + 1, n))
+    return routed.select("device_id", "channel_id", "block_index", n.alias("n"), values.alias("values"))
+
+
+@query("t4_stream_chunks", ROUTED + """, vals AS (SELECT device_id, channel_id, CASE WHEN layout = 'SampleInterleavedFloat32' THEN list_transform(range(0, 16), lambda i: payload[i * channel_count + position + 1]) ELSE payload[position * 16 + 1 : position * 16 + 16] END AS vals,
+row_number() OVER (PARTITION BY device_id, channel_id ORDER BY block_index) - 1 AS k FROM routed)
+SELECT device_id, channel_id, k // 5 AS chunk, CAST(min(k) * 16 AS BIGINT) AS sample_start, CAST(count(*) * 16 AS BIGINT) AS sample_count, CAST(min_by(vals[1], k) AS DOUBLE) AS first, CAST(max_by(vals[16], k) AS DOUBLE) AS last, CAST(min(list_min(vals)) AS DOUBLE) AS minimum, CAST(max(list_max(vals)) AS DOUBLE) AS maximum FROM vals GROUP BY 1, 2, 3""", "blocks", "channels")
 def _(v):
-    rows = _block_stream(v).filter("message_type = 5").withColumn("channel_count", F.lit(4))
-    arrays = rows.withColumn("channel_id", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    steps = F.sequence(F.lit(0), F.lit(15))
-    values = F.when(F.col("layout") == blocks.INTERLEAVED, F.transform(steps, lambda i: F.get("payload", i * 4 + F.col("channel_id")))).otherwise(F.slice("payload", F.col("channel_id") * 16 + 1, 16))
-    heads = arrays.withColumn("values", values).select(F.col("group_id").alias("device_id"), "channel_id", "block_index", F.lit(16).alias("n"), F.get("values", F.lit(0)).cast("double").alias("first"), F.get("values", F.lit(15)).cast("double").alias("last"), F.array_min("values").cast("double").alias("minimum"), F.array_max("values").cast("double").alias("maximum"))
-    return stateful.drain(stateful.stream_chunks(heads, 300), shared_dir(v.spark)).drop("batch")
+    """Filled chunks from the stream, and those that are open at its end from its state."""
+    values = F.transform("values", lambda x: x.cast("double"))
+    heads = _fed_stream(v).withColumn("values", values).select("device_id", "channel_id", "block_index", "n", F.get("values", F.lit(0)).alias("first"), F.element_at("values", -1).alias("last"), F.array_min("values").alias("minimum"), F.array_max("values").alias("maximum"))
+    checkpoint = scratch(v.spark, "state")
+    filled = stateful.drain(stateful.stream_chunks(heads, 300), shared_dir(v.spark), checkpoint=checkpoint).drop("batch")
+    return filled.unionByName(stateful.open_chunks(v.spark, checkpoint))
+
+
+@query("k1_stream_chunks", K1_SQL, "blocks", "channels")
+def _(v):
+    """``k1_write_chunks`` as a stream: each device is a run of segments, and the result is that of the batch."""
+    root = scratch(v.spark, "recorded")
+    run = recording.record(_fed_stream(v), root, "run", scratch(v.spark, "state"), 300, 4_000, 4)
+    rows = recording.read_recording(v.spark, root, run)
+    return rows.withColumns({"segment": F.col("segment").cast("int"), "bytes": F.octet_length("payload")}).drop("payload", "run_key")
+
+
+PER_SECOND, BURST = 20, 8
 
 
-@query("t5_stream_fanout", "SELECT 'shown' AS branch, count(*) AS blocks FROM blocks WHERE block_index % 4 = 0 UNION ALL SELECT 'stored', count(*) FROM blocks", "blocks")
+@query("t5_stream_fanout", f"""WITH RECURSIVE h AS (SELECT group_id AS key, block_index, sample_time, row_number() OVER (PARTITION BY group_id ORDER BY block_index) AS k FROM blocks),
+f AS (SELECT key, k, sample_time, CAST({BURST * 1000 - 1000} AS BIGINT) AS tokens, TRUE AS shown FROM h WHERE k = 1
+      UNION ALL SELECT h.key, h.k, h.sample_time, CASE WHEN least({BURST * 1000}, f.tokens + (h.sample_time - f.sample_time) * {PER_SECOND}) >= 1000 THEN -1000 ELSE 0 END + least({BURST * 1000}, f.tokens + (h.sample_time - f.sample_time) * {PER_SECOND}),
+                       least({BURST * 1000}, f.tokens + (h.sample_time - f.sample_time) * {PER_SECOND}) >= 1000 FROM f JOIN h ON h.key = f.key AND h.k = f.k + 1)
+SELECT key, count(*) AS stored, count(*) FILTER (WHERE shown) AS shown, count(*) FILTER (WHERE NOT shown) AS dropped FROM f GROUP BY 1""", "blocks")
 def _(v):
-    stored, shown = stateful.stream_fanout(_block_stream(v).select("block_index", "group_id"), shared_dir(v.spark), 4)
-    count = lambda df, name: df.agg(F.lit(name).alias("branch"), F.count("*").alias("blocks"))
-    return count(stored, "stored").unionByName(count(shown, "shown"))
+    """Every block is stored; the display takes what its budget allows, and what it drops is counted."""
+    stored, shown = stateful.stream_fanout(_block_stream(v).select("block_index", "group_id", "machine_id", "sample_time"), shared_dir(v.spark), PER_SECOND, BURST)
+    key = blocks.continuity_key().alias("key")
+    told = stored.groupBy(key).agg(F.count("*").alias("stored"), F.max("dropped").alias("dropped"))
+    return told.join(shown.groupBy(key).agg(F.count("*").alias("shown")), "key", "left").select("key", "stored", F.coalesce("shown", F.lit(0)).alias("shown"), "dropped")
 
 
-@query("t6_stream_report", "SELECT group_id AS key, count(*) AS blocks, CAST(sum(buffer_count) AS BIGINT) AS bytes FROM blocks GROUP BY 1", "blocks")
+@query("t6_stream_report", "SELECT key, blocks, bytes FROM (SELECT group_id AS key, row_number() OVER b AS blocks, CAST(sum(buffer_count) OVER b AS BIGINT) AS bytes FROM blocks WINDOW b AS (PARTITION BY group_id ORDER BY block_index)) WHERE blocks % 32 = 0", "blocks")
 def _(v):
-    found = stateful.drain(stateful.stream_report(_block_stream(v)), shared_dir(v.spark), "update")
-    newest = found.groupBy("key").agg(F.max("batch").alias("batch"))
-    return found.join(newest, ["key", "batch"]).drop("batch")
+    return stateful.drain(stateful.stream_report(_block_stream(v)), shared_dir(v.spark)).drop("batch")

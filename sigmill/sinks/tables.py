@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from sigmill.functions.scalars import crc32_hex, float_bytes, whole_quotient
 from sigmill.operators.envelope import fill_gaps
@@ -53,11 +52,6 @@ def write_chunks(chunks: DataFrame, root: str, run: str, codec: str = "zstd") ->
     return name
 
 
-def stream_write_chunks(chunks: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """The same as a stream: the checkpoint makes each batch durable once."""
-    return chunks.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy("run_id", "segment").trigger(availableNow=True).start()
-
-
 def export_samples(samples: DataFrame, ranges: DataFrame, path: str, source: str | None = None, keys: tuple[str, ...] = ("device_id", "channel"), slice_samples: int = 1 << 20) -> DataFrame:
     """Writes every position of the ranges in the order of channels and positions, gaps as zero; returns (keys, written).
 

@@ -10,7 +10,6 @@ from sigmill.operators import blocks, envelope
 from sigmill.plans.segment_files import manifest, segment_bytes
 from sigmill.sinks import tables
 from sigmill.sources import logs, segments
-from sigmill.streaming import stateful
 
 PAYLOAD = bytes((i * 17 + i // 11) & 255 for i in range(8195))
 CHANNELS = [{"Ordinal": k, "DeviceId": 0, "GroupName": "Device_0001_x", "SampleRate": 1000, "ChannelName": f"AI00{k + 1}", "ChannelDescription": "", "Unit": "", "ChannelId": k, "DataIndex": k, "LocalDataIndex": k} for k in (0, 1)]
@@ -123,76 +122,3 @@ def test_export_rules(spark, tmp_path):
 def test_runs_are_never_reused(spark, tmp_path):
     chunks = spark.createDataFrame([(0, 1, 2.0)], "segment int, chunk_seq long, first double")
     assert [tables.write_chunks(chunks, str(tmp_path), "run") for _ in range(3)] == ["run", "run_001", "run_002"]
-
-
-def folder_stream(spark, path, schema, batches):
-    """A stream that takes one file, so one part of the rows, at a time."""
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/{i}")
-    import os
-    import shutil
-    import time
-
-    os.makedirs(f"{path}/all")
-    for i in range(len(batches)):
-        for f in os.listdir(f"{path}/{i}"):
-            if f.startswith("part"):
-                shutil.copyfile(f"{path}/{i}/{f}", f"{path}/all/{i}.parquet")
-                os.utime(f"{path}/all/{i}.parquet", (time.time() + i, time.time() + i))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/all")
-
-
-def test_streams_over_batches_equal_batch(spark, tmp_path):
-    heads = "block_index long, group_id int, machine_id int, total_data_count long, data_count_per_channel int, buffer_count int"
-    rows = [(i, i % 2, 0, i // 2 * 10 + (3 if i > 7 else 0) + (1 if i == 11 else 0), 10, 40) for i in range(16)]
-    stream = folder_stream(spark, f"{tmp_path}/h", heads, [rows[:3], rows[3:9], rows[9:]])
-    key = lambda df: sorted(tuple(r) for r in df.collect())
-    whole = spark.createDataFrame(rows, heads)
-    columns = ["key", "block_index", "expected", "actual", "code"]
-    assert key(stateful.drain(stateful.stream_continuity(stream), str(tmp_path)).select(columns)) == key(blocks.continuity_check(whole).select(columns)) != []
-
-    schema = SAMPLES + ", sample_rate double"
-    values = [(0, "a", i, float((i * 37) % 11), 9000.0) for i in range(50)]
-    values[20] = (0, "a", 20, float("nan"), 9000.0)
-    stream = folder_stream(spark, f"{tmp_path}/s", schema, [values[:7], values[7:30], values[30:]])
-    got = stateful.drain(stateful.stream_decimate(stream, 4000), str(tmp_path)).select("point", "first", "last", "minimum", "maximum", "display_rate")
-    batch = spark.createDataFrame(values, schema)
-    rates = batch.groupBy("device_id", "channel").agg(F.first("sample_rate").alias("sample_rate"))
-    assert key(got) == key(envelope.decimate(batch.drop("sample_rate"), rates, 4000).select("point", "first", "last", "minimum", "maximum", "display_rate")) != []
-
-
-def test_stream_chunks_ends_runs(spark, tmp_path):
-    schema = "device_id int, channel_id int, block_index long, n int, first double, last double, minimum double, maximum double"
-    rows = [(0, 0, i, 3, float(i), i + 0.5, -float(i), float(i)) for i in range(5)] + [(0, 0, 5, -1, 0.0, 0.0, 0.0, 0.0)]
-    stream = folder_stream(spark, f"{tmp_path}/c", schema, [rows[:1], rows[1:]])
-    got = stateful.drain(stateful.stream_chunks(stream, 24), str(tmp_path)).drop("batch").collect()
-    assert sorted((r.chunk, r.sample_start, r.sample_count, r.first, r.last, r.minimum, r.maximum) for r in got) == [(0, 0, 6, 0.0, 1.5, -1.0, 1.0), (1, 6, 6, 2.0, 3.5, -3.0, 3.0), (2, 12, 3, 4.0, 4.5, -4.0, 4.0)]
-
-
-@pytest.mark.parametrize("name", ["t1_stream_continuity", "t2_stream_decimate", "t3_stream_latest", "t4_stream_chunks"])
-def test_registered_streams_take_bounded_batches_in_order(spark, monkeypatch, name):
-    run = lambda: sorted(map(tuple, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
-    whole = run()
-    sizes, drain = [], stateful.drain
-
-    def watched(stream, folder, mode="append"):
-        out = drain(stream, folder, mode)
-        sizes.append(out.select("batch").distinct().count())
-        return out
-
-    monkeypatch.setattr(stateful, "FILE_ROWS", 100)
-    monkeypatch.setattr(stateful, "drain", watched)
-    assert run() == whole
-    assert name == "t1_stream_continuity" or sizes[0] > 1
-
-
-def test_table_stream_keeps_order_and_bound(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(stateful, "FILE_ROWS", 10)
-    spark.range(95).selectExpr("94 - id AS id").coalesce(1).write.parquet(f"{tmp_path}/table")
-    got = stateful.drain(stateful.table_stream(spark, f"{tmp_path}/table", "id", str(tmp_path)), str(tmp_path)).collect()
-    by_batch = {}
-    for r in got:
-        by_batch.setdefault(r.batch, []).append(r.id)
-    assert sorted(i for ids in by_batch.values() for i in ids) == list(range(95))
-    assert all(len(ids) <= 10 for ids in by_batch.values())
-    assert [i for b in sorted(by_batch) for i in sorted(by_batch[b])] == list(range(95))
