@@ -176,19 +176,6 @@ def test_copies_are_verified_once(spark, docs_of, monkeypatch):
     assert asked[0] == (1, 2) and all(n <= 1 for n, _ in asked)
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-def test_a_failed_edge_of_the_forest_gives_way_to_a_link(spark, block):
-    """Texts 1 and 4 are alike, but 2 and 3 are closer to both by their bits."""
-    base = 0x123456789ABCDEF0
-    fps = [base ^ 1 << 50 ^ 1 << 51, base, base ^ 1 << 40, base ^ 3 << 40, base ^ 7 << 40]
-    words = [[f"{k}{i}" for i in range(60)] for k in "abcd"]
-    texts = dict(enumerate(map(" ".join, [words[0], words[1], words[2], words[3], [*words[1][:-1], "x"]])))
-    scheme = dataclasses.replace(simhash.NARROW, shingle=5, repeats=False, jaccard=0.8)
-    held = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "node long, text binary")
-    roots = {r.node: r.root for r in connected_components(simhash.links(nodes_of(spark, fps), scheme, lambda some: held.join(some, "node", "left_semi"), block)).collect()}
-    assert roots == {1: 1, 4: 1}
-
-
 def test_columns_with_the_operators_own_names(docs_of):
     long = " ".join(f"t{i}" for i in range(200))
     docs = docs_of([(1, long), (2, long), (3, "x")]).selectExpr("*", "'a' AS id", "'b' AS id_", "'c' AS __text", "1 AS __copy", "'d' AS digest", "2 AS node", "'e' AS sig")
