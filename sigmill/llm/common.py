@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigmill.plans import shared
+
 #: Longest run of documents that a Python task handles at once, in bytes of text.
 CHUNK_BYTES = 4 << 20
 
@@ -20,24 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset a local one serves a local session; on a cluster it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder that all executors share, ``spark.checkpoint.dir``; checkpoints go there too."""
+    found = shared.shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, with a folder for each value of ``by``: computed once, safe when executors are lost, deleted when the application ends."""
+    path = shared.scratch(df.sparkSession, "stage")
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def own_columns(df: DataFrame, **columns: str) -> DataFrame:

@@ -44,6 +44,10 @@ NOISE, BATCH, STEPS, RATE, SEED = 8, 2048, 64, 0.3, 29
 _HELD = 200_000
 #: Parameters are summed in units of this.
 _UNIT = 1 << 24
+#: The bias of a class without words; weight of pieces that a task adds up in longs, at parameters under 2**15.
+EMPTY, SUMMED = -1e4, 1 << 23
+#: Tasks of a round for each core that the session has.
+TASKS = 4
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -139,15 +143,25 @@ class LogBilinear:
         self.c = np.ones((CONTEXT, DIM), np.float32) / CONTEXT
         self.g = np.concatenate([rng.normal(0, 0.3, (groups, DIM)), np.log(of_group)[:, None]], axis=1).astype(np.float32)
         with np.errstate(divide="ignore"):
-            bias = np.maximum(np.log(inside), -1e4)  # empty classes have no chance
+            bias = np.maximum(np.log(inside), EMPTY)  # empty classes have no chance
         self.q = np.concatenate([rng.normal(0, 0.3, (groups * width, DIM)) * (share > 0)[:, None], bias.reshape(-1, 1)], axis=1).astype(np.float32)
         self.squares = {n: np.full_like(getattr(self, n), 1e-6) for n in self.NAMES}
         self.of_class = np.where(inside > 0, inside, 1e-30).astype(np.float32)  # nothing is drawn from an empty class
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for n in self.NAMES for x in (getattr(self, n), self.squares[n])]).astype(float)
+        """All parameters and squares; the biases of empty classes, which are far from all others and do not change, are left out as zeros."""
+        out = np.concatenate([x.ravel() for n in self.NAMES for x in (getattr(self, n), self.squares[n])]).astype(float)
+        out[self._biases()] = 0
+        return out
+
+    def _biases(self) -> np.ndarray:
+        """Places of the biases of empty classes in ``flat``."""
+        before = 2 * (self.r.size + self.c.size + self.g.size)
+        return before + np.flatnonzero(self.share.ravel() == 0) * (DIM + 1) + DIM
 
     def load(self, flat: np.ndarray) -> None:
+        flat = flat.copy()
+        flat[self._biases()] = EMPTY
         at = 0
         for n in self.NAMES:
             for store in (self.__dict__, self.squares):
@@ -315,12 +329,27 @@ def encode(docs: DataFrame, classes: Classes) -> DataFrame:
     return keyed.mapInArrow(run, f"dk long, dk2 long, doc_id {kind}, learns boolean, n_tokens long, known long, known_log double, inside double, kinds binary, word binary, n long, first int")
 
 
-def train(encoded: DataFrame, classes: Classes, size: int, piece_bytes: int = PIECE_BYTES) -> LogBilinear:
-    """A model from the rows of ``encode`` that are learned from, of ``size`` bytes of text in all."""
+def with_rounds(encoded: DataFrame, pieces: int) -> DataFrame:
+    """Rows of ``encode`` with their ``piece`` and its ``round``, -1 for those that are not learned from."""
+    piece = F.when(F.coalesce("learns", F.lit(False)) & F.col("kinds").isNotNull(), F.pmod("dk", F.lit(max(1, pieces)))).otherwise(-1)
+    return encoded.withColumn("piece", piece.cast("long")).withColumn("round", F.floor(F.log2(F.greatest(F.col("piece"), F.lit(0)) + 1)).cast("int") + F.when(F.col("piece") < 0, -1).otherwise(0))
+
+
+def pieces_of(size: int, classes: Classes, piece_bytes: int = PIECE_BYTES) -> int:
+    return max(-(-size // piece_bytes), 1) if classes.texts else 0
+
+
+def train(encoded: DataFrame, classes: Classes, pieces: int) -> LogBilinear:
+    """A model from the rows of ``with_rounds`` that are learned from.
+
+    Stored by round, a round's rows are all that it reads. Its tasks are bounded
+    by the session's cores and take several pieces each, whose sums they give
+    out; these are whole numbers, so that no split of the pieces changes a model,
+    and added up as decimals, which no corpus makes overflow.
+    """
     model = LogBilinear(classes.groups, classes.width, classes.share)
-    pieces = max(-(-size // piece_bytes), 1) if classes.texts else 0
-    placed = encoded.filter("learns and kinds is not null").select("dk", "dk2", "kinds", F.pmod("dk", F.lit(max(1, pieces))).alias("piece"))
-    for low, high in rounds(pieces):
+    most = TASKS * encoded.sparkSession.sparkContext.defaultParallelism
+    for number, (low, high) in enumerate(rounds(pieces)):
         start = model.flat()
 
         def run(batches: Iterator[pa.RecordBatch], model: LogBilinear = model, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
@@ -339,12 +368,19 @@ def train(encoded: DataFrame, classes: Classes, size: int, piece_bytes: int = PI
                 total[:-2] += np.rint(model.flat() * weight * _UNIT).astype(np.int64)
                 total[-2:] += weight, seen
 
+            def given() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_pydict({"entry": pa.array(np.arange(len(total), dtype=np.int32)), "value": pa.array(total.copy())})
+                total[:] = 0
+                return out
+
             for batch in batches:
                 for piece, kinds in zip(batch.column("piece").to_pylist(), batch.column("kinds").to_pylist()):
                     if piece != now:
                         if now is not None:
                             seen += learn() if texts else 0
                             close()
+                            if total[-2] >= SUMMED:
+                                yield given()
                         now, held, seen, rng = piece, 0, 0, np.random.default_rng([SEED, piece])
                         model.load(start)
                     texts.append(np.frombuffer(kinds, classes.kind))
@@ -355,18 +391,23 @@ def train(encoded: DataFrame, classes: Classes, size: int, piece_bytes: int = PI
             if now is not None:
                 seen += learn() if texts else 0
                 close()
-                yield pa.RecordBatch.from_pydict({"entry": pa.array(np.arange(len(total), dtype=np.int32)), "value": pa.array(total)})
+                yield given()
 
-        part = placed.filter(F.col("piece").between(low, high - 1))
-        dealt = part.repartition(2 * (high - low), "piece").sortWithinPartitions("piece", "dk", "dk2").select("piece", "kinds")
-        added = dealt.mapInArrow(run, "entry int, value long").groupBy("entry").agg(F.sum("value").alias("value")).toArrow().sort_by("entry")
+        part = encoded.filter(F.col("round") == number).select("piece", "dk", "dk2", "kinds")
+        dealt = part.repartition(min(most, 2 * (high - low)), "piece").sortWithinPartitions("piece", "dk", "dk2").select("piece", "kinds")
+        added = dealt.mapInArrow(run, "entry int, value long").groupBy("entry").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).toArrow().sort_by("entry")
         if added.num_rows:
-            value = added["value"].to_numpy()
-            model.load(value[:-2] / value[-2] / _UNIT)
-            model.trained += int(value[-1])
+            value = _mean(added["value"].to_pylist())
+            model.load(value)
+            model.trained += int(added["value"][-1].as_py())
     return model
 
 
+def _mean(sums: list) -> np.ndarray:
+    """The parameters' weighted mean from whole sums of any size (the last two are the weight and the examples)."""
+    return np.array([float(x) for x in sums[:-2]]) / float(sums[-2]) / _UNIT
+
+
 def score(encoded: DataFrame, counts: DataFrame, classes: Classes, model: LogBilinear) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each document of ``encode``."""
 
@@ -403,8 +444,9 @@ def fitted(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     counts = materialise(word_counts(seen))
     texts, size = seen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     classes = Classes(counts, texts)
-    encoded = materialise(encode(own, classes))
-    return encoded, counts, classes, train(encoded, classes, size)
+    pieces = pieces_of(size, classes)
+    encoded = materialise(with_rounds(encode(own, classes), pieces), "round")
+    return encoded, counts, classes, train(encoded, classes, pieces)
 
 
 def score_texts(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

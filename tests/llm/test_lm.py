@@ -102,7 +102,8 @@ def learned(docs_of, size, parts=2, some_text=None):
     rows = [(i, some_text or some(80, i % 2) if i % 3 else "w1ed") for i in range(900)]
     docs = docs_of(rows).selectExpr("doc_id", "cast(text as binary) text", "true AS learns").repartition(parts)
     classes = lm.Classes(lm.word_counts(docs), 900)
-    return classes, lm.train(lm.encode(docs, classes), classes, sum(len(t) for _, t in rows), size)
+    pieces = lm.pieces_of(sum(len(t) for _, t in rows), classes, size)
+    return classes, lm.train(lm.with_rounds(lm.encode(docs, classes), pieces), classes, pieces)
 
 
 @pytest.mark.parametrize("size", [1 << 22, 20_000])
@@ -146,3 +147,42 @@ def test_nothing_to_learn_from_and_no_rows(docs_of):
     got = lm.score_texts(docs_of([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
     assert lm.score_texts(docs_of([]), F.lit(True)).collect() == []
+
+
+def test_rounds_of_pieces_are_those_of_the_ranges(spark):
+    ranges = lm.rounds(1000)
+    rows = spark.range(1000).selectExpr("id AS dk", "true AS learns", "cast('x' AS binary) AS kinds")
+    got = {r.dk: r["round"] for r in lm.with_rounds(rows, 1000).collect()}
+    assert got == {p: k for k, (low, high) in enumerate(ranges) for p in range(low, high)}
+    none = spark.createDataFrame([(5, None, b"x"), (6, False, b"x"), (7, True, None)], "dk long, learns boolean, kinds binary")
+    assert {r["round"] for r in lm.with_rounds(none, 1000).collect()} == {-1}
+
+
+def test_sums_of_a_vast_corpus_do_not_overflow(spark):
+    """Weights of 10**13 tokens: sums beyond a long are added up exactly and give the mean."""
+    from decimal import Decimal
+
+    tokens, mean = 10**13, 3.25
+    weight = tokens // 4096
+    sums = [int(mean * weight * lm._UNIT)] * 300 + [weight, tokens]
+    assert 300 * sums[0] > 1 << 63
+    rows = spark.createDataFrame([(e, v) for _ in range(300) for e, v in ((0, sums[0]), (1, weight))], "entry int, value long")
+    added = [r.value for r in rows.groupBy("entry").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).orderBy("entry").collect()]
+    assert lm._mean([*added, Decimal(300 * tokens)])[:1].tolist() == [mean]
+
+
+def test_few_tasks_and_early_sums_give_the_same_model(docs_of, monkeypatch):
+    text = some(80, 1)
+    a = learned(docs_of, 5_000, 2, text)[1]
+    monkeypatch.setattr(lm, "TASKS", 1)
+    monkeypatch.setattr(lm, "SUMMED", 1)
+    b = learned(docs_of, 5_000, 2, text)[1]
+    assert a.trained == b.trained and np.array_equal(a.flat(), b.flat())
+
+
+def test_empty_classes_stay_out_of_the_sums():
+    share = np.array([0.4, 0.3, 0.3, 0.0])
+    model = lm.LogBilinear(2, 2, share)
+    assert np.abs(model.flat()).max() < 100 and model.q[3, -1] == lm.EMPTY
+    model.load(model.flat())
+    assert model.q[3, -1] == lm.EMPTY and (model.q[:3, -1] > -10).all()
