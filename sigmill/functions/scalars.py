@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, LongType
 
 
 def bucket_boundary(i: Column, n: Column, buckets: Column) -> Column:
@@ -55,6 +55,35 @@ def float_bytes(values: pa.Array) -> pa.Array:
     return pc.if_else(values.is_valid(), out, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials over GF(2) modulo that of CRC32, in its bit order (the highest bit is the constant term)."""
+    out, b = np.zeros_like(a), b.copy()
+    for bit in range(31, -1, -1):
+        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = np.where(b & np.uint32(1), b >> np.uint32(1) ^ np.uint32(0xEDB88320), b >> np.uint32(1))
+    return out
+
+
+#: x to the powers 8 * 2**k: what a checksum is multiplied by when 2**k bytes follow.
+_POWERS = [np.array([1 << 23], np.uint32)]
+for _ in range(62):
+    _POWERS.append(_times(_POWERS[-1], _POWERS[-1]))
+
+
+@F.arrow_udf(LongType())
+def crc32_before(crc: pa.Array, after: pa.Array) -> pa.Array:
+    """What a piece's CRC32 adds to that of the whole if ``after`` bytes follow it.
+
+    The CRC32 of bytes in pieces is the exclusive or (``bit_xor``) of this over
+    the pieces, in any order, so pieces that are summed apart need not meet.
+    """
+    out, n = pc.fill_null(crc, 0).to_numpy(zero_copy_only=False).astype(np.uint32), pc.fill_null(after, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for k in range(int(n.max(initial=0)).bit_length()):
+        rows = np.flatnonzero(n >> k & 1)
+        out[rows] = _times(out[rows], np.broadcast_to(_POWERS[k], len(rows)))
+    return pc.if_else(pc.and_(crc.is_valid(), after.is_valid()), pa.array(out.astype(np.int64)), pa.scalar(None, pa.int64()))
+
+
 def run_stem(started: Column, custom: Column) -> Column:
     """The name of a run: the custom one, sanitised, or one from the time it started."""
     own = F.when(F.trim(custom) != "", sanitised(F.trim(custom)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigmill.functions.scalars import crc32_hex, float_bytes, whole_quotient
-from sigmill.operators.blocks import INTERLEAVED
+from sigmill.functions.scalars import crc32_before, crc32_hex, float_bytes, whole_quotient
+from sigmill.operators.blocks import FLOAT_BYTES, INTERLEAVED
 from sigmill.operators.ranks import each_with_all, small
 
 
@@ -43,8 +43,9 @@ def audit_verify(audit: DataFrame, stored: DataFrame, width: int = 4096) -> Data
     block), start and ``values``, an array of any length; or single samples, with
     sample_idx and value. Blocks and pieces meet by device and the bins of
     ``width`` positions that they touch, and a piece gives the slice that the
-    block covers. The block's bytes are rebuilt in its layout; group -1 takes
-    all devices by position.
+    block covers. Where channels follow one another, a block's checksum comes
+    from those of its slices, which no task has to gather; where samples are
+    mixed, its bytes are rebuilt. Group -1 takes all devices by position.
     """
     pieces = stored if "values" in stored.columns else stored.select("device_id", "position", F.col("sample_idx").alias("start"), F.array("value").alias("values"))
     placed = local_starts(audit)
@@ -58,12 +59,18 @@ def audit_verify(audit: DataFrame, stored: DataFrame, width: int = 4096) -> Data
     met = asked.join(held, ["device_id", "bin"]).filter((low < high) & (F.col("bin") == whole_quotient(low, F.lit(width))))
     slices = met.withColumn("at", low - F.col("local_start")).withColumn("part", F.slice("values", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")))
 
-    def place(i: Column) -> Column:
-        return F.when(F.col("layout") == INTERLEAVED, i * F.col("channel_count") + F.col("position")).otherwise(F.col("position") * F.col("data_count_per_channel") + i)
-
-    own = F.transform("part", lambda v, k: F.struct(place(F.col("at") + k).alias("place"), v.alias("value")))
-    lists = slices.groupBy("block_index", "group_id").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("all"))  # a block bounds its list
-    sums = lists.select("block_index", "group_id", crc32_hex(float_bytes(F.transform("all", lambda s: s["value"]))).alias("actual"))
+    own = ["block_index", "group_id"]
+    begin, size = F.col("position") * F.col("data_count_per_channel") + F.col("at"), F.size("part")
+    whole = F.col("channel_count").cast("long") * F.col("data_count_per_channel")
+    apart = slices.filter(F.col("layout") != INTERLEAVED).select(*own, size.alias("n"), whole.alias("whole"), ((whole - begin - size) * FLOAT_BYTES).alias("after"), F.crc32(float_bytes("part")).alias("crc"))
+    found = apart.groupBy(*own).agg(F.bit_xor(crc32_before("crc", "after")).alias("crc"), F.sum("n").alias("n"), F.max("whole").alias("whole"), F.min("after").alias("least"))
+    # a block of which samples are missing, or that has more channels than it should, has no checksum
+    contiguous = found.filter("n = whole and least >= 0").select(*own, F.lpad(F.hex("crc"), 8, "0").alias("actual"))
+    place = lambda k: (F.col("at") + k) * F.col("channel_count") + F.col("position")
+    cells = F.transform("part", lambda v, k: F.struct(place(k).alias("place"), v.alias("value")))
+    lists = slices.filter(F.col("layout") == INTERLEAVED).groupBy(*own).agg(F.array_sort(F.flatten(F.collect_list(cells))).alias("all"))  # a block bounds its list
+    mixed = lists.select(*own, crc32_hex(float_bytes(F.transform("all", lambda s: s["value"]))).alias("actual"))
+    sums = contiguous.unionByName(mixed)
     there = small(devices.select(F.col("device_id").alias("group_id"), F.lit(True).alias("stored")))
     out = placed.join(sums, ["block_index", "group_id"], "left").join(there, "group_id", "left")
     reason = F.when((F.col("group_id") >= 0) & F.col("stored").isNull(), "group is missing").when(F.col("local_start") < 0, "invalid offset").when(F.upper(F.trim("crc32")) != F.coalesce("actual", F.lit("")), "checksum differs")

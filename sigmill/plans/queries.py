@@ -440,18 +440,35 @@ def _(v):
 
 
 def _verified(v: Views) -> DataFrame:
-    """An audit of the blocks against their own samples; block numbers divisible by 9 get a wrong checksum, group 99 is not stored."""
-    rows = _counted(v).filter("message_type = 5").withColumn("local", F.col("total_data_count"))
-    arrays = blocks.channel_arrays(rows).join(rows.select("block_index", "group_id", "total_data_count"), "block_index")
-    least = rows.groupBy("group_id").agg(F.min("total_data_count").alias("base"))
-    stored = materialise(arrays.join(least, "group_id").select(F.col("group_id").alias("device_id"), F.col("channel_pos").alias("position"), (F.col("total_data_count") - F.col("base")).alias("start"), "values"))
-    log = rows.withColumn("crc32", F.when(F.col("block_index") % 9 == 0, "00000000").otherwise(sc.crc32_hex(sc.float_bytes("payload")))).select("block_index", "group_id", "total_data_count", "data_count_per_channel", "buffer_count", "channel_count", "layout", "crc32")
-    other = log.filter("block_index % 50 = 1").withColumns({"group_id": F.lit(99).cast("int"), "block_index": F.col("block_index") + 1_000_000})
-    return audit.audit_verify(materialise(log.unionByName(other)), stored)
-
-
-VERIFIED = """WITH one AS (SELECT block_index, group_id, buffer_count, CASE WHEN block_index % 9 = 0 THEN 'checksum differs' END AS reason FROM blocks WHERE message_type = 5),
-checked AS (SELECT * FROM one UNION ALL SELECT block_index + 1000000, CAST(99 AS INT), buffer_count, 'group is missing' FROM one WHERE block_index % 50 = 1)
+    """Audits of two recordings of the blocks: those of one device each by group, and those of all devices.
+
+    The log has the checksums of what was received. In what was stored, the
+    first sample of blocks whose number is divisible by 9 differs; group 99 is
+    not stored.
+    """
+    counted = _counted(v).select("block_index", "group_id", "total_data_count", "data_count_per_channel", "buffer_count", "channel_count", "layout", "message_type", "payload")
+    found = []
+    for whole in (False, True):
+        rows = counted.filter("message_type = 21" if whole else "message_type <> 21").withColumn("group_id", F.lit(-1).cast("int") if whole else F.col("group_id"))
+        arrays = blocks.channel_arrays(rows).join(rows.select("block_index", "group_id", "total_data_count"), "block_index")
+        least = rows.groupBy("group_id").agg(F.min("total_data_count").alias("base"))
+        wrong = F.transform("values", lambda x, i: F.when((F.col("block_index") % 9 == 0) & (F.col("channel_pos") == 0) & (i == 0), (x + 1).cast("float")).otherwise(x))
+        device = F.col("channel_pos") if whole else F.col("group_id")
+        stored = materialise(arrays.join(least, "group_id").select(device.alias("device_id"), F.col("channel_pos").alias("position"), (F.col("total_data_count") - F.col("base")).alias("start"), wrong.alias("values")))
+        log = rows.withColumn("crc32", sc.crc32_hex(sc.float_bytes("payload"))).drop("payload", "message_type")
+        if not whole:
+            log = log.unionByName(log.filter("block_index % 50 = 1").withColumns({"group_id": F.lit(99).cast("int"), "block_index": F.col("block_index") + 1_000_000}))
+        found.append(audit.audit_verify(materialise(log), stored))
+    return found[0].unionByName(found[1])
+
+
+VERIFIED = f"""WITH both_ AS (SELECT 2 * block_index AS block_index, payload FROM blocks
+UNION ALL SELECT 2 * block_index + 1, list_transform(range(1, len(payload) + 1), lambda i: CASE WHEN i = 1 AND block_index % 9 = 0 THEN CAST(payload[i] + CAST(1 AS FLOAT) AS FLOAT) ELSE payload[i] END) FROM blocks),
+{CRC_TABLE}, {FLOATS.replace("FROM blocks", "FROM both_")},
+sums AS (SELECT block_index, {CRC} AS crc FROM b, t),
+one AS (SELECT x.block_index, CAST(CASE WHEN message_type = 21 THEN -1 ELSE group_id END AS INT) AS group_id, message_type, buffer_count, CASE WHEN received.crc <> stored.crc THEN 'checksum differs' END AS reason
+        FROM blocks x JOIN sums received ON received.block_index = 2 * x.block_index JOIN sums stored ON stored.block_index = 2 * x.block_index + 1),
+checked AS (SELECT block_index, group_id, buffer_count, reason FROM one UNION ALL SELECT block_index + 1000000, CAST(99 AS INT), buffer_count, 'group is missing' FROM one WHERE message_type <> 21 AND block_index % 50 = 1)
 """
 
 

@@ -247,3 +247,42 @@ def test_empty_inputs(spark):
     assert envelope.chunk_summary(none, 4).count() == 0
     assert envelope.downsample_points(none, 4).count() == 0
     assert blocks.continuity_check(heads(spark, [(0, 0, 0, 0, 1)]).limit(0)).count() == 0
+
+
+def test_checksums_of_pieces_make_that_of_the_whole(spark):
+    import random
+    import zlib
+
+    rng = random.Random(3)
+    rows, want = [], {}
+    for k in range(40):
+        data = rng.randbytes(rng.choice((0, 1, 7, 300, 5000)))
+        want[k] = zlib.crc32(data)
+        cuts = sorted({0, len(data), *(rng.randrange(len(data) + 1) for _ in range(k % 6))})
+        pieces = list(zip(cuts, cuts[1:])) or [(0, 0)]
+        rng.shuffle(pieces)
+        rows += [(k, data[i:j], len(data) - j) for i, j in pieces]
+    df = spark.createDataFrame(rows, "k int, piece binary, after long").repartition(3)
+    got = df.groupBy("k").agg(F.bit_xor(sc.crc32_before(F.crc32("piece"), "after")).alias("crc")).collect()
+    assert {r.k: r.crc for r in got} == want
+    far = 10**12  # bytes after, which none has to hold
+    (a, b), = df.limit(1).select(sc.crc32_before(F.lit(0x12345678).cast("long"), F.lit(far)).alias("a"), sc.crc32_before(sc.crc32_before(F.lit(0x12345678).cast("long"), F.lit(far - 77)), F.lit(77)).alias("b")).collect()
+    assert a == b
+
+
+@pytest.mark.parametrize("layout", [blocks.INTERLEAVED, blocks.CONTIGUOUS])
+def test_an_audit_of_blocks_across_pieces(spark, layout):
+    """Pieces end within blocks; a sample that is missing, or a channel too many, does not hold."""
+    import zlib
+
+    import numpy as np
+
+    series_ = {c: [float(c * 100 + i) for i in range(30)] for c in range(2)}
+    pieces = [(0, c, s, series_[c][s:e]) for c in range(2) for s, e in ((0, 7), (7, 8), (8, 30))]
+    order = lambda lo, hi: [series_[c][i] for i in range(lo, hi) for c in range(2)] if layout == blocks.INTERLEAVED else [series_[c][i] for c in range(2) for i in range(lo, hi)]
+    crc = lambda lo, hi: f"{zlib.crc32(np.array(order(lo, hi), '<f4').tobytes()):08x}"
+    log = [(1, 0, 0, 10, 2, layout, crc(0, 10), 80), (2, 0, 10, 20, 2, layout, f" {crc(10, 30)} ", 160), (3, 0, 5, 10, 2, layout, "00000000", 80), (4, 0, 25, 10, 2, layout, crc(20, 30), 80), (5, 9, 0, 10, 2, layout, crc(0, 10), 80)]
+    audit_rows = spark.createDataFrame(log, "block_index long, group_id int, total_data_count long, data_count_per_channel int, channel_count int, layout string, crc32 string, buffer_count int")
+    stored = spark.createDataFrame(pieces, "device_id int, position int, start long, values array<float>")
+    got = {r.block_index: r.reason for r in audit.audit_verify(audit_rows, stored, 4).collect()}
+    assert got == {1: None, 2: None, 3: "checksum differs", 4: "checksum differs", 5: "group is missing"}
