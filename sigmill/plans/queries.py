@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from sigmill.functions import scalars as sc
 from sigmill.operators import audit, blocks, catalog, codec_matrix, envelope, reports
-from sigmill.plans import segment_files
+from sigmill.plans import segment_files, sql_access
 from sigmill.plans.fixtures import VIEWS, sql, view
 from sigmill.plans.shared import materialise, once, scratch, shared_dir
 from sigmill.sinks import tables
@@ -945,3 +945,39 @@ def _(v):
 @query("t6_stream_report", "SELECT key, blocks, bytes FROM (SELECT group_id AS key, row_number() OVER b AS blocks, CAST(sum(buffer_count) OVER b AS BIGINT) AS bytes FROM blocks WINDOW b AS (PARTITION BY group_id ORDER BY block_index)) WHERE blocks % 32 = 0", "blocks")
 def _(v):
     return stateful.drain(stateful.stream_report(_block_stream(v)), shared_dir(v.spark)).drop("batch")
+
+
+# SQL access
+
+
+def _sql(v: Views, text: str) -> DataFrame:
+    """A statement over the views and functions of ``sql_access``, whose names begin with rec_."""
+    rates = v.spark.sql(STATS_CHANNELS, totals=v.totals)
+    sql_access.register(v.spark, "rec_", samples=v.samples, totals=v.totals, requests=v.requests, records=v.chunks, channels=rates)
+    return v.spark.sql(text)
+
+
+@query("sql_channel_envelope", _envelope_sql("samples", FLOOR), "samples", "requests", "totals")
+def _(v):
+    return _sql(v, "SELECT * FROM rec_channel_envelope()")
+
+
+@query("sql_channel_stats", ORACLES["a5_channel_stats"])
+def _(v):
+    return _sql(v, "SELECT * FROM rec_channel_stats()")
+
+
+@query("sql_overlap_records", ORACLES["j5_overlap_records"])
+def _(v):
+    return _sql(v, "SELECT * FROM rec_overlap_records(256)")
+
+
+WIDEST = "SELECT device_id, channel, bucket, maximum - minimum AS spread FROM ({}) WHERE req_id = 0 QUALIFY row_number() OVER (PARTITION BY device_id, channel ORDER BY maximum - minimum DESC, bucket) = 1"
+
+
+@query("sql_widest_buckets", WIDEST.format(sql(_envelope_sql("samples", BOUNDARY), "samples", "requests", "totals")))
+def _(v):
+    """The functions within a statement of the user's own."""
+    return _sql(v, """SELECT device_id, channel, bucket, spread FROM (
+        SELECT *, maximum - minimum AS spread, row_number() OVER (PARTITION BY device_id, channel ORDER BY maximum - minimum DESC, bucket) AS place
+        FROM rec_channel_envelope('boundary') WHERE req_id = 0) WHERE place = 1""")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.functions.scalars import crc32_hex, float_bytes, whole_quotient
@@ -52,11 +53,17 @@ def write_chunks(chunks: DataFrame, root: str, run: str, codec: str = "zstd") ->
     return name
 
 
+#: So many channels are counted while they are written.
+OBSERVED = 2000
+
+
 def export_samples(samples: DataFrame, ranges: DataFrame, path: str, source: str | None = None, keys: tuple[str, ...] = ("device_id", "channel"), slice_samples: int = 1 << 20) -> DataFrame:
     """Writes every position of the ranges in the order of channels and positions, gaps as zero; returns (keys, written).
 
     The target must be new and not in the source's folder. A slice of a range
-    without any sample is an error, and nothing is kept then.
+    without any sample is an error, and nothing is kept then. What was written
+    of each channel is observed as it is written (``DataFrame.observe``), and not
+    read again; of more channels than ``OBSERVED`` it is counted from the files.
     """
     spark = samples.sparkSession
     target = path.rstrip("/") + "/"
@@ -66,9 +73,20 @@ def export_samples(samples: DataFrame, ranges: DataFrame, path: str, source: str
         raise FileExistsError(path)
     part = f"{target[:-1]}-{uuid.uuid4().hex}.part"  # takes its name when it is known to be whole
     filled = fill_gaps(samples, ranges, keys, slice_samples)
-    filled.repartitionByRange(*keys, "sample_idx").sortWithinPartitions(*keys, "sample_idx").write.parquet(part)
     want = ranges.filter("sample_count > 0").groupBy(*keys).agg(F.sum("sample_count").alias("wanted"))
-    got = spark.read.schema(filled.schema).parquet(part).groupBy(*keys).agg(F.count("*").alias("written"))
+    placed = filled.repartitionByRange(*keys, "sample_idx").sortWithinPartitions(*keys, "sample_idx")
+    channels = want.limit(OBSERVED + 1).collect()
+    if seen := len(channels) <= OBSERVED and bool(channels):
+        progress = Observation(f"export {part}")
+        same = lambda r: reduce(Column.__and__, (F.col(k).eqNullSafe(F.lit(r[k])) for k in keys))
+        placed = placed.observe(progress, *(F.count_if(same(r)).alias(f"n{i}") for i, r in enumerate(channels)))
+    placed.write.parquet(part)
+    if seen:
+        told = [(*(r[k] for k in keys), progress.get[f"n{i}"]) for i, r in enumerate(channels)]
+        kinds = dict(want.dtypes)
+        got = spark.createDataFrame([t for t in told if t[-1]], ", ".join([*(f"{k} {kinds[k]}" for k in keys), "written bigint"]))
+    else:
+        got = spark.read.schema(filled.schema).parquet(part).groupBy(*keys).agg(F.count("*").alias("written"))
     short = want.join(got, list(keys), "left").filter("coalesce(written, 0) <> wanted").head()
     made = spark._jvm.org.apache.hadoop.fs.Path(part)
     fs = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -77,7 +95,7 @@ def export_samples(samples: DataFrame, ranges: DataFrame, path: str, source: str
         raise ValueError(f"no samples in a slice of {short}")
     if not fs.rename(made, spark._jvm.org.apache.hadoop.fs.Path(path)):
         raise OSError(f"{part} could not be renamed")
-    return spark.read.schema(filled.schema).parquet(path).groupBy(*keys).agg(F.count("*").alias("written"))
+    return got if seen else spark.read.schema(filled.schema).parquet(path).groupBy(*keys).agg(F.count("*").alias("written"))
 
 
 def write_audit(blocks: DataFrame, path: str) -> None:

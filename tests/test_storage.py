@@ -119,6 +119,18 @@ def test_export_rules(spark, tmp_path):
     assert not tmp_path.joinpath("new").exists()
 
 
+@pytest.mark.parametrize("observed", [2000, 1])
+def test_an_export_tells_what_it_wrote_of_each_channel(spark, tmp_path, monkeypatch, observed):
+    """From the write itself, if there are not too many channels."""
+    monkeypatch.setattr(tables, "OBSERVED", observed)
+    rows = spark.createDataFrame([(d, c, i, 1.0) for d in (0, 1) for c in "ab" for i in range(0, 40 + 10 * d, 3)], SAMPLES)
+    ranges = spark.createDataFrame([(d, c, 0, 40 + 10 * d) for d in (0, 1) for c in "ab"] + [(2, "none", 0, 0)], RANGE)
+    got = tables.export_samples(rows, ranges, f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == [(d, c, 40 + 10 * d) for d in (0, 1) for c in "ab"]
+    stored = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, stored.groupBy("device_id", "channel").count().collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_runs_are_never_reused(spark, tmp_path):
     chunks = spark.createDataFrame([(0, 1, 2.0)], "segment int, chunk_seq long, first double")
     assert [tables.write_chunks(chunks, str(tmp_path), "run") for _ in range(3)] == ["run", "run_001", "run_002"]
