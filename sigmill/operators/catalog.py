@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmill.functions.scalars import duration, valid_rate
+from sigmill.operators import scans
 from sigmill.operators.ranks import small
 
 STORED, PREPROCESSED, RAW_STORED = 1, 2, 4
@@ -135,13 +136,18 @@ def run_overview(info: DataFrame, group: str) -> DataFrame:
 def segment_rates(segments: DataFrame, updates: DataFrame) -> DataFrame:
     """(device_id, segment, opened, sample_rate): the last valid rate reported at or before a segment opened, else the device's own.
 
-    Both tables run along one time line of a device; updates come first at equal times.
+    Both tables run along one time line of a device, in spans of time; updates
+    come first at equal times, and of those at one time the greatest counts.
     """
-    events = updates.filter(valid_rate(F.col("rate"))).select("device_id", F.col("reported").alias("t"), F.lit(0).alias("kind"), F.col("rate").cast("double").alias("rate"), F.lit(None).cast("int").alias("segment"), F.lit(None).cast("double").alias("base_rate"))
-    opened = segments.select("device_id", F.col("opened").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("rate"), "segment", "base_rate")
-    line = Window.partitionBy("device_id").orderBy("t", "kind", "segment").rowsBetween(Window.unboundedPreceding, 0)
-    both = events.unionByName(opened).withColumn("last", F.last("rate", ignorenulls=True).over(line))
-    return both.filter("kind = 1").select("device_id", "segment", F.col("t").alias("opened"), F.coalesce("last", "base_rate").alias("sample_rate"))
+    whole = lambda c, df: (F.unix_micros(c) if dict(df.dtypes)[c].startswith("timestamp") else F.col(c)).cast("long")
+    none = lambda kind: F.lit(None).cast(kind)
+    own = ["segment", "opened", "base_rate"]
+    kinds = dict(segments.dtypes)
+    events = updates.filter(valid_rate(F.col("rate"))).select("device_id", (whole("reported", updates) * 2).alias("__at"), F.col("rate").cast("double").alias("__rate"), *(none(kinds[c]).alias(c) for c in own), F.lit(False).alias("__asks"))
+    opened = segments.select("device_id", (whole("opened", segments) * 2 + 1).alias("__at"), none("double").alias("__rate"), *own, F.lit(True).alias("__asks"))
+    last = F.when(F.col("__rate").isNotNull(), F.struct("__at", "__rate"))
+    both = scans.running(events.unionByName(opened), ["device_id"], "__at", {"__last": ("max", last)}, inclusive=True)
+    return both.filter("__asks").select("device_id", "segment", "opened", F.coalesce("__last.__rate", "base_rate").alias("sample_rate"))
 
 
 def order_channels(info: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ SELECT device_id, channel, CAST(floor(sample_idx / 64.0) AS BIGINT) AS chunk_seq
        min_by(value, sample_idx) AS first, max_by(value, sample_idx) AS last, min(value) AS minimum, max(value) AS maximum
 FROM {samples} GROUP BY 1, 2, 3""",
     "totals": "SELECT device_id, channel, count(*) AS n FROM {samples} GROUP BY device_id, channel",
+    "groups": "SELECT device_id, channel, CAST(row_number() OVER (ORDER BY device_id, channel) - 1 AS INT) AS group_id FROM {totals}",
     "requests": """
 SELECT n.device_id, n.channel, r.req_id, CAST(floor(n.n * r.f0) AS BIGINT) AS start_sample,
        CAST(CASE WHEN r.req_id = 3 THEN 1 ELSE floor(n.n * r.f1) END AS BIGINT) AS sample_count, r.buckets
@@ -65,8 +66,8 @@ SELECT device_id, channel, CAST(chunk_seq % 3 AS INT) AS segment, CAST(chunk_seq
        CAST(2 + chunk_seq % 2 AS INT) AS version, 1704067200000 + sample_start * (10 + device_id % 2) AS sample_time, CAST(sample_count AS BIGINT) AS block_samples
 FROM {chunks}""",
     "audit": """
-SELECT device_id AS group_id, CAST(chunk_seq AS BIGINT) AS block_index, 1000 + sample_start AS total_data_count, sample_count AS data_count_per_channel, sample_count * 4 AS buffer_count
-FROM {chunks} WHERE channel = 'click'
+SELECT g.group_id, CAST(c.chunk_seq AS BIGINT) AS block_index, 1000 + c.sample_start AS total_data_count, c.sample_count AS data_count_per_channel, c.sample_count * 4 AS buffer_count
+FROM {chunks} c JOIN {groups} g ON g.device_id = c.device_id AND g.channel = c.channel
 UNION ALL SELECT CAST(99 AS INT), CAST(900 AS BIGINT), CAST(0 AS BIGINT), CAST(16 AS BIGINT), CAST(64 AS BIGINT)""",
 }
 

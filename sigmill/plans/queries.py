@@ -233,9 +233,9 @@ def _(v):
 # Joins
 
 
-@query("j1_block_device", "WITH d AS (SELECT DISTINCT device_id FROM channels WHERE device_id < 7) SELECT block_index, coalesce(g.device_id, m.device_id) AS device_id FROM odd_blocks b LEFT JOIN d g ON g.device_id = b.group_id LEFT JOIN d m ON m.device_id = b.machine_id WHERE coalesce(g.device_id, m.device_id) IS NOT NULL", "odd_blocks", "channels")
+@query("j1_block_device", "WITH d AS (SELECT DISTINCT device_id FROM channels) SELECT block_index, coalesce(g.device_id, m.device_id) AS device_id FROM odd_blocks b LEFT JOIN d g ON g.device_id = b.group_id LEFT JOIN d m ON m.device_id = b.machine_id WHERE coalesce(g.device_id, m.device_id) IS NOT NULL", "odd_blocks", "channels")
 def _(v):
-    return blocks.block_device(v.odd_blocks, v.channels.filter("device_id < 7")).select("block_index", "device_id")
+    return blocks.block_device(v.odd_blocks, v.channels).select("block_index", "device_id")
 
 
 @query("j2_block_channels", ROUTED + "SELECT device_id, channel_id, count(*) AS blocks, CAST(sum(CASE WHEN is_global THEN 1 ELSE 0 END) AS BIGINT) AS global_blocks, min(block_index) AS first_block, max(block_index) AS last_block FROM routed GROUP BY 1, 2", "blocks", "channels")
@@ -284,18 +284,19 @@ def _(v):
     return envelope.stitch_segments(v.spark.sql(SEGMENTED, samples=v.samples)).select(*KEYS, "segment", "local_idx", "sample_idx", "value")
 
 
-STORED = "SELECT device_id, 0 AS position, sample_idx, value FROM {samples} WHERE channel = 'click'"
-LOCAL = f"WITH stored AS ({STORED.format(samples='samples')}), placed AS (SELECT *, total_data_count - min(total_data_count) OVER (PARTITION BY group_id) AS local_start FROM audit)\n"
+#: Each series is the one channel of a group.
+STORED = "SELECT g.group_id AS device_id, 0 AS position, s.sample_idx, s.value FROM {samples} s JOIN {groups} g ON g.device_id = s.device_id AND g.channel = s.channel"
+LOCAL = f"WITH stored AS ({STORED.format(samples='samples', groups='groups')}), placed AS (SELECT *, total_data_count - min(total_data_count) OVER (PARTITION BY group_id) AS local_start FROM audit)\n"
 
 
-@query("j7_audit_block_samples", LOCAL + "SELECT block_index, group_id, sample_idx, value FROM placed JOIN stored ON device_id = group_id AND sample_idx >= local_start AND sample_idx < local_start + data_count_per_channel", "audit", "samples")
+@query("j7_audit_block_samples", LOCAL + "SELECT block_index, group_id, sample_idx, value FROM placed JOIN stored ON device_id = group_id AND sample_idx >= local_start AND sample_idx < local_start + data_count_per_channel", "audit", "samples", "groups")
 def _(v):
-    return audit.audit_block_samples(audit.local_starts(v.audit), v.spark.sql(STORED, samples=v.samples)).select("block_index", "group_id", "sample_idx", "value")
+    return audit.audit_block_samples(audit.local_starts(v.audit), v.spark.sql(STORED, samples=v.samples, groups=v.groups)).select("block_index", "group_id", "sample_idx", "value")
 
 
-@query("j7_audit_missing_groups", LOCAL + "SELECT block_index, group_id, 'group is missing' AS reason FROM audit WHERE group_id NOT IN (SELECT device_id FROM stored)", "audit", "samples")
+@query("j7_audit_missing_groups", LOCAL + "SELECT block_index, group_id, 'group is missing' AS reason FROM audit WHERE group_id NOT IN (SELECT device_id FROM stored)", "audit", "samples", "groups")
 def _(v):
-    return audit.audit_missing_groups(v.audit, v.spark.sql(STORED, samples=v.samples)).select("block_index", "group_id", "reason")
+    return audit.audit_missing_groups(v.audit, v.spark.sql(STORED, samples=v.samples, groups=v.groups)).select("block_index", "group_id", "reason")
 
 
 WANTED = "SELECT CAST(row_number() OVER (ORDER BY channel DESC, device_id) AS INT) AS pos, device_id, channel FROM {totals}"
@@ -308,14 +309,15 @@ def _(v):
     return catalog.snapshot_series(latest, v.spark.sql(WANTED, totals=v.totals), KEYS).select("pos", *KEYS, "newest", "display_rate")
 
 
-UPDATES = "SELECT device_id, sample_idx AS reported, CASE WHEN sample_idx % 5 = 0 THEN -1.0 ELSE value END AS rate FROM {samples} WHERE channel = 'view' AND sample_idx % 50 = 3"
-OPENED = "SELECT device_id, CAST(chunk_seq AS INT) AS segment, sample_start AS opened, CAST(1000 AS DOUBLE) AS base_rate FROM {chunks} WHERE channel = 'view'"
+UPDATES = "SELECT g.group_id AS device_id, s.sample_idx AS reported, CASE WHEN s.sample_idx % 5 = 0 THEN -1.0 ELSE s.value END AS rate FROM {samples} s JOIN {groups} g ON g.device_id = s.device_id AND g.channel = s.channel"
+OPENED = "SELECT g.group_id AS device_id, CAST(c.chunk_seq AS INT) AS segment, c.sample_start AS opened, CAST(1000 AS DOUBLE) AS base_rate FROM {chunks} c JOIN {groups} g ON g.device_id = c.device_id AND g.channel = c.channel"
 
 
-@query("j9_segment_rates", f"""WITH u AS ({UPDATES.format(samples="samples")}), s AS ({OPENED.format(chunks="chunks")})
-SELECT device_id, segment, opened, coalesce((SELECT max_by(rate, reported) FROM u WHERE u.device_id = s.device_id AND u.reported <= s.opened AND rate > 0 AND isfinite(rate)), base_rate) AS sample_rate FROM s""", "samples", "chunks")
+@query("j9_segment_rates", f"""WITH u AS ({UPDATES.format(samples="samples", groups="groups")}), s AS ({OPENED.format(chunks="chunks", groups="groups")}),
+l AS (SELECT s.device_id, s.segment, max_by(u.rate, u.reported) AS rate FROM s JOIN u ON u.device_id = s.device_id AND u.reported <= s.opened AND u.rate > 0 AND isfinite(u.rate) GROUP BY 1, 2)
+SELECT s.device_id, s.segment, s.opened, coalesce(l.rate, s.base_rate) AS sample_rate FROM s LEFT JOIN l ON l.device_id = s.device_id AND l.segment = s.segment""", "samples", "chunks", "groups")
 def _(v):
-    return catalog.segment_rates(v.spark.sql(OPENED, chunks=v.chunks), v.spark.sql(UPDATES, samples=v.samples).withColumn("rate", F.col("rate").cast("double")))
+    return catalog.segment_rates(v.spark.sql(OPENED, chunks=v.chunks, groups=v.groups), v.spark.sql(UPDATES, samples=v.samples, groups=v.groups).withColumn("rate", F.col("rate").cast("double")))
 
 
 # Aggregations
