@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,32 @@ TEXTS = {
     "distributed under the boost software license version 1 0": "bsl1-head",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-anyone",
+    # bodies
+    "apache license version 2 0 january 2004 http www apache org licenses": "apache2-title",
+    "terms and conditions for use reproduction and distribution": "apache2-terms",
+    "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "apache2-definition",
+    "grant of copyright license": "apache2-copyright-grant",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "apache2-copyright",
+    "grant of patent license": "apache2-patent-grant",
+    "submission of contributions": "apache2-contributions",
+    "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor except as required for reasonable and customary use in describing the origin of the work and reproducing the content of the notice file": "apache2-marks",
+    "unless required by applicable law or agreed to in writing licensor provides the work and each contributor provides its contributions on an as is basis without warranties or conditions of any kind either express or implied including without limitation any warranties or conditions of title non infringement merchantability or fitness for a particular purpose": "apache2-disclaimer",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "gpl3-preamble",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "the licenses for most software are designed to take away your freedom to share and change it": "gpl2-preamble",
+    "by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users": "gpl2-contrast",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "agpl3-preamble",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-title",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "lgpl3-body",
+    "mozilla public license version 2 0": "mpl2-title",
+    "each contributor hereby grants you a world wide royalty free non exclusive license": "mpl2-grant",
+    "covered software is provided under this license on an as is basis without warranty of any kind either expressed implied or statutory including without limitation warranties that the covered software is free of defects merchantable fit for a particular purpose or non infringing": "mpl2-warranty",
+    "eclipse public license v 2 0": "epl2-title",
+    "the accompanying program is provided under the terms of this eclipse public license agreement": "epl2-agreement",
+    "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement": "epl2-acceptance",
     "do what the fuck you want to public license": "wtfpl-title",
     "you just do what the fuck you want to": "wtfpl-grant",
     "this work is dedicated to the public domain": "public-domain",
@@ -128,6 +156,23 @@ TEXT_RULES = [
     ("Apache-2.0", "text", ["apache2-grant", "apache2-copy", "apache2-warranty", "apache2-see"]),
     ("Apache-2.0", "notice", ["apache2-grant"]),
     ("Apache-2.0", "notice", ["apache2-head"]),
+    ("Apache-2.0", "body", ["apache2-title", "apache2-terms"]),
+    ("Apache-2.0", "body", ["apache2-copyright-grant", "apache2-copyright"]),
+    ("Apache-2.0", "body", ["apache2-copyright"]),
+    ("Apache-2.0", "body", ["apache2-disclaimer"]),
+    ("GPL-3.0-only", "body", ["gpl3-title", "gnu-verbatim", "gpl3-preamble"]),
+    ("GPL-3.0-only", "body", ["gpl3-preamble"]),
+    ("GPL-2.0-only", "body", ["gpl2-title", "gnu-verbatim", "gpl2-preamble", "gpl2-contrast"]),
+    ("GPL-2.0-only", "body", ["gpl2-preamble", "gpl2-contrast"]),
+    ("AGPL-3.0-only", "body", ["agpl3-title", "gnu-verbatim", "agpl3-preamble"]),
+    ("AGPL-3.0-only", "body", ["agpl3-preamble"]),
+    ("LGPL-3.0-only", "body", ["lgpl3-title", "gnu-verbatim", "lgpl3-body"]),
+    ("LGPL-3.0-only", "body", ["lgpl3-body"]),
+    ("LGPL-2.1-only", "body", ["lgpl21-title", "gnu-verbatim"]),
+    ("MPL-2.0", "body", ["mpl2-grant"]),
+    ("MPL-2.0", "body", ["mpl2-warranty"]),
+    ("EPL-2.0", "body", ["epl2-title", "epl2-agreement"]),
+    ("EPL-2.0", "body", ["epl2-agreement"]),
     ("GPL-3.0-or-later", "text", ["gpl3-later", "gpl-warranty", "gpl-see"]),
     ("GPL-3.0-or-later", "notice", ["gpl3-later"]),
     ("GPL-2.0-or-later", "text", ["gpl2-later", "gpl-warranty", "gpl-see"]),
@@ -167,23 +212,53 @@ RULES = TEXT_RULES + _NAME_RULES
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(piece: Column) -> Column:
+#: Sentences that name a holder, and what stands for any: only these words are put in its place.
+HOLDERS = [
+    ("^neither the name of .* nor the names of (its|their) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    ("^this software is provided by .* as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    ("^in no event shall .* be liable for any direct indirect incidental", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental"),
+    ("^in no event shall .* be liable for any claim damages", "in no event shall the authors or copyright holders be liable for any claim damages"),
+]
+#: Parts that the known sentences are looked up in, by hash.
+BUCKETS = 64
+
+
+def plain(piece: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(piece, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
 
+def without_holder(sentence: Column) -> Column:
+    """The sentence with what stands for any holder. Few name one, and all of those begin alike."""
+    named = sentence
+    for pattern, holder in HOLDERS:
+        named = F.regexp_replace(named, pattern, holder)
+    begins = [F.startswith(sentence, F.lit(x)) for x in ("neither the name of ", "this software is provided by ", "in no event shall ")]
+    return F.when(begins[0] | begins[1] | begins[2], named).otherwise(sentence)
+
+
+def look_up(sentence: Column, sentences: dict[str, str]) -> Column:
+    """The identifier of a normalised sentence, null if it is not known. Of the literal table only the part with the sentence's hash is searched."""
+    parts: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for text, name in sentences.items():
+        parts[zlib.crc32(text.encode()) % BUCKETS][text] = name
+    pairs = lambda part: [F.lit(x) for pair in part.items() for x in pair] or [F.lit(""), F.lit(None).cast("string")]
+    return F.try_element_at(F.get(F.array(*(F.create_map(*pairs(p)) for p in parts)), F.pmod(F.crc32(sentence.cast("binary")), F.lit(BUCKETS)).cast("int")), sentence)
+
+
 def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
     A sentence ends at a mark and white space, or at an empty line; it may run
     over lines, so each of its lines is looked up as well. The colon of an SPDX
-    identifier ends none.
+    identifier ends none. A holder's name within a sentence does not matter.
     """
-    known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
     joined = F.regexp_replace(text, "(?i)(spdx-license-identifier):[ \\t]*", "$1 ")
     ended = F.regexp_replace(joined, "([.!?:;])[ \\t\\r\\n]+", "$1\n\n")
     runs = F.split(ended, "\\n[ \\t\\r]*\\n+")
     pieces = F.flatten(F.transform(runs, lambda s: F.when(F.instr(s, "\n") > 0, F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))))
-    return F.filter(F.transform(pieces, lambda p: F.try_element_at(known, normalised(p))), lambda x: x.isNotNull())
+    # a step at a time, so that each is worked out once for a sentence
+    named = F.transform(F.transform(pieces, plain), without_holder)
+    return F.filter(F.transform(named, lambda s: look_up(s, sentences)), lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple] = RULES) -> DataFrame:
@@ -207,6 +282,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+_PLAIN = f"trim(regexp_replace(translate(p, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+_NAMED = _PLAIN
+for _pattern, _holder in HOLDERS:
+    _NAMED = f"regexp_replace({_NAMED}, '{_pattern}', '{_holder}')"
 _JOINED = "regexp_replace(text, '(?i)(spdx-license-identifier):[ \\t]*', '\\1 ', 'g')"
 _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
 _RULES = "[" + ", ".join(f"{{'name': '{n}:{k}', 'ids': '|{'|'.join(ids)}|'}}" for n, k, ids in RULES) + "]"
@@ -216,7 +295,7 @@ WITH runs AS (SELECT doc_id, unnest(string_split_regex(regexp_replace({_JOINED},
                      generate_subscripts(string_split_regex(regexp_replace({_JOINED}, '([.!?:;])[ \\t\\r\\n]+', '\\1\n\n', 'g'), '\\n[ \\t\\r]*\\n+'), 1) AS i FROM documents),
 pieces AS (SELECT doc_id, i, unnest(list_concat([s], CASE WHEN contains(s, '\n') THEN string_split(s, '\n') ELSE [] END)) AS p,
                   generate_subscripts(list_concat([s], CASE WHEN contains(s, '\n') THEN string_split(s, '\n') ELSE [] END), 1) AS j FROM runs),
-ids AS (SELECT doc_id, i, j, ({_MAP})[trim(regexp_replace(translate(p, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))] AS id FROM pieces),
+ids AS (SELECT doc_id, i, j, ({_MAP})[{_NAMED}] AS id FROM pieces),
 seqs AS (SELECT doc_id, string_agg(id, '|' ORDER BY i, j) AS sentence_ids, CAST(count(*) AS INTEGER) AS n_sentences FROM ids WHERE id IS NOT NULL GROUP BY doc_id),
 hits AS (SELECT doc_id, sentence_ids, n_sentences, list_transform(list_filter({_RULES}, lambda r: contains('|' || sentence_ids || '|', r.ids)), lambda r: r.name) AS h FROM seqs)
 SELECT doc_id, sentence_ids, n_sentences,

@@ -49,6 +49,38 @@ def test_names_and_identifiers(docs_of):
     assert got[4].startswith("MPL-2.0:")
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+{binary}
+
+{endorse}
+
+THIS SOFTWARE IS PROVIDED BY {holder} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+
+
+def test_any_holder_and_bodies(docs_of):
+    binary = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    endorse = "Neither the name of the {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    body = BSD.replace("1. ", "").format
+    rows = [
+        (1, body(binary=binary, endorse=endorse.format("Example Institute of Things"), holder="Example Institute AND OTHERS")),
+        (2, body(binary=binary, endorse="", holder="ANY PERSON")),
+        (3, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n\nThe GNU General Public License is a free, copyleft license for software and other kinds of works."),
+        (4, "The accompanying program is provided under the terms of this Eclipse Public License agreement."),
+        (5, "Neither the name of the rose."),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs_of(rows)).collect()}
+    assert got == {1: "BSD-3-Clause:text", 2: "BSD-2-Clause:text", 3: "GPL-3.0-only:body", 4: "EPL-2.0:body"}
+
+
+def test_a_very_long_text(docs_of):
+    text = "\n".join(["prose without a mark"] * 20_000) + "\n\n" + MIT
+    assert [(r.doc_id, r.licenses) for r in licenses.scan(docs_of([(1, text), (2, text)])).collect()] == [(1, "MIT:text"), (2, "MIT:text")]
+
+
 def test_every_rule_matches_its_own_sentences(docs_of):
     sentence = {}
     for text, name in licenses.SENTENCES.items():
