@@ -39,6 +39,17 @@ def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[name].alias(alias) for alias, name in columns.items()))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until ``df`` has no column that it could be taken for."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def hash_mod(column: str, n: int):
     """crc32 of the column as text, modulo n; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

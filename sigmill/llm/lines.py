@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from sigmill.llm.common import chunks, materialise, table
+from sigmill.llm.common import chunks, free_names, materialise, table
 
 MIN_WORDS = 5
 #: log2 of the bits that mark shared halves (8 MB, sent to every task).
@@ -216,9 +216,9 @@ def _exact(lines: DataFrame) -> DataFrame:
     return lines.join(materialise(first), ["lh", "lh2"]).filter(order > F.col("first")).select("doc_id", "dk", "line_no")  # as a table, so that Spark can split a common line's rows
 
 
-def _without(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` without the lines whose numbers are in the column __gone (null: none), n_lines and n_removed in its place."""
-    at, gone = docs.columns.index(text_col), docs.columns.index("__gone")
+def _without(docs: DataFrame, text_col: str, gone_col: str) -> DataFrame:
+    """``docs`` without the lines whose numbers are in the column ``gone_col`` (null: none), n_lines and n_removed in its place."""
+    at, gone = docs.columns.index(text_col), docs.columns.index(gone_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
@@ -235,7 +235,7 @@ def _without(docs: DataFrame, text_col: str) -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:gone], "n_lines", "n_removed"])
 
-    schema = StructType([f for f in docs.schema if f.name != "__gone"]).add("n_lines", IntegerType()).add("n_removed", IntegerType())
+    schema = StructType([f for f in docs.schema if f.name != gone_col]).add("n_lines", IntegerType()).add("n_removed", IntegerType())
     return docs.mapInArrow(run, schema)
 
 
@@ -253,10 +253,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = docs.select(F.col(id_col).alias("doc_id"), key.alias("dk"), F.col(text_col).cast("binary").alias("text"))
     lines = materialise(_lines(own))
     found = materialise(_variants(own, _marks(lines)))
-    gone = _exact(lines).unionByName(_near(found)).groupBy("doc_id", "dk").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "dk": "__dk"})
+    gone = _exact(lines).unionByName(_near(found)).groupBy("doc_id", "dk").agg(F.collect_set("line_no").alias("gone"))
     kept = docs.drop("n_lines", "n_removed")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__dk"))
-    return _without(kept.join(gone, same, "left").select(*kept.columns, "__gone"), text_col)
+    id_, dk, out = free_names(kept, "id", "dk", "gone")
+    gone = gone.withColumnsRenamed({"doc_id": id_, "dk": dk, "gone": out})
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (key == F.col(dk))
+    return _without(kept.join(gone, same, "left").select(*kept.columns, out), text_col, out)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import materialise, table
+from sigmill.llm.common import free_names, materialise, table
 
 SEED = 17
 #: Bytes up to which the table of distributions is broadcast; a larger one is joined by a shuffle.
@@ -63,18 +63,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     share = F.col("weight") / F.lit(all_weight or 1.0) * F.lit(float(budget)) * F.lit(all_size or 0.0)
     steps = materialise(poisson_steps(weighted.select("source_key", F.when(F.col("size") > 0, share / F.col("size")).otherwise(0.0).alias("rate"))))
     held = steps.agg(F.sum(F.octet_length("source_key") + 8 * F.size("steps") + 64)).first()[0] or 0
-    rates = steps.select(F.struct("source_key", "rate", "low", "steps").alias("__mix"))
+    mixed, own, u, n, run = free_names(docs, "mix", "mix_key", "mix_u", "mix_n", "mix_run")
+    rates = steps.select(F.struct("source_key", "rate", "low", "steps").alias(mixed))
     if held <= BROADCAST_BYTES:
         rates = F.broadcast(rates)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    keyed = docs.drop("copy", "rate", "shuffle_key").withColumn("__mix_key", source).withColumn("__mix_u", uniform(F.lit(str(seed)), key))
-    below = F.size(F.filter("__mix.steps", lambda c: c <= F.col("__mix_u"))).cast("long")
-    drawn = keyed.join(rates, F.col("__mix_key") == F.col("__mix.source_key")).withColumn("__mix_n", F.when(below > 0, F.col("__mix.low")).otherwise(0) + below).filter("__mix_n > 0")
-    runs = drawn.withColumn("__mix_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__mix_n - 1) div {_RUN}"))))
-    first = F.col("__mix_run") * _RUN
-    copies = runs.withColumn("copy", F.explode(F.sequence((first + 1).cast("int"), F.least("__mix_n", first + _RUN).cast("int"))))
-    copies = copies.withColumns({"rate": F.col("__mix.rate"), "shuffle_key": F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string")))})
-    return copies.drop("__mix", "__mix_key", "__mix_u", "__mix_n", "__mix_run").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    keyed = docs.drop("copy", "rate", "shuffle_key").withColumn(own, source).withColumn(u, uniform(F.lit(str(seed)), key))
+    below = F.size(F.filter(F.col(mixed)["steps"], lambda c: c <= F.col(u))).cast("long")
+    drawn = keyed.join(rates, F.col(own) == F.col(mixed)["source_key"]).withColumn(n, F.when(below > 0, F.col(mixed)["low"]).otherwise(0) + below).filter(F.col(n) > 0)
+    runs = drawn.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {_RUN}"))))
+    first = F.col(run) * _RUN
+    copies = runs.withColumn("copy", F.explode(F.sequence((first + 1).cast("int"), F.least(n, first + _RUN).cast("int"))))
+    copies = copies.withColumns({"rate": F.col(mixed)["rate"], "shuffle_key": F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string")))})
+    return copies.drop(mixed, own, u, n, run).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import chunks, map_arrow, materialise, own_columns, table
+from sigmill.llm.common import chunks, free_names, map_arrow, materialise, own_columns, table
 from sigmill.llm.components import connected_components
 
 SEED = 42
@@ -308,13 +308,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as no id can stand for them.
     """
     groups = near_duplicates(docs, id_col, text_col, scheme)
-    own, taken = [], set(docs.columns)
-    for name in ("id", "text", "copy"):
-        while name in taken:
-            name += "_"
-        own.append(name)
-        taken.add(name)
-    id_, text, copy = own
+    id_, text, copy = free_names(docs, "id", "text", "copy")
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(id_)).distinct()
     row = F.row_number().over(Window.partitionBy(id_col, text).orderBy(F.lit(1)))
     kept = docs.join(first, F.col(id_col) == F.col(id_), "left_semi").withColumn(text, F.sha2(F.col(text_col).cast("binary"), 256)).withColumn(copy, row).filter(F.col(copy) == 1)

@@ -67,3 +67,17 @@ def test_stages_do_what_brute_force_does(spark, tables):
 def test_empty_documents(spark, tables):
     path = tables(documents=([], DOCS), benchmark=([(1, ITEM)], "item_id long, text string"))
     assert pipeline.run(spark, path).collect() == []
+
+
+def test_columns_with_the_stages_own_names(spark, tables):
+    """Columns of the documents that are called as the operators call theirs pass through every stage, and nothing else changes."""
+    names = ["id", "dk", "gone", "text_", "copy_", "mix", "mix_key", "mix_u", "mix_n", "mix_run", "__text", "__id", "__dk", "__gone", "__copy", "__mix", "node", "sig", "mask", "digest", "key", "part", "line", "line_no", "lh", "score", "lang_pred", "item_id", "fp", "n_lines", "n_removed", "rate", "shuffle_key"]
+    rows = [(i, t, la, s, len(t or "")) for i, t, la, s in corpus() if i is None or i > 90 or i < 12]
+    path = tables(documents=(rows, DOCS), benchmark=([(1, ITEM)], "item_id long, text string"))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    wide = docs.selectExpr("*", *(f"'{n}' AS {n}" for n in names if n not in ("copy",)))
+    for name, stage in pipeline.STAGES:
+        docs, wide = materialise(stage(spark, docs, path)), materialise(stage(spark, wide, path))
+        assert sorted(map(repr, docs.collect())) == sorted(map(repr, wide.select(docs.columns).collect()))
+        if name != "mixing":
+            assert wide.filter("__id <> '__id' or mix_u <> 'mix_u' or gone <> 'gone' or digest <> 'digest' or node <> 'node'").count() == 0
