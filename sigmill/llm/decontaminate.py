@@ -231,4 +231,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", min
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``leaks`` of all test items into all documents; see there for nulls, ties, repeated rows and empty tables."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -316,6 +316,7 @@ def fitted(docs: DataFrame) -> Crf | None:
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled ones with crc32(doc_id) mod 4 other than 2. Null texts and texts without a letter are ``und``; repeated rows get a row each, empty tables none."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fitted(docs))
     return found.withColumn("held_out", hash_mod("doc_id", 4) == 2)

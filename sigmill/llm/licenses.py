@@ -279,6 +279,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan`` of all documents; see there for nulls, repeated rows and empty tables."""
     return scan(table(spark, sf_dir, "documents"))
 
 

@@ -262,5 +262,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dedup_lines`` of all documents; see there for nulls, ties, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs)

@@ -461,5 +461,6 @@ def score_texts(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_co
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_texts`` of all documents, learning from those with crc32(doc_id) mod 7 other than 2; see there for nulls, ties, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, hash_mod("doc_id", 7) != 2).withColumn("held_out", hash_mod("doc_id", 7) == 2)

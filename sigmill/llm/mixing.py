@@ -79,6 +79,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all documents at equal weights; see there for nulls, ties, repeated rows and empty tables."""
     return mix(table(spark, sf_dir, "documents")).drop("rate")
 
 

@@ -316,4 +316,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents by 64-bit fingerprints; see there for nulls, ties, repeated rows and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -122,6 +122,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``top_k`` of all embeddings for those whose id is divisible by 50; see ``whole_vectors`` and ``top_k`` for nulls, ties, repeated rows and empty tables."""
     return top_k(whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 

@@ -221,6 +221,7 @@ def _batch(rows: list[tuple], names: list[str], schema: str) -> pa.RecordBatch:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives by ``write_archives`` and read back by ``read_archives``; see there for nulls, ties, repeated rows and empty tables."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path)
