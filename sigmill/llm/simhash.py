@@ -44,6 +44,8 @@ from sigmill.llm.components import connected_components
 SEED = 42
 #: Fingerprints of one posting list that are compared at once.
 BLOCK = 4096
+#: Postings that a task makes, about: what it counts of them fits its memory.
+POSTS = 1 << 22
 #: Bits with each byte value, as eight counters of eight bits in one word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _TRIPLES = list(combinations(range(8), 3))
@@ -134,7 +136,7 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
 
 
 def postings(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(node, key): the keys of each of ``nodes`` (node, sig, mask)."""
+    """(node, key): the keys of each of ``nodes`` (node, sig, mask), which are dealt out so that no task makes many more than ``POSTS``."""
     take = np.array([all(p < 4 for p in t) or all(p > 3 for p in t) for t in _TRIPLES]) if not scheme.surest else np.ones(len(_TRIPLES), bool)
     at, masks = np.array(_TRIPLES)[take], _MASKS[take]
 
@@ -149,7 +151,10 @@ def postings(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                     key = key << 8 | sig[row, word, at[triple, j]]
                 yield pa.RecordBatch.from_pydict({"node": part.column("node").take(pa.array(row)), "key": pa.array(key)})
 
-    return nodes.select("node", "sig", "mask").mapInArrow(run, "node long, key long")
+    keys = scheme.words * len(list(combinations(range(scheme.surest), 3))) if scheme.surest else len(at)
+    tasks = -(-nodes.count() * keys // POSTS)
+    lean = nodes.select("node", "sig", "mask")
+    return (lean.repartition(tasks, "node") if tasks > 1 else lean).mapInArrow(run, "node long, key long")
 
 
 def distances(a: np.ndarray, b: np.ndarray, scheme: Scheme) -> np.ndarray:
