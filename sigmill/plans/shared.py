@@ -39,10 +39,10 @@ _MADE: dict[tuple, DataFrame] = {}
 
 
 def once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` stores of the table at ``source``, the same for all who ask under ``name`` while the application and the table's time of change are the same."""
+    """What ``make`` stores of the table at ``source``, the same for all who ask under ``name`` while the session and the table's time of change are the same."""
     at = spark._jvm.org.apache.hadoop.fs.Path(source)
     changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
-    key = (spark.sparkContext.applicationId, source, changed, name)
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), source, changed, name)
     if key not in _MADE:
         _MADE[key] = make()
     return _MADE[key]
