@@ -837,7 +837,7 @@ def _(v):
 def _(v):
     """Captures under both extensions."""
     path = _segments(v)
-    segment_files.rename(v.spark, path, lambda k, _: f"run_{k:04d}.dhcap" if k % 2 else f"run_{k:04d}.tdms")
+    segment_files.rename(v.spark, path, lambda k: f"run_{k:04d}.dhcap" if k % 2 else f"run_{k:04d}.tdms")
     found = segments.segment_catalog(v.spark, path)
     return found.select(F.regexp_extract("identity", r"([^/]+)$", 1).alias("segment"), "is_capture")
 
@@ -850,9 +850,8 @@ SELECT device_id, rate AS config_rate FROM devices JOIN f ON lower(ip_address) =
 def _(v):
     path = f"{shared_dir(v.spark)}/rates-{uuid.uuid4().hex}"
     rows = v.spark.sql(RATE_FILES, devices=v.devices)
-    text = rows.select(F.concat("body", F.lit("<!--Machine"), "ip_address", F.lit("_"), "device_id", F.lit(".xml-->")))
-    text.write.option("maxRecordsPerFile", 1).text(path)
-    segment_files.rename(v.spark, path, lambda _, body: body.split("<!--")[1].split("-->")[0], contents=True)
+    text = rows.select(F.concat("body", F.lit("<!--Machine"), "ip_address", F.lit("_"), "device_id", F.lit(".xml-->")).alias("value"))
+    segment_files.write_named(text, path)
     return logs.device_rate_config(v.spark, f"{path}/Machine*.xml", v.devices)
 
 

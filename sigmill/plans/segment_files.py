@@ -6,13 +6,16 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.functions.codecs import CODECS, PREPROCESSORS, compress, preprocess
+from sigmill.plans.shared import scratch
 from sigmill.sources.segments import FOOTERS, HEADERS, MAGIC, PREPROCESSED, RAW_STORED, STORED
 
 
@@ -82,15 +85,47 @@ def write_segments(samples: DataFrame, path: str, chunk: int = 64, chunks_each:
     out.write.option("maxRecordsPerFile", 1).text(path)
 
 
-def rename(spark: SparkSession, path: str, name: Callable[[int, str], str], contents: bool = False) -> None:
-    """Names the files that a Spark writer left in a folder: ``name`` gets a file's place in the listing and, with ``contents``, its text."""
+#: Files of a folder of ``write_named``, about, and renames at a time.
+FOLDER_FILES, AT_ONCE = 1000, 16
+
+
+def rename(spark: SparkSession, path: str, name: Callable[[int], str]) -> None:
+    """Names the files that a Spark writer left in a folder by their place in the listing."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     files = sorted(f.getPath().getName() for f in fs.listStatus(fs_path(path)) if f.getPath().getName().startswith("part-"))
-    body = {}
-    if contents:
-        rows = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-        body = {r.file: r.value for r in rows.collect()}  # small files, a fixture
-    for k, file in enumerate(f for f in files if not contents or f in body):
-        if not fs.rename(fs_path(f"{path}/{file}"), fs_path(f"{path}/{name(k, body.get(file, ''))}")):
+    for k, file in enumerate(files):
+        if not fs.rename(fs_path(f"{path}/{file}"), fs_path(f"{path}/{name(k)}")):
             raise OSError(f"{file} could not be renamed")
+
+
+def write_named(rows: DataFrame, path: str) -> None:
+    """Writes each text of ``rows`` (value), which has its file's name in a comment, as the file of that name.
+
+    Spark writes a file for each row, in folders of about ``FOLDER_FILES``, so
+    that a commit moves folders. The driver gives the names, as a rename is a
+    call of the file system; it meets those of one folder at a time.
+    """
+    spark = rows.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    bins, made = max(1, -(-rows.count() // FOLDER_FILES)), scratch(spark, "files")
+    dealt = rows.select("value", F.pmod(F.xxhash64("value"), F.lit(bins)).alias("bin"))
+    dealt.repartition(bins, "bin").write.partitionBy("bin").option("maxRecordsPerFile", 1).text(made)
+    written = spark.read.option("wholetext", True).text(made)
+    named = written.select("bin", F.input_file_name().alias("file"), F.regexp_extract("value", "<!--(.+)-->", 1).alias("name")).repartition(bins, "bin")
+    fs.mkdirs(fs_path(path))
+
+    def move(row: Row) -> None:
+        if not fs.rename(fs_path(row.file), fs_path(f"{path}/{row["name"]}")):
+            raise OSError(f"{row.file} could not be renamed")
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for folder in folders(named.toLocalIterator(prefetchPartitions=True)):
+            list(pool.map(move, folder))
+
+
+def folders(rows: Iterator[Row]) -> Iterator[list[Row]]:
+    """Rows in lists of ``FOLDER_FILES``."""
+    while part := list(islice(rows, FOLDER_FILES)):
+        yield part

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.functions.scalars import valid_rate
@@ -23,16 +23,33 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return whole.withColumns({c: F.col(c).try_cast(t) for c, t in _NUMBERS.items()} | {"layout": layout, "crc32": F.trim("crc32")})
 
 
+def _named_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(file, value): whole texts by name. The pattern of the name filters a listing of the folder, as a pattern would make each file a root that Spark lists by itself."""
+    folder, _, name = glob.rpartition("/")
+    texts = spark.read.option("wholetext", True)
+    own = folder and any(c in name for c in "*?[{") and name.count("{") == name.count("}")
+    found = texts.option("pathGlobFilter", name).text(folder) if own else texts.text(glob)
+    return found.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+
+
 def device_rate_config(spark: SparkSession, glob: str, devices: DataFrame) -> DataFrame:
-    """(device_id, config_rate) from files Machine{ip}_{id}.xml: that of the device's address and id, else the first of its address."""
-    files = spark.read.option("wholetext", True).text(glob).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    """(device_id, config_rate) from files Machine{ip}_{id}.xml: that of the device's address and id, else the first of its address.
+
+    A device meets two rows at most, however many files its address has: the
+    first file of its address and id, and the first of its address.
+    """
+    files = _named_files(spark, glob)
     tag = lambda name: F.xpath_string("value", F.lit(f"//{name}[normalize-space()]"))
     rate = F.when(tag("SampleFrequency") != "", tag("SampleFrequency")).otherwise(tag("SampleFreq")).try_cast("double")
     named = files.select(F.regexp_extract("file", r"(?i)^Machine(.+)_(\d+)\.xml$", 1).alias("ip"), F.regexp_extract("file", r"(?i)^Machine(.+)_(\d+)\.xml$", 2).try_cast("int").alias("file_id"), rate.alias("config_rate"), "file")
-    good = named.filter((F.col("ip") != "") & valid_rate(F.col("config_rate")))
-    both = devices.select("device_id", "ip_address").join(good, F.lower("ip_address") == F.lower("ip"))
-    first = F.row_number().over(Window.partitionBy("device_id").orderBy(F.col("file_id") != F.col("device_id"), F.lower("file")))
-    return both.withColumn("place", first).filter("place = 1").select("device_id", "config_rate")
+    good = named.filter((F.col("ip") != "") & valid_rate(F.col("config_rate"))).select(F.lower("ip").alias("address"), "file_id", F.struct(F.lower("file").alias("lower"), "file", "config_rate").alias("found"))
+    exact = good.filter("file_id IS NOT NULL").groupBy("address", "file_id").agg(F.min("found").alias("found"))
+    first = good.groupBy("address").agg(F.min("found").alias("found"))
+    own = devices.select("device_id", F.lower("ip_address").alias("address"))
+    place = lambda k: F.struct(F.lit(k).alias("place"), "found").alias("best")
+    both = own.join(exact, (own["address"] == exact["address"]) & (own["device_id"] == exact["file_id"])).select("device_id", place(0))
+    both = both.unionByName(own.join(first, "address").select("device_id", place(1)))
+    return both.groupBy("device_id").agg(F.min("best").alias("best")).select("device_id", "best.found.config_rate")
 
 
 def block_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sigmill import registry
 from sigmill.functions.codecs import CODECS, PREPROCESSORS, compress, decompress, preprocess, restore
 from sigmill.operators import blocks, envelope
+from sigmill.plans import segment_files
 from sigmill.plans.segment_files import manifest, segment_bytes
 from sigmill.sinks import tables
 from sigmill.sources import logs, segments
@@ -101,6 +102,29 @@ def test_rate_files(spark, tmp_path):
     assert {r.device_id: r.config_rate for r in logs.device_rate_config(spark, f"{tmp_path}/*.xml", devices).collect()} == {1: 500, 2: 250, 3: 500}
 
 
+def test_rate_files_of_one_address(spark, tmp_path):
+    """An id beyond an int is nobody's own file, and no device meets all files of its address."""
+    for name, rate in (("Machine10.0.0.1_99999999999.xml", 7), ("Machine10.0.0.1_1.xml", 500), ("Machine10.0.0.1_2.xml", 0)):
+        tmp_path.joinpath(name).write_text(f"<m><SampleFreq>{rate}</SampleFreq></m>")
+    devices = spark.createDataFrame([(1, "10.0.0.1"), (2, "10.0.0.1"), (3, None)], "device_id int, ip_address string")
+    found = logs.device_rate_config(spark, f"{tmp_path}/Machine*.xml", devices)
+    assert {r.device_id: r.config_rate for r in found.collect()} == {1: 500, 2: 500}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    for side in plan.split("Join ")[1:]:  # every join has a grouped side
+        assert "Aggregate" in side
+    assert logs.device_rate_config(spark, f"{tmp_path}/None*.xml", devices).count() == 0
+
+
+@pytest.mark.parametrize("folder", [3, 1000])
+def test_named_files(spark, tmp_path, monkeypatch, folder):
+    monkeypatch.setattr(segment_files, "FOLDER_FILES", folder)
+    rows = spark.createDataFrame([(f"<a>{i}</a><!--n{i}.xml-->",) for i in range(10)], "value string")
+    segment_files.write_named(rows, f"{tmp_path}/out")
+    got = {p.name: p.read_text() for p in tmp_path.joinpath("out").iterdir() if not p.name.startswith(".")}
+    assert got == {f"n{i}.xml": f"<a>{i}</a><!--n{i}.xml-->\n" for i in range(10)}
+
+
 SAMPLES = "device_id int, channel string, sample_idx long, value double"
 RANGE = "device_id int, channel string, start_sample long, sample_count long"
 
