@@ -20,6 +20,8 @@ from sigmill.plans.shared import materialise
 
 #: Where no further group begins.
 NEVER = 1 << 62
+#: Rows that one call in Python takes, about, or one longer span: series can be many and short.
+PACK = 1 << 14
 
 
 def first_reaching(rows: DataFrame, keys: list[str], total: str, goal: Column, name: str, span: int = scans.SPAN) -> DataFrame:
@@ -35,40 +37,59 @@ def first_reaching(rows: DataFrame, keys: list[str], total: str, goal: Column, n
     return rows.join(found.filter("pos IS NOT NULL").select(*keys, "pos", name), [*keys, "pos"], "left")
 
 
-def _local(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    """First position of a span's rows, the order that sorts them, and their jumps in that order."""
-    pos = table.column("pos").to_numpy()
-    order = np.argsort(pos)
-    return int(pos[order[0]]), order, table.column("next").to_numpy()[order]
+class _Spans:
+    """The spans that a table holds, in order of their series: ``order`` sorts its rows, the rest is for the sorted rows."""
+
+    def __init__(self, table: pa.Table, keys: list[str]):
+        codes = [table.column(k).combine_chunks().dictionary_encode() for k in (*keys, "__span")]
+        codes = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.fill_null(-1).to_numpy() for c in codes]
+        pos = table.column("pos").to_numpy()
+        self.order = np.lexsort((pos, *codes))
+        self.pos, self.jump = pos[self.order], table.column("next").to_numpy()[self.order]
+        change = np.zeros(len(pos), bool)
+        change[:1] = True
+        for code in codes:
+            sorted_ = code[self.order]
+            change[1:] |= sorted_[1:] != sorted_[:-1]
+        self.heads = np.flatnonzero(change)  # the first row of each span
+        self.size = np.diff(np.append(self.heads, len(pos)))
+        each = lambda x: np.repeat(x, self.size)
+        self.end = each(self.pos[self.heads] + self.size)
+        self.shift = each(self.heads - self.pos[self.heads])  # from a position to its row
+
+    def each(self, of_span: np.ndarray) -> np.ndarray:
+        return np.repeat(of_span, self.size)
 
 
 def _exits(table: pa.Table, keys: list[str]) -> pa.Table:
-    """For rows of a span at which a chain can enter it: where the chain leaves it, and the groups that begin in between."""
-    start, order, jump = _local(table)
-    to, n, end = jump.copy(), np.ones(len(jump), np.int64), start + len(jump)
-    while len(inside := np.flatnonzero(to < end)):
-        via = to[inside] - start
+    """For rows of spans at which a chain can enter them: where the chain leaves the span, and the groups that begin in between."""
+    s = _Spans(table, keys)
+    to, n = s.jump.copy(), np.ones(len(s.jump), np.int64)
+    while len(inside := np.flatnonzero(to < s.end)):
+        via = to[inside] + s.shift[inside]
         to[inside], n[inside] = to[via], n[inside] + n[via]
-    able = np.arange(min(len(jump), int(min(jump[0], end)) - start + 1))  # jumps never fall along pos
-    rows = table.select([*keys]).take(pa.array(order[able]))
-    return rows.append_column("pos", pa.array(start + able)).append_column("to", pa.array(to[able])).append_column("n", pa.array(n[able]))
+    able = np.flatnonzero(s.pos <= s.each(np.minimum(s.jump, s.end)[s.heads]))  # jumps never fall along pos
+    rows = table.select([*keys]).take(pa.array(s.order[able]))
+    return rows.append_column("pos", pa.array(s.pos[able])).append_column("to", pa.array(to[able])).append_column("n", pa.array(n[able]))
 
 
-def _numbered(table: pa.Table) -> pa.Table:
-    """A span's rows with their group, from the row at which the chain enters and the groups that began before."""
-    start, order, jump = _local(table)
-    size = len(jump)
+def _numbered(table: pa.Table, keys: list[str]) -> pa.Table:
+    """The rows of spans with their group, from the row at which the chain enters a span and the groups that began before."""
+    s = _Spans(table, keys)
+    size = len(s.jump)
     begins = np.zeros(size + 1, np.int64)
-    if (entry := table.column("entry")[0].as_py()) is not None:
-        begins[entry - start] = 1
-        ahead, seen = np.append(np.minimum(jump - start, size), size), 0
-        while (count := int(begins[:size].sum())) > seen:  # each turn finds as many as there were
-            seen = count
-            begins[ahead[np.flatnonzero(begins)]] = 1
-            ahead = ahead[ahead]
+    entry = table.column("entry").combine_chunks().fill_null(-1).to_numpy()[s.order][s.heads]
+    begins[(entry + s.shift[s.heads])[entry >= 0]] = 1
+    ahead, seen = np.append(np.where(s.jump < s.end, s.jump + s.shift, size), size), 0
+    while (count := int(begins[:size].sum())) > seen:  # each turn finds as many as there were
+        seen = count
+        begins[ahead[np.flatnonzero(begins)]] = 1
+        ahead = ahead[ahead]
+    total = np.concatenate([[0], np.cumsum(begins[:size])])
+    begun = table.column("begun").to_numpy()[s.order]
     group = np.empty(size, np.int64)
-    group[order] = table.column("begun")[0].as_py() - 1 + np.cumsum(begins[:size])
-    return table.drop_columns(["__span", "next", "entry", "begun"]).append_column("group", pa.array(group))
+    group[s.order] = begun - 1 + total[1:] - s.each(total[s.heads])
+    return table.append_column("group", pa.array(group))
 
 
 def groups(jumps: DataFrame, keys: list[str], span: int = scans.SPAN) -> DataFrame:
@@ -79,8 +100,10 @@ def groups(jumps: DataFrame, keys: list[str], span: int = scans.SPAN) -> DataFra
     """
     kinds = dict(jumps.dtypes)
     cut = materialise(jumps.withColumn("next", F.coalesce("next", F.lit(NEVER)).cast("long")).withColumn("__span", F.floor(F.col("pos") / span)))
+    packs = max(1, -(-cut.count() // PACK))
+    pack = F.pmod(F.xxhash64(*keys, "__span"), F.lit(packs)).alias("__pack")  # a span's rows are in one pack
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    step = materialise(cut.select(*keys, "__span", "pos", "next").groupBy(*keys, "__span").applyInArrow(lambda t: _exits(t, keys), f"{schema}, pos long, to long, n long"))
+    step = materialise(cut.select(*keys, "__span", "pos", "next").groupBy(pack).applyInArrow(lambda t: _exits(t, keys), f"{schema}, pos long, to long, n long"))
     first = step
     reached = materialise(cut.filter("pos = 0").select(*keys, "pos", F.lit(0).cast("long").alias("begun")))
     while True:
@@ -97,4 +120,4 @@ def groups(jumps: DataFrame, keys: list[str], span: int = scans.SPAN) -> DataFra
     known = spans.select(*keys, "__span", "entry", F.coalesce("begun", F.max("then").over(earlier)).alias("begun"))
     left = [c for c in cut.columns if c not in ("__span", "next")]
     rows = cut.join(known, [*keys, "__span"])
-    return rows.groupBy(*keys, "__span").applyInArrow(lambda t: _numbered(t).select([*left, "group"]), ", ".join([*(f"{c} {kinds[c]}" for c in left), "group long"]))
+    return rows.groupBy(pack).applyInArrow(lambda t: _numbered(t, keys).select([*left, "group"]), ", ".join([*(f"{c} {kinds[c]}" for c in left), "group long"]))

@@ -96,6 +96,30 @@ def test_a_chain_longer_than_the_spans(spark):
     assert {(r.k, r.pos): r.group for r in got} == {(0, i): i // 10 for i in range(97)} | {(1, 0): 0, (1, 1): 1}
 
 
+@pytest.mark.parametrize("pack", [1, 64, 1 << 14])
+def test_many_short_series_share_a_call(spark, monkeypatch, pack):
+    """Calls of Python grow with the rows, not with the series; no call has a span of another's."""
+    monkeypatch.setattr(boundaries, "PACK", pack)
+    rng = random.Random(5)
+    jumps = [(k, None if k % 7 == 3 else f"d{k % 3}", i, i + rng.choice((1, 2, 3)) if i < 4 + k % 4 else None) for k in range(200) for i in range(5 + k % 5)]
+    jumps = [j for j in jumps if j[1] is not None]
+    rising = {}
+    for k, d, i, to in jumps:  # jumps never fall along pos
+        rising[k, i] = to if to is None else max(to, rising.get((k, i - 1)) or 0)
+    jumps = [(k, d, i, rising[k, i] if rising[k, i] is None or rising[k, i] < 5 + k % 5 else None) for k, d, i, _ in jumps]
+    got = boundaries.groups(spark.createDataFrame(jumps, "k int, d string, pos long, next long"), ["k", "d"], span=4)
+    want = {}
+    for k in {j[0] for j in jumps}:
+        to, group, at = {j[2]: j[3] for j in jumps if j[0] == k}, -1, 0
+        for i in sorted(to):
+            if i == at:
+                group, at = group + 1, to[i]
+            want[k, i] = group
+    assert {(r.k, r.pos): r.group for r in got.collect()} == want
+    tables = spark.createDataFrame(jumps, "k int, d string, pos long, next long").withColumn("__span", F.lit(0)).fillna({"next": boundaries.NEVER}).toArrow()
+    assert boundaries._exits(tables, ["k", "d"]).num_rows > 2  # one call takes all series
+
+
 def test_no_window_holds_a_channel(spark):
     """Every window over rows is within a span; those over series are of one row for each span."""
     df = spark.createDataFrame(series(), HEADS)
