@@ -44,12 +44,16 @@ def write_samples(samples: DataFrame, path: str, width: int) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, root: str, run: str, codec: str = "zstd") -> str:
-    """Writes chunks (with segment) as Parquet under the run's folder, which is never reused; returns the run's name."""
+    """Writes chunks (with segment) as Parquet under the run's folder, which is never reused; returns the run's name.
+
+    A segment's chunks come together first, so that its folder has a file and not
+    one of each task; a segment larger than a partition should be is split.
+    """
     name = new_run(chunks.sparkSession, root, run)
     rows = chunks.withColumn("run_id", F.lit(name))
     if "payload" in chunks.columns:
         rows = rows.withColumn("payload_crc32", F.crc32("payload"))
-    rows.write.mode("append").option("compression", codec).partitionBy("run_id", "segment").parquet(root)
+    rows.hint("rebalance", "segment").write.mode("append").option("compression", codec).partitionBy("run_id", "segment").parquet(root)
     return name
 
 

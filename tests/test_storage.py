@@ -158,3 +158,10 @@ def test_an_export_tells_what_it_wrote_of_each_channel(spark, tmp_path, monkeypa
 def test_runs_are_never_reused(spark, tmp_path):
     chunks = spark.createDataFrame([(0, 1, 2.0)], "segment int, chunk_seq long, first double")
     assert [tables.write_chunks(chunks, str(tmp_path), "run") for _ in range(3)] == ["run", "run_001", "run_002"]
+
+
+def test_a_segment_has_a_file_and_not_one_of_each_task(spark, tmp_path):
+    chunks = spark.range(0, 400, 1, 8).selectExpr("CAST(id % 10 AS INT) AS segment", "id AS chunk_seq", "CAST(CAST(id AS STRING) AS BINARY) AS payload")
+    tables.write_chunks(chunks, str(tmp_path), "run")
+    assert len(list(tmp_path.glob("run_id=run/segment=*"))) == 10 and len(list(tmp_path.glob("run_id=run/segment=*/*.parquet"))) == 10
+    assert spark.read.parquet(str(tmp_path)).count() == 400
