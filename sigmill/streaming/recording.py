@@ -149,7 +149,8 @@ def record(rows: DataFrame, root: str, run: str, checkpoint: str, target_bytes:
     folder = f"{root}/run_id={name}"
 
     def commit(df: DataFrame, batch: int | str) -> None:
-        df.withColumns({"raw_crc32": F.crc32("payload"), "payload_crc32": F.crc32("payload")}).write.mode("overwrite").partitionBy("segment").parquet(f"{folder}/batch={batch}")
+        dealt = df.repartition("segment")  # a segment's folder has a file of the batch, whose bytes are bounded, and not one of each run
+        dealt.withColumns({"raw_crc32": F.crc32("payload"), "payload_crc32": F.crc32("payload")}).write.mode("overwrite").partitionBy("segment").parquet(f"{folder}/batch={batch}")
 
     stream = recorded(rows, target_bytes, split_bytes, channels, key).writeStream.outputMode("append")
     stream.option("checkpointLocation", f"{checkpoint}/stream").foreachBatch(commit).trigger(availableNow=True).start().awaitTermination()
