@@ -185,7 +185,7 @@ class LogBilinear:
 
         As all scores of a product are there, the draws' mean is taken in place of draws.
         """
-        w, dims = self.width, np.arange(DIM)
+        w = self.width
         batch = min(BATCH, max(64, len(target) // STEPS))  # few positions make smaller steps
         for at in range(0, len(target), batch):
             y = target[at : at + batch]
@@ -213,8 +213,7 @@ class LogBilinear:
             self._step("q", up.reshape(self.q.shape) / n)
             back /= n
             up_c = np.einsum("nd,nid->id", back[:, :-1], met)
-            entry = (x * DIM)[:, :, None] + dims
-            up_r = np.bincount(entry.ravel(), (back[:, None, :-1] * self.c).ravel(), self.r.size).reshape(self.r.shape).astype(np.float32)
+            up_r = _by_class(x, back[:, :-1], self.c, len(self.r))
             self._step("c", up_c)
             self._step("r", up_r)
 
@@ -256,6 +255,15 @@ def _off(logit: np.ndarray, chosen: np.ndarray, noise: np.ndarray) -> np.ndarray
     return logit
 
 
+def _by_class(x: np.ndarray, back: np.ndarray, c: np.ndarray, size: int) -> np.ndarray:
+    """Sums of each position's slopes, weighted for their place, by the classes ``x`` of its context: a dimension at a time, so that the classes themselves are the bins."""
+    at, out = x.ravel(), np.empty((back.shape[1], size), np.float32)
+    weight = np.ascontiguousarray(back.T)[:, :, None] * c.T[:, None]
+    for d, own in enumerate(weight.reshape(len(out), -1)):
+        out[d] = np.bincount(at, own, size)
+    return np.ascontiguousarray(out.T)
+
+
 def _log_softmax(logit: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log-probabilities of the chosen columns."""
     own = logit[np.arange(len(logit)), chosen]
@@ -287,10 +295,10 @@ def encode(docs: DataFrame, classes: Classes) -> DataFrame:
         count_log = np.log10(classes.count + 1)
         of_single = classes.single[classes.of]
         for batch in chunks(batches, "text"):
-            keys, texts = list(zip(batch.column("dk").to_pylist(), batch.column("dk2").to_pylist())), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             size, coded, known, known_log, inside = [], [], [], [], []
-            rare_key, rare_word, rare_n, rare_first = [], [], [], []
-            for key, text in zip(keys, texts):
+            rare_word, rare_n, rares = [], [], []
+            for text in texts:
                 place, kinds, words = classes.encode(text)
                 size.append(len(kinds))
                 coded.append(kinds.tobytes())
@@ -300,17 +308,20 @@ def encode(docs: DataFrame, classes: Classes) -> DataFrame:
                 known_log.append(float(log.sum()) + np.log10(classes.texts + 1))
                 inside.append(float(log[~of_single[found]].sum()) - float(group_log[kinds].sum()))  # words that are no class of their own
                 rare = Counter(words[i] for i in np.flatnonzero(place < 0).tolist())
-                rare_key += [key] * len(rare)
+                rares.append(len(rare))
                 rare_word += rare.keys()
                 rare_n += rare.values()
-                rare_first += [1, *[0] * (len(rare) - 1)] if rare else []
-            n, m = len(keys), len(rare_key)
+            n, m = len(texts), len(rare_word)
+            rares = np.array(rares, np.int64)
+            first = np.zeros(m, np.int32)
+            first[(np.cumsum(rares) - rares)[rares > 0]] = 1  # of a text's words
+            doubled = lambda c: pa.array(np.concatenate([k := batch.column(c).to_numpy(), np.repeat(k, rares)]))  # noqa: E731  of the texts, and of their words
             none = lambda kind, k: pa.nulls(k, kind)
             both = lambda a, b: pa.concat_arrays([a, b])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "dk": pa.array([k for k, _ in [*keys, *rare_key]], pa.int64()),
-                    "dk2": pa.array([k for _, k in [*keys, *rare_key]], pa.int64()),
+                    "dk": doubled("dk"),
+                    "dk2": doubled("dk2"),
                     "doc_id": both(batch.column("doc_id"), none(batch.column("doc_id").type, m)),
                     "learns": both(batch.column("learns"), none(pa.bool_(), m)),
                     "n_tokens": both(pa.array(size, pa.int64()), none(pa.int64(), m)),
@@ -319,8 +330,8 @@ def encode(docs: DataFrame, classes: Classes) -> DataFrame:
                     "inside": both(pa.array(inside, pa.float64()), none(pa.float64(), m)),
                     "kinds": both(pa.array(coded, pa.binary()), none(pa.binary(), m)),
                     "word": both(none(pa.binary(), n), pa.array(rare_word, pa.binary())),
-                    "n": pa.array([*repeat(0, n), *rare_n], pa.int64()),
-                    "first": pa.array([*repeat(0, n), *rare_first], pa.int32()),
+                    "n": pa.array(np.concatenate([np.zeros(n, np.int64), np.array(rare_n, np.int64)])),
+                    "first": pa.array(np.concatenate([np.zeros(n, np.int32), first])),
                 }
             )
 

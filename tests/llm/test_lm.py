@@ -186,3 +186,12 @@ def test_empty_classes_stay_out_of_the_sums():
     assert np.abs(model.flat()).max() < 100 and model.q[3, -1] == lm.EMPTY
     model.load(model.flat())
     assert model.q[3, -1] == lm.EMPTY and (model.q[:3, -1] > -10).all()
+
+
+def test_slopes_by_class_are_those_of_single_entries():
+    """A dimension at a time, without a bin for each entry of each vector; the same floats."""
+    rng = np.random.default_rng(3)
+    x, back, c = rng.integers(0, 40, (300, lm.CONTEXT)), rng.normal(size=(300, lm.DIM)).astype(np.float32), rng.normal(size=(lm.CONTEXT, lm.DIM)).astype(np.float32)
+    entry = (x * lm.DIM)[:, :, None] + np.arange(lm.DIM)
+    want = np.bincount(entry.ravel(), (back[:, None] * c).ravel(), 50 * lm.DIM).reshape(50, lm.DIM).astype(np.float32)
+    assert np.array_equal(lm._by_class(x, back, c, 50), want)
